@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from squallbars.operators.layout import Frames
 from squallbars.operators.smoothing import wilder
@@ -136,3 +139,31 @@ def rolling_entropy(w: Frames, c: str, n: int, bins: int = 10) -> Column:
 def before_after(w: Frames, value_before: Column, name: str, k: int) -> dict[str, Column]:
     """Value of the window ending one bar ago, the same window k+1 bars later, and their ratio."""
     return {f"{name}_before": value_before, f"{name}_after": F.lead(value_before, k + 1).over(w.base)}
+
+
+@F.pandas_udf(T.DoubleType())
+def hurst_exponent(windows: pd.Series) -> pd.Series:
+    """Rescaled-range slope of log increments over sub-windows of each array; null below 50 values."""
+    return windows.map(_rescaled_range)
+
+
+def _rescaled_range(values) -> float | None:
+    if values is None or len(values) < 50:
+        return None
+    prices = np.asarray(values, dtype=float)
+    if (prices <= 0).any():
+        return None
+    steps = np.diff(np.log(prices))
+    sizes = [s for s in (8, 12, 16, 24, 32, 48) if s <= len(steps) // 2]
+    points = []
+    for size in sizes:
+        blocks = steps[: len(steps) // size * size].reshape(-1, size)
+        spread = blocks.std(axis=1)
+        walk = np.cumsum(blocks - blocks.mean(axis=1, keepdims=True), axis=1)
+        rs = (walk.max(axis=1) - walk.min(axis=1))[spread > 0] / spread[spread > 0]
+        if len(rs):
+            points.append((np.log(size), np.log(rs.mean())))
+    if len(points) < 2:
+        return None
+    x, y = np.array(points).T
+    return float(np.polyfit(x, y, 1)[0])

@@ -8,6 +8,7 @@ reaches it, so a row-based window over ``(keys, chunk)`` sees every row it needs
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +57,16 @@ def lay_out(numbered: DataFrame, back: int, ahead: int, chunk_rows: int = CHUNK_
     )
 
 
+def safe_chunk(back: int, ahead: int, shortest: int = 0) -> int:
+    """Chunk length that covers the halos and keeps powers of (1 - 1/n) inside double range."""
+    rows = CHUNK_ROWS
+    if shortest:
+        rows = min(rows, int(640 / -math.log(1 - 1 / shortest)) - back - ahead)
+    if rows < max(back, ahead, 1):
+        rows = max(back, ahead, 1)
+    return rows
+
+
 class Frames:
     """Column builders over the one window specification of a laid-out frame."""
 
