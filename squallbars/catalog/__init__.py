@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from squallbars.catalog import bar_queries  # noqa: F401
+from squallbars.catalog import bar_queries, label_queries  # noqa: F401
 from squallbars.catalog.registry import CHECKS, QUERIES  # noqa: F401

@@ -107,11 +107,11 @@ bar_query("i13_distance_from_sma", lambda w: {"distance_from_sma": F.try_divide(
           {"distance_from_sma": f"CASE WHEN coalesce(close > ({_sma}), false) THEN high - ({_sma}) "
                                 f"ELSE ({_sma}) - low END / nullif(atr240, 0)"}, back=240, atr={"atr240": 240})
 bar_query("i14_rolling_entropy", lambda w: {"entropy": ind.rolling_entropy(w, "close", N)},
-          {"entropy": "-list_sum(list_transform(list_transform(range(0, 10), b -> len(list_filter(places, "
-                      f"p -> p = b)) / {N}.0::DOUBLE), p -> CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END))"},
+          {"entropy": "-list_sum(list_transform(list_transform(range(0, 10), lambda b: len(list_filter(places, "
+                      f"lambda p: p = b)) / {N}.0::DOUBLE), lambda p: CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END))"},
           back=N, stage=(lambda w: {}, {
               "places": f"CASE WHEN count(close) OVER ({BY} ROWS {N - 1} PRECEDING) = {N} THEN list_transform("
-                        f"list(close) OVER ({BY} ROWS {N - 1} PRECEDING), x -> least(floor((x - CASE WHEN "
+                        f"list(close) OVER ({BY} ROWS {N - 1} PRECEDING), lambda x: least(floor((x - CASE WHEN "
                         f"max(close) OVER ({BY} ROWS {N - 1} PRECEDING) > min(close) OVER ({BY} ROWS {N - 1} PRECEDING) "
                         f"THEN min(close) OVER ({BY} ROWS {N - 1} PRECEDING) ELSE close - 0.5 END) / coalesce(nullif("
                         f"(max(close) OVER ({BY} ROWS {N - 1} PRECEDING) - min(close) OVER ({BY} ROWS {N - 1} PRECEDING))"

@@ -91,18 +91,29 @@ def parkinson(w: Frames, n: int) -> Column:
     return F.sqrt(w.roll(F.avg, "hl2", n) / (4 * math.log(2)))
 
 
-def with_adx(df: DataFrame, w: Frames, n: int, lag_adxr: int = 2) -> DataFrame:
-    """Wilder directional movement: adx, adxr, dmp, dmn and their spread; needs ``trange``."""
+def directional_moves(w: Frames) -> dict[str, Column]:
+    """Up and down moves of the extremes; the smaller one counts as zero."""
     up, down = col("high") - w.lag("high"), w.lag("low") - col("low")
-    moves = df.select("*", F.when((up > down) & (up > 0), up).when(up.isNotNull(), 0.0).alias("_pdm"),
-                      F.when((down > up) & (down > 0), down).when(down.isNotNull(), 0.0).alias("_mdm"))
-    smooth = wilder(moves, w, {"_str": ("trange", n), "_sp": ("_pdm", n), "_sm": ("_mdm", n)})
-    lines = smooth.select("*", (100 * ratio("_sp", "_str")).alias("dmp"), (100 * ratio("_sm", "_str")).alias("dmn"))
+    return {"_pdm": F.when((up > down) & (up > 0), up).when(up.isNotNull(), 0.0),
+            "_mdm": F.when((down > up) & (down > 0), down).when(down.isNotNull(), 0.0)}
+
+
+def with_directional_lines(df: DataFrame, w: Frames, n: int, smooth_range: str, lag_adxr: int = 2) -> DataFrame:
+    """adx, adxr, dmp, dmn, di_spread from the smoothed range and smoothed moves ``_sp``, ``_sm``."""
+    lines = df.select("*", (100 * ratio("_sp", smooth_range)).alias("dmp"),
+                      (100 * ratio("_sm", smooth_range)).alias("dmn"))
     spread = lines.withColumn("_dx", F.when(col("dmp").isNotNull(), F.coalesce(
         100 * F.try_divide(F.abs(col("dmp") - col("dmn")), col("dmp") + col("dmn")), F.lit(0.0))))
     out = wilder(spread, w, {"adx": ("_dx", n)})
     return out.select("*", ((col("adx") + w.lag("adx", lag_adxr)) / 2).alias("adxr"),
-                      (col("dmp") - col("dmn")).alias("di_spread")).drop("_pdm", "_mdm", "_str", "_sp", "_sm", "_dx")
+                      (col("dmp") - col("dmn")).alias("di_spread")).drop("_pdm", "_mdm", "_sp", "_sm", "_dx")
+
+
+def with_adx(df: DataFrame, w: Frames, n: int, lag_adxr: int = 2) -> DataFrame:
+    """Wilder directional movement index; needs ``trange``."""
+    moves = df.select("*", *[c.alias(k) for k, c in directional_moves(w).items()])
+    smooth = wilder(moves, w, {"_str": ("trange", n), "_sp": ("_pdm", n), "_sm": ("_mdm", n)})
+    return with_directional_lines(smooth, w, n, "_str", lag_adxr).drop("_str")
 
 
 def lag_block(w: Frames, f: str) -> dict[str, Column]:
