@@ -214,7 +214,7 @@ g3 AS (SELECT *, CASE WHEN er24 > er_hi AND abs(move24) > prev_daily_atr * 0.7::
 
 
 def _targets(spark, sf_dir):
-    return plan.set_targets(plan.add_features(inputs.bars(spark, sf_dir), N).select(*plan.LABEL_INPUTS), 6)
+    return plan.set_targets(plan.label_inputs(inputs.bars(spark, sf_dir), N), 6)
 
 
 def target_query(name: str, sql: str, *cols) -> None:

@@ -19,12 +19,12 @@ _REACH = 760
 _MAX_EXPONENT = 650.0
 
 
-def wilder(df: DataFrame, w: Frames, specs: dict[str, tuple[str, int]]) -> DataFrame:
+def wilder(df: DataFrame, w: Frames, specs: dict[str, tuple[str, int]], warm: int = 1) -> DataFrame:
     """Add ``out = wilder(col, n)`` for each ``out: (col, n)``; null until n values were seen.
 
-    ``df`` is a laid-out frame. Chunk c starts ``w.back`` rows before its own rows, so summaries
-    cover the rows from one chunk start to the next chunk start. Values must be non-negative or
-    bounded sums; missing values are skipped.
+    ``df`` is a laid-out frame. Smoothing in chunk c starts ``w.back - warm`` rows before its own rows,
+    where ``warm`` is the look-back of the smoothed columns; summaries cover the rows from one such
+    start to the next. Missing values are skipped.
     """
     longest = w.chunk_rows + w.back + w.ahead
     for out, (_, n) in specs.items():
@@ -34,14 +34,17 @@ def wilder(df: DataFrame, w: Frames, specs: dict[str, tuple[str, int]]) -> DataF
             raise ValueError(f"{out}: chunk of {longest} rows is too long for n={n}; use a smaller chunk_rows")
     cols = sorted({c for c, _ in specs.values()})
     keys = w.keys
-    counted = df.select("*", *[w.running(F.count, c).alias(f"_k_{c}") for c in cols])
-    in_summary = F.col(ROW) < (F.col(CHUNK) + 1) * w.chunk_rows - w.back
+    lead_in = w.back - warm
+    started = (F.col(CHUNK) == 0) | (F.col(ROW) >= F.col(CHUNK) * w.chunk_rows - lead_in)
+    fed = df.select("*", *[F.when(started, F.col(c)).alias(f"_x_{c}") for c in cols])
+    counted = fed.select("*", *[w.running(F.count, f"_x_{c}").alias(f"_k_{c}") for c in cols])
+    in_summary = F.col(ROW) < (F.col(CHUNK) + 1) * w.chunk_rows - lead_in
     aggs = []
     for c in cols:
         aggs += [F.max(F.when(in_summary, F.col(f"_k_{c}"))).alias(f"_m_{c}"),
-                 F.max(F.when(in_summary & (F.col(f"_k_{c}") == 1), F.col(c))).alias(f"_f_{c}")]
+                 F.max(F.when(in_summary & (F.col(f"_k_{c}") == 1), F.col(f"_x_{c}"))).alias(f"_f_{c}")]
     for out, (c, n) in specs.items():
-        aggs.append(F.sum(F.when(in_summary, F.col(c) / n * _grow(n, F.col(f"_k_{c}")))).alias(f"_s_{out}"))
+        aggs.append(F.sum(F.when(in_summary, F.col(f"_x_{c}") / n * _grow(n, F.col(f"_k_{c}")))).alias(f"_s_{out}"))
     summary = counted.groupBy(*keys, CHUNK).agg(*aggs)
     series = Window.partitionBy(*keys).orderBy(CHUNK)
     upto = series.rowsBetween(Window.unboundedPreceding, 0)
@@ -65,9 +68,9 @@ def wilder(df: DataFrame, w: Frames, specs: dict[str, tuple[str, int]]) -> DataF
     for out, (c, n) in specs.items():
         k, seen = F.col(f"_k_{c}"), F.col(f"_seen_{c}")
         weight = F.when((seen == 0) & (k == 1), F.lit(1.0)).otherwise(F.lit(1.0 / n))
-        inner = w.running(F.sum, F.col(c) * weight * _grow(n, k))
+        inner = w.running(F.sum, F.col(f"_x_{c}") * weight * _grow(n, k))
         value = _decay(n, k) * (F.col(f"_from_{out}") + F.coalesce(inner, F.lit(0.0)))
-        outs.append(F.when(seen + k >= n, value).alias(out))
+        outs.append(F.when(started & (seen + k >= n), value).alias(out))
     done = replay.select(*df.columns, *outs)
     return done
 

@@ -73,10 +73,10 @@ def add_features(bars: DataFrame, period: int = 21, timeframe: str = "hourly",
         df = df.select("*", ind.close_step(w).alias("step"), ind.log_return(w).alias("log_return"),
                        ind.log_range_squared().alias("hl2"),
                        *[c.alias(k) for k, c in ind.directional_moves(w).items()])
-        df = wilder(df, w, {"atr": ("trange", period), "_slow": ("trange", slow), "_sma_atr": ("trange", sma),
+        df = wilder(shared(df), w, {"atr": ("trange", period), "_slow": ("trange", slow), "_sma_atr": ("trange", sma),
                             "_short": ("trange", n_short), "_long": ("trange", n_long),
                             "_sp": ("_pdm", period), "_sm": ("_mdm", period)})
-        df = ind.with_directional_lines(df, w, period, "atr")
+        df = shared(ind.with_directional_lines(shared(df), w, period, "atr"))
         vol_s, vol_l = w.roll(F.stddev_samp, "log_return", short), w.roll(F.stddev_samp, "log_return", long)
         pk = ind.parkinson(w, period)
         cols = {
@@ -111,6 +111,20 @@ def add_features(bars: DataFrame, period: int = 21, timeframe: str = "hourly",
             .select("*", *[c.alias(n) for n, c in extra.items()]))
 
 
+def label_inputs(bars: DataFrame, period: int = 21) -> DataFrame:
+    """Only the features that labels read: true range, ATR, efficiency ratio and the previous day's ATR."""
+    base = attach_daily(shared(bars), period)
+
+    def build(df: DataFrame, w: Frames) -> DataFrame:
+        df = ind.with_true_range(df, w).withColumn("step", ind.close_step(w))
+        df = ind.with_atr(df, w, atr=period)
+        return df.withColumn("kaufman_efficiency_ratio", ind.efficiency_ratio(w, period))
+
+    back = period + 1
+    out = over_bars(base, build, back=back, chunk_rows=safe_chunk(back, 0, period))
+    return out.select(*LABEL_INPUTS)
+
+
 LABEL_INPUTS = ["ticker", "datetime", "open", "high", "low", "close", "trange", "atr", "kaufman_efficiency_ratio",
                 "prev_daily_atr"]
 RANGE_CAPS = {1: 10, 3: 15, 6: 20, 24: 25}
