@@ -198,12 +198,9 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, totals: dict[
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
     """Linear-interpolated quantiles per key; result columns ``q0, q1, ...`` in the order of ``qs``."""
     keys = list(keys)
-    if not keys:
-        whole = exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, qs)
-        return whole.drop("_all")
     ranked = running_totals(df, keys, value, {"n": F.count(F.lit(1))})
     sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    joined = attach(ranked, sizes, keys)
+    joined = attach(ranked, sizes, keys) if keys else ranked.withColumn("_size", sizes.scalar())
     aggs = []
     for i, q in enumerate(qs):
         spot = (F.col("_size") - 1) * F.lit(float(q))
