@@ -215,11 +215,12 @@ def detail_fields(spark, sf_dir):
 
 
 @query("x15_field_frequency", """
-SELECT field, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z\\s]*:')) AS field FROM documents)
+SELECT field, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '[A-Za-z][A-Za-z\\s]*:')) AS field FROM pages)
 GROUP BY field""")
 def field_frequency(spark, sf_dir):
-    names = F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z\s]*:"), F.lit(0)))
-    return inputs.documents(spark, sf_dir).select(names.alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    names = F.explode(texts.field_names(col("html")))
+    return (inputs.table(spark, sf_dir, "pages").select(names.alias("field")).groupBy("field")
+            .agg(F.count(F.lit(1)).alias("n")))
 
 
 _html = "coalesce({c}, 'N/A')"
@@ -294,8 +295,9 @@ def sessions(spark, sf_dir):
 
 
 @query("d05_hour_wave", with_tables("calendar", body=f"""
-SELECT event_id, {rd('sin(hour(date) * 2 * pi() / 24)')} AS sin_hour, {rd('cos(hour(date) * 2 * pi() / 24)')} AS cos_hour
-FROM calendar"""))
+SELECT event_id, CASE WHEN abs(s) < 1e-9 THEN 0 ELSE {rd('s')} END AS sin_hour, CASE WHEN abs(c) < 1e-9 THEN 0
+  ELSE {rd('c')} END AS cos_hour FROM (SELECT event_id, sin(hour(date) * 2 * pi() / 24) AS s,
+  cos(hour(date) * 2 * pi() / 24) AS c FROM calendar)"""))
 def hour_wave(spark, sf_dir):
     return inputs.calendar(spark, sf_dir).select(
         "event_id", *[r(c).alias(n) for n, c in times.hour_wave(col("date")).items()])
@@ -334,12 +336,12 @@ def time_zones(spark, sf_dir):
 
 @query("d09_day_and_week_bounds", with_tables("calendar", body="""
 SELECT event_id, date_trunc('day', date)::TIMESTAMP AS day_start, date_trunc('day', date)::TIMESTAMP + INTERVAL 1 DAY AS day_end,
-  CAST(date AS DATE) + CAST(CASE WHEN isodow(date) = 7 THEN 7 ELSE 7 - isodow(date) END AS INT) AS next_sunday FROM calendar"""))
+  CAST(date AS DATE) + CAST(CASE WHEN isodow(date) = 7 THEN 7 ELSE 7 - isodow(date) END AS INT)::INT + INTERVAL 0 DAY AS next_sunday FROM calendar"""))
 def bounds(spark, sf_dir):
     start = F.date_trunc("day", "date")
     return inputs.calendar(spark, sf_dir).select(
         "event_id", start.alias("day_start"), (start + F.expr("interval 1 day")).alias("day_end"),
-        times.next_sunday(F.to_date("date")).alias("next_sunday"))
+        times.next_sunday(F.to_date("date")).cast("timestamp").alias("next_sunday"))
 
 
 _left = f"CAST(floor(epoch_us(date) / 1e6 - epoch(TIMESTAMP '{NOW}')) AS BIGINT)"

@@ -101,7 +101,6 @@ def lookup(key: Column, table: dict, default) -> Column:
 def economic_value(c: Column) -> Column:
     """Number from text: separators and currency signs dropped, '%' divides by 100, else the first number."""
     text = F.translate(F.trim(c), ",$€£", "")
-    as_percent = F.expr("null").cast("double")
     bare = F.replace(text, F.lit("%"), F.lit(""))
     as_percent = bare.try_cast("double") / 100.0
     first = F.regexp_extract(text, r"-?\d+\.?\d*", 0).try_cast("double")
@@ -114,6 +113,12 @@ def detail_field(detail: Column, field: str) -> Column:
     return F.when(hit != "", hit)
 
 
+def field_names(c: Column) -> Column:
+    """Every 'words:' token. A token starts at the first letter of its run of letters and blanks, so the
+    look-behind lets the scan try each run once instead of once per letter."""
+    return F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z\s])\s*+([A-Za-z][A-Za-z\s]*+:)"), F.lit(1))
+
+
 def html_escape(c: Column) -> Column:
     out = F.coalesce(c.cast("string"), F.lit("N/A"))
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):

@@ -35,3 +35,20 @@ def lagged_stats(w, value: str | Column, n: int) -> dict[str, Column]:
     """Mean, min and max of up to n rows before the current one."""
     return {"mean": w.frame(F.avg, value, -n, -1, full=False), "min": w.frame(F.min, value, -n, -1, full=False),
             "max": w.frame(F.max, value, -n, -1, full=False)}
+
+
+def lagged_target_stats(ranges: DataFrame, keys: Sequence[str], order: str = "datetime",
+                        windows: Sequence[int] = WINDOWS, horizons: Sequence[int] = HORIZONS) -> DataFrame:
+    """Mean, min, max over the previous 5 and 20 events of the same key and the previous value; missing is 0."""
+    from squallbars.operators.layout import over_series
+
+    def build(df, w):
+        cols = {}
+        for h in horizons:
+            value = f"future_range_{h}h"
+            for n in windows:
+                cols |= {f"{s}_range_{h}h_{n}": c for s, c in lagged_stats(w, value, n).items()}
+            cols[f"prev_range_{h}h"] = w.lag(value)
+        return df.select("*", *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in cols.items()])
+
+    return over_series(ranges, build, keys, order, back=max(windows), unit="year")
