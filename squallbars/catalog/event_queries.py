@@ -20,8 +20,8 @@ from squallbars.sources import inputs
 
 col = F.col
 WEIGHT_SQL = map_sql("mie", vocab.MAIN_EVENT_WEIGHTS, 0)
-_sums = [f"event_{n}" for n in vocab.EVENT_CLASSES] + ["is_calendar", "is_president"] + [n for n, _ in FLAG_SQL]
-_sum_sql = {**{c: c for c in _sums[:len(vocab.EVENT_CLASSES) + 2]}, **dict(FLAG_SQL)}
+_sums = [f"event_{n}" for n in vocab.EVENT_CLASSES] + ["is_calendar", "is_president"]
+_sum_sql = {**{c: c for c in _sums}, **{n: e for n, e in FLAG_SQL if not n.startswith("scale_")}}
 
 
 def main_sql(group: str, ts: str = "date") -> str:
@@ -285,10 +285,10 @@ def indicator_asof(spark, sf_dir):
 
 
 @query("j07_asof_join", with_tables("dbars", """
-s AS (SELECT c_custkey AS k, CAST(DATE '1995-01-01' + CAST(c_custkey * 11 % 2000 AS INT) AS TIMESTAMP) AS at, c_acctbal AS bal
+s AS (SELECT c_custkey AS k, CAST(DATE '1995-01-01' + CAST(c_custkey * 11 % 2000 AS INT) AS TIMESTAMP) AS seen, c_acctbal AS bal
   FROM customer)""", """
-s2 AS (SELECT at, max(bal) AS bal FROM s GROUP BY at)""", body="""
-SELECT ticker, datetime, close, bal FROM dbars ASOF LEFT JOIN s2 ON datetime >= at"""))
+s2 AS (SELECT seen, max(bal) AS bal FROM s GROUP BY seen)""", body="""
+SELECT ticker, datetime, close, bal FROM dbars ASOF LEFT JOIN s2 ON datetime >= seen"""))
 def asof(spark, sf_dir):
     from squallbars.operators.layout import asof_join
 
@@ -568,7 +568,7 @@ _STOP = ["the", "and", "of", "to", "in", "is", "it", "for", "on", "with", "as",
 
 
 @query("x16_ngrams", f"""
-WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '\\b[\\p{{L}}\\p{{M}}\\p{{N}}_][\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: x NOT IN ({', '.join(quoted(s) for s in _STOP)})) AS w FROM documents),
+WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({', '.join(quoted(s) for s in _STOP)})) AS w FROM documents),
 g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS word FROM w)
 SELECT word, count(*) AS count FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5""")
 def ngrams(spark, sf_dir):

@@ -142,7 +142,7 @@ def ngram_counts(df: DataFrame, text: str, doc: str, sizes: tuple[int, int] = (1
     """
     if stop_words is None:
         stop_words = StopWordsRemover.loadDefaultStopWords("english")
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     if stop_words:
         words = F.filter(words, lambda x: ~x.isin(list(stop_words)))
     tokens = df.filter(col(text).isNotNull()).select(doc, words.alias("w"))

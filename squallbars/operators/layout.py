@@ -175,9 +175,10 @@ def value_bucket(c: Column, bits: int) -> Column:
 
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, totals: dict[str, Column], bits: int = 12,
                    descending: bool = False) -> DataFrame:
-    """One row per (keys, distinct value) with the totals at that value and cumulatively.
+    """One row per (keys, distinct value) with the totals at that value, cumulatively, and over the key.
 
-    Map-side combined counts first, then a two-level running sum over value buckets.
+    Map-side combined counts first, then a two-level running sum over value buckets. Both branches read
+    the same exchange of per-value totals, so the input is scanned once.
     """
     keys = list(keys)
     per_value = (df.filter(F.col(value).isNotNull())
@@ -186,29 +187,29 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, totals: dict[
     per_bucket = per_value.groupBy(*keys, "_vb").agg(*[F.sum(n).alias(f"_b_{n}") for n in totals])
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     before = Window.partitionBy(*keys).orderBy(way("_vb")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
     offsets = per_bucket.select(*keys, "_vb", *[F.coalesce(F.sum(f"_b_{n}").over(before), F.lit(0)).alias(f"_o_{n}")
-                                                for n in totals])
+                                                for n in totals],
+                                *[F.sum(f"_b_{n}").over(whole).alias(f"total_{n}") for n in totals])
     inside = (Window.partitionBy(*keys, "_vb").orderBy(way(value))
               .rowsBetween(Window.unboundedPreceding, 0))
     out = attach(per_value, offsets, [*keys, "_vb"])
-    return out.select(*keys, value, *totals, *[(F.col(f"_o_{n}") + F.sum(n).over(inside)).alias(f"cum_{n}")
-                                               for n in totals])
+    return out.select(*keys, value, *totals, *[f"total_{n}" for n in totals],
+                      *[(F.col(f"_o_{n}") + F.sum(n).over(inside)).alias(f"cum_{n}") for n in totals])
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
     """Linear-interpolated quantiles per key; result columns ``q0, q1, ...`` in the order of ``qs``."""
     keys = list(keys)
     ranked = running_totals(df, keys, value, {"n": F.count(F.lit(1))})
-    sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    joined = attach(ranked, sizes, keys) if keys else ranked.withColumn("_size", sizes.scalar())
     aggs = []
     for i, q in enumerate(qs):
-        spot = (F.col("_size") - 1) * F.lit(float(q))
+        spot = (F.col("total_n") - 1) * F.lit(float(q))
         for name, rank in ((f"_lo{i}", F.floor(spot)), (f"_hi{i}", F.ceil(spot))):
             inside = (F.col("cum_n") > rank) & (F.col("cum_n") - F.col("n") <= rank)
             aggs.append(F.max(F.when(inside, F.col(value))).alias(name))
         aggs.append(F.max(spot - F.floor(spot)).alias(f"_w{i}"))
-    found = joined.groupBy(*keys).agg(*aggs)
+    found = ranked.groupBy(*keys).agg(*aggs)
     return found.select(*keys, *[
         (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}")).alias(f"q{i}")
         for i in range(len(qs))])
