@@ -56,7 +56,7 @@ def calendar_scan(spark, sf_dir):
     return files.read_calendar(spark, path, ["event_id", "title", "currency", "importance", "date"])
 
 
-@query("s04_indicator_folder", with_tables("series", body="SELECT replace(series, ' ', '%20') AS series, date, value FROM series"))
+@query("s04_indicator_folder", with_tables("series", body="SELECT series, date, value FROM series"))
 def indicator_folder(spark, sf_dir):
     path = _fresh(spark, "indicators")
     rows = inputs.indicator_series(spark, sf_dir).select("series", _text("date").alias("date"), "value")
@@ -182,7 +182,7 @@ def clean_daily(spark, sf_dir):
 
 
 @query("s17_clean_epoch_bars", with_tables("dbars", body=f"""
-SELECT ticker, datetime, {', '.join(f'{rd(c, 5)} AS {c}' for c in OHLC)}, volume FROM dbars"""))
+SELECT ticker, datetime, {', '.join(f'round_even({c} * 100000, 0) / 100000 AS {c}' for c in OHLC)}, volume FROM dbars"""))
 def clean_epoch(spark, sf_dir):
     raw = inputs.daily_bars(spark, sf_dir).select("ticker", F.unix_seconds("datetime").alias("time"), *OHLC, "volume",
                                                   F.lit(0).alias("real_volume"))
@@ -253,8 +253,8 @@ def fill_nulls(spark, sf_dir):
 
 
 @query("p10_pair_split", """
-SELECT c_custkey, upper(substr(replace(c_mktsegment, 'I', '/'), 1, 3)) AS base, right(replace(c_mktsegment, '/', ''), 3) AS quote FROM
-(SELECT c_custkey, substr(c_mktsegment, 1, 3) || '/' || right(c_mktsegment, 3) AS c_mktsegment FROM customer)""")
+SELECT c_custkey, substr(replace(pair, '/', ''), 1, 3) AS base, right(replace(pair, '/', ''), 3) AS quote FROM
+(SELECT c_custkey, substr(c_mktsegment, 1, 3) || '/' || right(c_mktsegment, 3) AS pair FROM customer)""")
 def pair_split(spark, sf_dir):
     pair = F.concat(F.substring("c_mktsegment", 1, 3), F.lit("/"), F.right(col("c_mktsegment"), F.lit(3)))
     joined = F.replace(pair, F.lit("/"), F.lit(""))

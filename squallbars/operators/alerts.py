@@ -102,3 +102,27 @@ def digests(groups: DataFrame, events: DataFrame, day_of, page: int = 500) -> Da
     return (numbered.groupBy(*keys, F.floor(col("_n") / page).alias("page"))
             .agg(F.count(F.lit(1)).alias("n_events"), F.array_sort(F.collect_list(F.struct("_n", "line"))).alias("l"))
             .select(*keys, "page", "n_events", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body")))
+
+
+def daily_alerts(predictions: DataFrame, impulse: str, bar: str) -> DataFrame:
+    """Tickers with an impulse or bar-type alert for the day."""
+    flags = predictions.select("ticker", (col(impulse) > vocab.DAILY_THRESHOLD).alias("impulse_bar"),
+                               (col(bar) > vocab.DAILY_THRESHOLD).alias("bar_type"))
+    return flags.filter("impulse_bar or bar_type")
+
+
+def daily_digests(groups: DataFrame, events: DataFrame, day: Column) -> DataFrame:
+    """Digests of one UTC day, each user group seeing its own importance levels and local times."""
+    todays = events.filter((col("date") >= day) & (col("date") < day + F.expr("interval 1 day")))
+    return digests(groups, todays, lambda date, offset: day)
+
+
+def weekly_digests(groups: DataFrame, events: DataFrame, today: Column) -> DataFrame:
+    """Digests from today to the end of the coming Sunday, one per local day."""
+    end = F.date_add(times.next_sunday(F.to_date(today)), 1).cast("timestamp")
+    week = events.filter((col("date") >= F.date_trunc("day", today)) & (col("date") < end))
+    return digests(groups, week, lambda date, offset: F.date_trunc("day", times.shift_hours(date, offset)))
+
+
+def toggle(settings: DataFrame, flag: str) -> DataFrame:
+    return settings.withColumn(flag, ~col(flag))

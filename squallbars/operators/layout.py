@@ -173,7 +173,7 @@ def value_bucket(c: Column, bits: int) -> Column:
     return F.when(c == 0, F.lit(0)).when(c > 0, magnitude).otherwise(-magnitude).cast("long")
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], value: str, totals: dict[str, Column], bits: int = 12,
+def running_totals(df: DataFrame, keys: Sequence[str], value: str, totals: dict[str, Column], bits: int = 20,
                    descending: bool = False) -> DataFrame:
     """One row per (keys, distinct value) with the totals at that value, cumulatively, and over the key.
 

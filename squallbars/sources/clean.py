@@ -62,7 +62,8 @@ def clean_daily(raw: DataFrame, today: Column) -> DataFrame:
 def clean_epoch_bars(raw: DataFrame, digits: int = 5) -> DataFrame:
     """Terminal bars: epoch seconds to timestamps, prices rounded half-even, unused volume dropped."""
     out = raw.withColumn("datetime", F.timestamp_seconds("time")).drop("time", "real_volume")
-    return out.select(*[F.bround(c, digits).alias(c) if c in OHLC else F.col(c) for c in out.columns])
+    scale = float(10 ** digits)
+    return out.select(*[(F.rint(F.col(c) * scale) / scale).alias(c) if c in OHLC else F.col(c) for c in out.columns])
 
 
 def repeated_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

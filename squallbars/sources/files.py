@@ -13,7 +13,7 @@ from squallbars.sources.clean import standardize_events
 
 def _series_name() -> Column:
     """Name before ``_H1.csv`` or ``.csv``, or the value of the innermost ``key=value`` folder."""
-    path = F.col("_metadata.file_path")
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     folder = F.regexp_extract(path, r"=([^/=]+)/[^/]*$", 1)
     return F.when(folder != "", folder).otherwise(F.regexp_extract(path, r"([^/]+?)(?:_H1)?\.csv[^/]*$", 1))
 
