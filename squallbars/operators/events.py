@@ -75,7 +75,8 @@ def main_event_of(rank_ties: Sequence[Column]) -> Column:
 def aggregate_buckets(encoded: DataFrame, bucket: str = "rounded_time") -> DataFrame:
     """Counts, main event and category sums per bucket in one aggregation."""
     ties = [-F.unix_micros("date"), -col("event_id")]
-    sums = [c for c in encoded.columns if c.startswith(SUM_PREFIXES) and c not in ("event_id", "is_election", bucket)]
+    sums = [c for c, kind in encoded.dtypes if c.startswith(SUM_PREFIXES) and kind in ("int", "bigint")
+            and c not in ("event_id", "is_election", bucket)]
     return encoded.groupBy(bucket).agg(
         F.count("title").alias("news_count"), F.count_if(col("importance") == 1).alias("high_impact_count"),
         F.count("most_important_event").alias("key_event_count"), main_event_of(ties).alias("main_event"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,9 +143,13 @@ def label_cuts(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
         F.max(F.when(col("metric") == n, col(q))).alias(f"{n}_{q}") for n in columns for q in ("q0", "q1")])
 
 
-def set_targets(features: DataFrame, look_forward: int = 6, cuts: DataFrame | None = None) -> DataFrame:
-    """All labels. ``cuts`` (from ``label_cuts`` on training rows) replaces the whole-sample quartiles."""
-    inputs = features.select(*[c for c in LABEL_INPUTS if c in features.columns])
+def set_targets(features: DataFrame, look_forward: int = 6, cuts: DataFrame | None = None,
+                keep: Sequence[str] = ()) -> DataFrame:
+    """All labels, with the feature columns in ``keep`` carried along.
+
+    ``cuts`` (from ``label_cuts`` on training rows) replaces the whole-sample quartiles.
+    """
+    inputs = features.select(*LABEL_INPUTS, *[c for c in keep if c not in LABEL_INPUTS])
 
     def build(df: DataFrame, w: Frames) -> DataFrame:
         df = df.select("*", F.abs(col("open") - col("close")).alias("body"), w.lead("close").alias("next_close"))
@@ -182,4 +188,4 @@ def set_targets(features: DataFrame, look_forward: int = 6, cuts: DataFrame | No
         **{f"trg_future_range_{h}h_log": F.log1p(f"trg_future_range_{h}h") for h in RANGE_CAPS},
     }
     out = out.select("*", *[c.alias(n) for n, c in final.items()])
-    return out.select("ticker", "datetime", *[c for c in out.columns if c.startswith("trg_")])
+    return out.select("ticker", "datetime", *keep, *[c for c in out.columns if c.startswith("trg_")])
