@@ -49,28 +49,29 @@ def map_sql(c: str, table: dict, default) -> str:
 @query("x01_classify_source", with_tables("calendar", body=f"""
 SELECT event_id, {best_sql('source', vocab.SOURCE_CLASSES)} AS source_class FROM calendar"""))
 def classify_source(spark, sf_dir):
-    return inputs.calendar(spark, sf_dir).select(
-        "event_id", texts.best_class(col("source"), vocab.SOURCE_CLASSES).alias("source_class"))
+    rows = texts.folded(inputs.calendar(spark, sf_dir), "source")
+    return rows.select(
+        "event_id", texts.best_class(col("_low"), vocab.SOURCE_CLASSES).alias("source_class"))
 
 
 @query("x01_classify_document_source", f"""
 SELECT doc_id, {best_sql('text', vocab.SOURCE_CLASSES)} AS source_class FROM documents""")
 def classify_document_source(spark, sf_dir):
-    return inputs.documents(spark, sf_dir).select(
-        "doc_id", texts.best_class(col("text"), vocab.SOURCE_CLASSES).alias("source_class"))
+    return texts.folded(inputs.documents(spark, sf_dir), "text").select(
+        "doc_id", texts.best_class(col("_low"), vocab.SOURCE_CLASSES).alias("source_class"))
 
 
 @query("x02_class_counts", "SELECT doc_id, " + ", ".join(
     f"{hits_sql('text', ws)} AS event_{n}" for n, ws in vocab.EVENT_CLASSES.items()) + " FROM documents")
 def class_counts(spark, sf_dir):
-    counts = texts.keyword_counts(col("text"), vocab.EVENT_CLASSES)
-    return inputs.documents(spark, sf_dir).select("doc_id", *[c.alias(f"event_{n}") for n, c in counts.items()])
+    counts = texts.keyword_counts(col("_low"), vocab.EVENT_CLASSES)
+    return texts.folded(inputs.documents(spark, sf_dir), "text").select("doc_id", *[c.alias(f"event_{n}") for n, c in counts.items()])
 
 
 @query("x03_news_class", f"SELECT doc_id, {best_sql('text', vocab.NEWS_CLASSES)} AS news_class FROM documents")
 def news_class(spark, sf_dir):
-    return inputs.documents(spark, sf_dir).select(
-        "doc_id", texts.best_class(col("text"), vocab.NEWS_CLASSES).alias("news_class"))
+    return texts.folded(inputs.documents(spark, sf_dir), "text").select(
+        "doc_id", texts.best_class(col("_low"), vocab.NEWS_CLASSES).alias("news_class"))
 
 
 _months = "|".join(vocab.MONTH_TOKENS)
@@ -89,27 +90,27 @@ _calc = [(["MOM"], [], "MoM"), (["QOQ"], [], "QoQ"), (["YOY"], [], "YoY")]
 
 @query("x05_release_stage", with_tables("calendar", body=f"SELECT event_id, {rules_sql('title', _stage)} AS stage FROM calendar"))
 def release_stage(spark, sf_dir):
-    return inputs.calendar(spark, sf_dir).select("event_id", texts.release_stage(col("title")).alias("stage"))
+    return texts.folded(inputs.calendar(spark, sf_dir), "title").select("event_id", texts.release_stage(col("_up")).alias("stage"))
 
 
 @query("x06_calculation_period", with_tables("calendar", body=f"SELECT event_id, {rules_sql('title', _calc)} AS calc FROM calendar"))
 def calculation_period(spark, sf_dir):
-    return inputs.calendar(spark, sf_dir).select("event_id", texts.calculation_period(col("title")).alias("calc"))
+    return texts.folded(inputs.calendar(spark, sf_dir), "title").select("event_id", texts.calculation_period(col("_up")).alias("calc"))
 
 
 @query("x07_main_event", with_tables("calendar", body=f"""
 SELECT event_id, {rules_sql('title', vocab.MAIN_EVENT_RULES)} AS main_event FROM calendar"""))
 def main_event(spark, sf_dir):
-    return inputs.calendar(spark, sf_dir).select("event_id", texts.main_event(col("title")).alias("main_event"))
+    return texts.folded(inputs.calendar(spark, sf_dir), "title").select("event_id", texts.main_event(col("_up")).alias("main_event"))
 
 
 @query("x08_event_type", with_tables("calendar", body=f"""
 SELECT event_id, {rules_sql('title', vocab.EVENT_TYPE_RULES, "'OTHER'")} AS event_type,
   {rules_sql('title', vocab.SPECIFIC_TYPE_RULES, "'OTHER'")} AS specific_type FROM calendar"""))
 def event_type(spark, sf_dir):
-    return inputs.calendar(spark, sf_dir).select(
-        "event_id", texts.event_type(col("title")).alias("event_type"),
-        texts.specific_type(col("title")).alias("specific_type"))
+    return texts.folded(inputs.calendar(spark, sf_dir), "title").select(
+        "event_id", texts.event_type(col("_up")).alias("event_type"),
+        texts.specific_type(col("_up")).alias("specific_type"))
 
 
 _cleaned = ("array_to_string(list_transform(string_split(trim(regexp_replace(upper(coalesce(indicator, 'none')), "
@@ -119,8 +120,8 @@ _cleaned = ("array_to_string(list_transform(string_split(trim(regexp_replace(upp
 @query("x09_specific_event", with_tables("calendar", body=f"""
 SELECT event_id, {rules_sql('title', vocab.SPECIFIC_NAME_RULES, f"CASE WHEN upper(coalesce(indicator, 'none')) NOT IN ('CALENDAR', 'HOLIDAYS', 'NONE', 'NAN') THEN {_cleaned} END")} AS specific_event FROM calendar"""))
 def specific_event(spark, sf_dir):
-    return inputs.calendar(spark, sf_dir).select(
-        "event_id", texts.specific_name(col("title"), col("indicator")).alias("specific_event"))
+    return texts.folded(inputs.calendar(spark, sf_dir), "title").select(
+        "event_id", texts.specific_name(col("_up"), col("indicator")).alias("specific_event"))
 
 
 @query("x10_flags", with_tables("calendar", body="""
@@ -189,8 +190,8 @@ SELECT event_id, {map_sql(rules_sql('title', vocab.EVENT_TYPE_RULES, "'OTHER'"),
 def rank_and_weight(spark, sf_dir):
     label = F.element_at(F.array(F.lit("Low Impact Expected"), F.lit("Medium Impact Expected"),
                                  F.lit("High Impact Expected")), col("importance") + 2)
-    return inputs.calendar(spark, sf_dir).select(
-        "event_id", texts.lookup(texts.event_type(col("title")), vocab.TYPE_WEIGHTS, 1).alias("event_weight"),
+    return texts.folded(inputs.calendar(spark, sf_dir), "title").select(
+        "event_id", texts.lookup(texts.event_type(col("_up")), vocab.TYPE_WEIGHTS, 1).alias("event_weight"),
         texts.lookup(label, vocab.IMPACT_RANKS, 0).alias("impact_rank"))
 
 

@@ -1,10 +1,14 @@
-"""Text classification and parsing as native column expressions."""
+"""Text classification and parsing as native column expressions.
+
+Functions over ``low`` or ``up`` take text folded by ``lowered`` or ``uppered``. Callers fold in a
+``select`` of their own, so a long text is folded once however many needles are looked up in it.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from squallbars.functions import vocab
@@ -17,58 +21,62 @@ def lowered(c: Column) -> Column:
     return F.coalesce(F.lower(c), F.lit("none"))
 
 
+def folded(df: DataFrame, text: str, **more: str) -> DataFrame:
+    """Add ``_low`` and ``_up`` forms of a text column, and a lower-case form per ``name=column``."""
+    return df.select("*", lowered(F.col(text)).alias("_low"), uppered(F.col(text)).alias("_up"),
+                     *[lowered(F.col(c)).alias(n) for n, c in more.items()])
+
+
 def uppered(c: Column) -> Column:
     return F.coalesce(F.upper(c), F.lit("NONE"))
 
 
-def keyword_hits(c: Column, words: list[str]) -> Column:
-    text = lowered(c)
-    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words])
+def keyword_hits(low: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") for w in words])
 
 
-def keyword_counts(c: Column, classes: dict[str, list[str]]) -> dict[str, Column]:
-    return {name: keyword_hits(c, words) for name, words in classes.items()}
+def keyword_counts(low: Column, classes: dict[str, list[str]]) -> dict[str, Column]:
+    return {name: keyword_hits(low, words) for name, words in classes.items()}
 
 
-def best_class(c: Column, classes: dict[str, list[str]]) -> Column:
+def best_class(low: Column, classes: dict[str, list[str]]) -> Column:
     """Class with most keywords contained; the first class wins ties; none gives OTHER."""
-    counts = F.array(*keyword_counts(c, classes).values())
-    names = F.array(*[F.lit(n) for n in classes])
-    top = F.array_max(counts)
-    return F.when(top == 0, F.lit("OTHER")).otherwise(F.element_at(names, F.array_position(counts, top).cast("int")))
+    ranked = [F.struct(n.alias("hits"), F.lit(-i).alias("place"), F.lit(name).alias("name"))
+              for i, (name, n) in enumerate(keyword_counts(low, classes).items())]
+    none = F.struct(F.lit(0).alias("hits"), F.lit(1).alias("place"), F.lit("OTHER").alias("name"))
+    return F.array_max(F.array(*ranked, none))["name"]
 
 
-def first_rule(c: Column, rules: Rules, default: Column | None = None) -> Column:
+def first_rule(up: Column, rules: Rules, default: Column | None = None) -> Column:
     """Label of the first rule whose required needles all, and alternatives any, occur."""
-    text = uppered(c)
     out = None
     for needed, any_of, label in rules:
-        tests = [F.contains(text, F.lit(n)) for n in needed]
+        tests = [F.contains(up, F.lit(n)) for n in needed]
         if any_of:
-            tests.append(reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in any_of]))
+            tests.append(reduce(lambda a, b: a | b, [F.contains(up, F.lit(n)) for n in any_of]))
         test = reduce(lambda a, b: a & b, tests)
         out = F.when(test, F.lit(label)) if out is None else out.when(test, F.lit(label))
     return out if default is None else out.otherwise(default)
 
 
-def main_event(title: Column) -> Column:
-    return first_rule(title, vocab.MAIN_EVENT_RULES)
+def main_event(up: Column) -> Column:
+    return first_rule(up, vocab.MAIN_EVENT_RULES)
 
 
-def event_type(title: Column) -> Column:
-    return first_rule(title, vocab.EVENT_TYPE_RULES, F.lit("OTHER"))
+def event_type(up: Column) -> Column:
+    return first_rule(up, vocab.EVENT_TYPE_RULES, F.lit("OTHER"))
 
 
-def specific_type(title: Column) -> Column:
-    return first_rule(title, vocab.SPECIFIC_TYPE_RULES, F.lit("OTHER"))
+def specific_type(up: Column) -> Column:
+    return first_rule(up, vocab.SPECIFIC_TYPE_RULES, F.lit("OTHER"))
 
 
-def specific_name(title: Column, indicator: Column) -> Column:
+def specific_name(up: Column, indicator: Column) -> Column:
     """Title rules, else the indicator without its trailing period words, else null."""
     name = uppered(indicator)
     cleaned = F.initcap(F.trim(F.regexp_replace(name, r"(?i)\s+(MOM|YOY|QOQ|ANNUAL|FLASH|PREL|FINAL).*", "")))
     fallback = F.when(~name.isin(vocab.UNINFORMATIVE_INDICATORS), cleaned)
-    return first_rule(title, vocab.SPECIFIC_NAME_RULES, fallback)
+    return first_rule(up, vocab.SPECIFIC_NAME_RULES, fallback)
 
 
 def release_period(period: Column) -> Column:
@@ -77,16 +85,16 @@ def release_period(period: Column) -> Column:
             .when(text.rlike("|".join(vocab.QUARTER_TOKENS)), "Q"))
 
 
-def release_stage(title: Column) -> Column:
-    return first_rule(title, [(["PREL"], [], "Preliminary"), (["FLASH"], [], "Flash"), (["FINAL"], [], "Final")])
+def release_stage(up: Column) -> Column:
+    return first_rule(up, [(["PREL"], [], "Preliminary"), (["FLASH"], [], "Flash"), (["FINAL"], [], "Final")])
 
 
-def calculation_period(title: Column) -> Column:
-    return first_rule(title, [(["MOM"], [], "MoM"), (["QOQ"], [], "QoQ"), (["YOY"], [], "YoY")])
+def calculation_period(up: Column) -> Column:
+    return first_rule(up, [(["MOM"], [], "MoM"), (["QOQ"], [], "QoQ"), (["YOY"], [], "YoY")])
 
 
-def mentions(c: Column, word: str) -> Column:
-    return F.contains(lowered(c), F.lit(word)).cast("int")
+def mentions(low: Column, word: str) -> Column:
+    return F.contains(low, F.lit(word)).cast("int")
 
 
 def is_calendar(indicator: Column) -> Column:

@@ -146,16 +146,18 @@ def ngram_counts(df: DataFrame, text: str, doc: str, sizes: tuple[int, int] = (1
     if stop_words:
         words = F.filter(words, lambda x: ~x.isin(list(stop_words)))
     tokens = df.filter(col(text).isNotNull()).select(doc, words.alias("w"))
-    grams = []
-    for n in range(sizes[0], sizes[1] + 1):
-        spots = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        grams.append(_grams(spots, n))
-    per_doc = (tokens.select(doc, F.explode(F.concat(*grams)).alias("word"))
-               .groupBy("word", doc).agg(F.count(F.lit(1)).alias("c")))
-    out = (per_doc.groupBy("word").agg(F.sum("c").alias("count"), F.count(F.lit(1)).alias("documents"))
-           .filter(col("documents") >= min_df).drop("documents"))
+    grams, phrase = [], col("w")
+    for n in range(1, sizes[1] + 1):
+        if n > 1:
+            phrase = F.array_compact(F.zip_with(phrase, F.slice("w", n, F.greatest(F.size("w"), F.lit(1))),
+                                                lambda a, b: F.concat(a, F.lit(" "), b)))
+        if n >= sizes[0]:
+            grams.append(phrase)
+    terms = tokens.select(doc, F.explode(F.concat(*grams)).alias("word"))
+    if min_df <= 1:
+        out = terms.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    else:
+        per_doc = terms.groupBy("word", doc).agg(F.count(F.lit(1)).alias("c"))
+        out = (per_doc.groupBy("word").agg(F.sum("c").alias("count"), F.count(F.lit(1)).alias("documents"))
+               .filter(col("documents") >= min_df).drop("documents"))
     return out.orderBy(col("count").desc(), "word").limit(max_features) if max_features else out
-
-
-def _grams(spots: Column, n: int) -> Column:
-    return F.transform(spots, lambda i: F.array_join(F.slice("w", i, n), " "))

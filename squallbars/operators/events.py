@@ -19,16 +19,16 @@ _VOCABULARY_LIMIT = 5000
 
 def event_features(events: DataFrame) -> DataFrame:
     """Stage, period, source class, nine class counts, main event and flags of each event."""
-    title = col("title")
-    counts = texts.keyword_counts(title, vocab.EVENT_CLASSES)
-    main = texts.main_event(title)
+    low, up = col("_low"), col("_up")
+    counts = texts.keyword_counts(low, vocab.EVENT_CLASSES)
     kept = [c for c in events.columns if c != "source"]
-    return events.select(
-        *kept, texts.best_class(col("source"), vocab.SOURCE_CLASSES).alias("source"),
-        texts.release_stage(title).alias("stage_release"), texts.calculation_period(title).alias("calc_period"),
-        *[c.alias(f"event_{n}") for n, c in counts.items()], main.alias("most_important_event"), main.alias("mie"),
-        texts.is_calendar(col("indicator")).alias("is_calendar"),
-        texts.mentions(title, "president").alias("is_president"), texts.mentions(title, "election").alias("is_election"))
+    out = texts.folded(events, "title", _source="source").select(
+        *kept, texts.best_class(col("_source"), vocab.SOURCE_CLASSES).alias("source"),
+        texts.release_stage(up).alias("stage_release"), texts.calculation_period(up).alias("calc_period"),
+        *[c.alias(f"event_{n}") for n, c in counts.items()], texts.main_event(up).alias("most_important_event"),
+        texts.is_calendar(col("indicator")).alias("is_calendar"), texts.mentions(low, "president").alias("is_president"),
+        texts.mentions(low, "election").alias("is_election"))
+    return out.withColumn("mie", col("most_important_event"))
 
 
 def fit_vocabulary(features: DataFrame, columns: Sequence[str] = CATEGORICAL) -> dict[str, list[str]]:
@@ -127,11 +127,10 @@ def preprocess(events: DataFrame, vocabulary: dict[str, list[str]] | None = None
 # ---- richer bucket aggregates -----------------------------------------------------------------------
 def typed(events: DataFrame, freq: str = "30min") -> DataFrame:
     """Event type, weight, impact rank 0..2, key flag and half-hour slot of each event."""
-    kind = texts.event_type(col("title"))
-    return events.select(
-        "*", kind.alias("event_type"), (col("importance") + 1).alias("impact_rank"),
-        texts.lookup(kind, vocab.TYPE_WEIGHTS, 1).alias("event_weight"),
-        kind.isin(vocab.KEY_TYPES).alias("is_key_event"), times.nearest_slot(col("date"), freq).alias("slot"),
+    kinds = texts.folded(events, "title").select(*events.columns, texts.event_type(col("_up")).alias("event_type"))
+    return kinds.select(
+        "*", (col("importance") + 1).alias("impact_rank"), texts.lookup(col("event_type"), vocab.TYPE_WEIGHTS, 1).alias("event_weight"),
+        col("event_type").isin(vocab.KEY_TYPES).alias("is_key_event"), times.nearest_slot(col("date"), freq).alias("slot"),
         times.local_hour(col("date"), col("currency")).alias("local_hour"))
 
 

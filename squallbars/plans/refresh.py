@@ -18,8 +18,9 @@ KEYS = ["main_event", "datetime", "ticker"]
 
 def event_ranges(bars: DataFrame, events: DataFrame, tail: int = 50) -> DataFrame:
     """Forward ranges of every ticker at each hour with events, labelled by the hour's main event."""
-    main = (events.select(F.date_trunc("hour", "date").alias("datetime"), "date", "event_id",
-                          texts.main_event(col("title")).alias("most_important_event"))
+    main = (texts.folded(events, "title")
+            .select(F.date_trunc("hour", "date").alias("datetime"), "date", "event_id",
+                    texts.main_event(col("_up")).alias("most_important_event"))
             .groupBy("datetime").agg(ev.main_event_of([-F.unix_micros("date"), -col("event_id")]).alias("main_event")))
     measured = over_bars(bars, lambda df, w: df.select("*", *[
         labels.future_range(w, h).alias(f"future_range_{h}h") for h in HORIZONS]), back=1, ahead=max(HORIZONS))
