@@ -215,28 +215,9 @@ bar_query("w11_rolling_mean_pct_change",
           {"sma_5": roll("avg", "close", 5), "pct_change": f"close / nullif({lag('close')}, 0) - 1"}, back=5, digits=8)
 
 
-def _triple_cols(w):
-    out = {}
-    for k in (1, 3, 6, 12, 24):
-        for m in ("volume", "range", "dni"):
-            name = f"{m}_{k}"
-            after = w.lead(f"{name}_before", k + 1)
-            out |= {f"{name}_before": col(f"{name}_before"), f"{name}_after": after,
-                    f"{name}_ratio": F.try_divide(col(f"{name}_before").cast("double"), after)}
-    return out
-
-
-def _triple_stage(w):
-    out = {}
-    for k in (1, 3, 6, 12, 24):
-        out[f"volume_{k}_before"] = w.frame(F.sum, "volume", -k, -1)
-        out[f"range_{k}_before"] = w.frame(F.max, "high", -3, -1) - w.frame(F.min, "low", -3, -1)
-        out[f"dni_{k}_before"] = F.try_divide(w.frame(F.sum, "body", -k, -1), w.frame(F.sum, "trange", -k, -1))
-    return out
-
-
+SPANS = (1, 3, 6, 12, 24)
 _stage_sql, _out_sql = {}, {}
-for _k in (1, 3, 6, 12, 24):
+for _k in SPANS:
     _stage_sql[f"volume_{_k}_before"] = frame("sum", "volume", -_k, -1)
     _stage_sql[f"range_{_k}_before"] = f"({frame('max', 'high', -3, -1)}) - ({frame('min', 'low', -3, -1)})"
     _stage_sql[f"dni_{_k}_before"] = (f"({frame('sum', 'body', -_k, -1)}) / "
@@ -245,7 +226,9 @@ for _k in (1, 3, 6, 12, 24):
         _b = f"{_m}_{_k}_before"
         _out_sql |= {_b: _b, f"{_m}_{_k}_after": lead(_b, _k + 1),
                      f"{_m}_{_k}_ratio": f"CAST({_b} AS DOUBLE) / nullif({lead(_b, _k + 1)}, 0)"}
-bar_query("w12_before_after", _triple_cols, _out_sql, back=26, ahead=25, stage=(_triple_stage, _stage_sql))
+bar_query("w12_before_after",
+          lambda w: {n: c for k in SPANS for m in ind.TRIPLES for n, c in ind.before_after(w, m, k).items()}, _out_sql,
+          back=26, ahead=25, stage=(lambda w: {n: c for k in SPANS for n, c in ind.before_windows(w, k).items()}, _stage_sql))
 
 
 @query("w01_latest_bars", with_tables("bars", body="""

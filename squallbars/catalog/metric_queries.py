@@ -243,15 +243,10 @@ _BETAS = (0.5, 1, 2, 3)
 @query("m09_best_thresholds", with_tables("scored", CURVE_SQL, body=" UNION ALL ".join(
     f"""SELECT * FROM (SELECT 'f{b}' AS name, score AS threshold, {rds('precision', 'recall')} FROM curve ORDER BY
   (1 + {b * b}) * precision * recall / ({b * b} * precision + recall + 1e-9) DESC, score LIMIT 1)""" for b in _BETAS)
-    + f""" UNION ALL SELECT * FROM (SELECT 'recall_60' AS name, score AS threshold, {rds('precision', 'recall')} FROM curve
+    + f""" UNION ALL SELECT * FROM (SELECT 'recall_0.6' AS name, score AS threshold, {rds('precision', 'recall')} FROM curve
   WHERE recall >= 0.6 ORDER BY precision DESC, score LIMIT 1)"""))
 def best_thresholds(spark, sf_dir):
-    rows = inputs.scored(spark, sf_dir)
-    parts = [metrics.best_threshold(rows, "y_true", "score", b).select(F.lit(f"f{b}").alias("name"), "*") for b in _BETAS]
-    parts.append(metrics.best_threshold(rows, "y_true", "score", min_recall=0.6).select(F.lit("recall_60").alias("name"), "*"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = metrics.best_thresholds(inputs.scored(spark, sf_dir), "y_true", "score", _BETAS, (0.6,))
     return out.select("name", "threshold", *rounded("precision", "recall"))
 
 

@@ -66,20 +66,28 @@ def with_bucket(events: DataFrame, method: str = "hourly", crop: str = "1st") ->
     return events.withColumn("rounded_time", slot)
 
 
-def main_event_of(rank_ties: Sequence[Column]) -> Column:
-    """Main event with the highest weight in the group; earliest on ties; a fixed text when none."""
-    weight = texts.lookup(col("most_important_event"), vocab.MAIN_EVENT_WEIGHTS, 0)
-    return F.coalesce(F.max_by("most_important_event", F.struct(weight, *rank_ties)), F.lit(vocab.NO_MAIN_EVENT))
+def main_event_of(date: str = "date", row_id: str = "event_id") -> Column:
+    """Main event with the highest weight in the group; earliest on ties; a fixed text when none.
+
+    Labels are aggregated as positions in the fixed list, and the order as one decimal, so that the
+    whole bucket aggregation runs as a hash aggregation.
+    """
+    names = F.array(*[F.lit(n) for n in vocab.MAIN_EVENT_WEIGHTS])
+    label = col("most_important_event")
+    weight = texts.lookup(label, vocab.MAIN_EVENT_WEIGHTS, 0).cast("decimal(1,0)")
+    earlier = times.ordered_rank(date, row_id).cast("decimal(36,0)")
+    rank = weight * F.expr("cast('1000000000000000000000000000000000000' as decimal(37,0))") - earlier
+    best = F.max_by(F.coalesce(F.array_position(names, label), F.lit(0)).cast("int"), rank)
+    return F.coalesce(F.get(names, best - 1), F.lit(vocab.NO_MAIN_EVENT))
 
 
 def aggregate_buckets(encoded: DataFrame, bucket: str = "rounded_time") -> DataFrame:
     """Counts, main event and category sums per bucket in one aggregation."""
-    ties = [-F.unix_micros("date"), -col("event_id")]
     sums = [c for c, kind in encoded.dtypes if c.startswith(SUM_PREFIXES) and kind in ("int", "bigint")
             and c not in ("event_id", "is_election", bucket)]
     return encoded.groupBy(bucket).agg(
         F.count("title").alias("news_count"), F.count_if(col("importance") == 1).alias("high_impact_count"),
-        F.count("most_important_event").alias("key_event_count"), main_event_of(ties).alias("main_event"),
+        F.count("most_important_event").alias("key_event_count"), main_event_of().alias("main_event"),
         *[F.sum(c).cast("int").alias(c) for c in sums])
 
 

@@ -147,9 +147,21 @@ def rolling_entropy(w: Frames, c: str, n: int, bins: int = 10) -> Column:
     return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
 
 
-def before_after(w: Frames, value_before: Column, name: str, k: int) -> dict[str, Column]:
-    """Value of the window ending one bar ago, the same window k+1 bars later, and their ratio."""
-    return {f"{name}_before": value_before, f"{name}_after": F.lead(value_before, k + 1).over(w.base)}
+TRIPLES = ("volume", "range", "dni")
+
+
+def before_windows(w: Frames, k: int) -> dict[str, Column]:
+    """Volume sum, 3-bar range and directional noise of the window that ends one bar ago; needs ``body``."""
+    return {f"volume_{k}_before": w.frame(F.sum, "volume", -k, -1),
+            f"range_{k}_before": w.frame(F.max, "high", -3, -1) - w.frame(F.min, "low", -3, -1),
+            f"dni_{k}_before": F.try_divide(w.frame(F.sum, "body", -k, -1), w.frame(F.sum, "trange", -k, -1))}
+
+
+def before_after(w: Frames, name: str, k: int) -> dict[str, Column]:
+    """A window's value, the value k+1 bars later, and their ratio; needs the ``before`` column."""
+    before, after = col(f"{name}_{k}_before"), w.lead(f"{name}_{k}_before", k + 1)
+    return {f"{name}_{k}_before": before, f"{name}_{k}_after": after,
+            f"{name}_{k}_ratio": F.try_divide(before.cast("double"), after)}
 
 
 @F.pandas_udf(T.DoubleType())

@@ -135,20 +135,25 @@ def _f_beta(precision: Column, recall: Column, beta: float) -> Column:
 
 def binary_metrics(df: DataFrame, y: str, p: str, threshold: float = 0.5, keys: Sequence[str] = (),
                    betas: Sequence[float] = (0.5, 1, 2, 3)) -> DataFrame:
-    """Scores at a threshold (>=), probability losses, confusion counts, ranking areas and lift."""
-    hit, yes = col(p) >= threshold, col(y) == 1
-    prob = F.least(F.greatest(col(p), F.lit(1e-7)), F.lit(1 - 1e-7))
-    base = _group(df, keys, F.count_if(hit & yes).alias("tp"), F.count_if(hit & ~yes).alias("fp"),
-                  F.count_if(~hit & yes).alias("fn"), F.count_if(~hit & ~yes).alias("tn"),
-                  F.avg(F.pow(col(p) - col(y), 2)).alias("brier_score"),
-                  F.avg(F.when(yes, -F.ln(prob)).otherwise(-F.ln(1 - prob))).alias("log_loss"),
-                  F.avg(col(y).cast("double")).alias("base_rate"))
+    """Scores at a threshold (>=), probability losses, confusion counts, ranking areas and lift.
+
+    Everything follows from the counts per distinct score, so the rows are read once.
+    """
+    curve = score_curve(df, y, p, keys)
+    score, pos, neg = col("threshold").cast("double"), col("pos"), col("n") - col("pos")
+    hit = col("threshold") >= threshold
+    prob = F.least(F.greatest(score, F.lit(1e-7)), F.lit(1 - 1e-7))
+    rows, none = F.sum("n"), F.lit(0).cast("long")
+    base = _group(curve, keys, F.sum(F.when(hit, pos).otherwise(none)).alias("tp"), F.sum(F.when(hit, neg).otherwise(none)).alias("fp"),
+                  F.sum(F.when(hit, none).otherwise(pos)).alias("fn"), F.sum(F.when(hit, none).otherwise(neg)).alias("tn"),
+                  (F.sum(pos * F.pow(score - 1, 2) + neg * F.pow(score, 2)) / rows).alias("brier_score"),
+                  (-F.sum(pos * F.ln(prob) + neg * F.ln(1 - prob)) / rows).alias("log_loss"),
+                  (F.sum("pos") / rows).alias("base_rate"), *_areas())
     zero = F.lit(0.0)
     base = base.withColumns({"precision": F.coalesce(F.try_divide(col("tp"), col("tp") + col("fp")), zero),
                              "recall": F.coalesce(F.try_divide(col("tp"), col("tp") + col("fn")), zero)})
     base = base.select("*", *[_f_beta(col("precision"), col("recall"), b).alias(f"f{b}".replace(".", "_")) for b in betas])
-    out = _join(base, ranking_areas(df, y, p, keys), keys)
-    return out.withColumn("lift", F.try_divide(col("pr_auc"), col("base_rate")))
+    return base.withColumn("lift", F.try_divide(col("pr_auc"), col("base_rate")))
 
 
 def score_curve(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -160,31 +165,43 @@ def score_curve(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> Data
                         F.try_divide(col("cum_pos"), col("total_pos")).alias("recall"))
 
 
-def ranking_areas(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Average precision (step sum), trapezoid PR area and ROC area (null for a single class)."""
-    curve = score_curve(df, y, p, keys)
+def _areas() -> list[Column]:
+    """Average precision (step sum), trapezoid PR area and ROC area over a score curve."""
     gain = F.try_divide(col("pos"), col("_p"))
     before = F.coalesce(F.try_divide(col("cum_pos") - col("pos"), col("cum_n") - col("n")), F.lit(1.0))
     negatives = col("_all") - col("_p")
-    below = negatives - (col("cum_n") - col("cum_pos"))
-    own = col("n") - col("pos")
-    wins = F.sum(col("pos") * (below + own / 2))
-    return _group(curve, keys, F.sum(gain * col("precision")).alias("pr_auc"),
-                  F.sum(gain * (col("precision") + before) / 2).alias("pr_auc_trapezoid"),
-                  F.try_divide(wins, F.max("_p") * F.max(negatives)).alias("roc_auc"))
+    below, own = negatives - (col("cum_n") - col("cum_pos")), col("n") - col("pos")
+    return [F.sum(gain * col("precision")).alias("pr_auc"),
+            F.sum(gain * (col("precision") + before) / 2).alias("pr_auc_trapezoid"),
+            F.try_divide(F.sum(col("pos") * (below + own / 2)), F.max("_p") * F.max(negatives)).alias("roc_auc")]
+
+
+def ranking_areas(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
+    """PR and ROC areas; the ROC area of a single class is null."""
+    return _group(score_curve(df, y, p, keys), keys, *_areas())
+
+
+def best_thresholds(df: DataFrame, y: str, p: str, betas: Sequence[float] = (0.5, 1, 2, 3),
+                    min_recalls: Sequence[float] = (), keys: Sequence[str] = ()) -> DataFrame:
+    """Per rule the best threshold: highest F-beta, or highest precision at a minimum recall.
+
+    Lowest threshold on ties; without any score of enough recall the one with the highest recall.
+    All rules read one curve.
+    """
+    curve = score_curve(df, y, p, keys)
+    precision, recall = col("precision"), col("recall")
+    merits = {f"f{b}": (1 + b * b) * precision * recall / (b * b * precision + recall + 1e-9) for b in betas}
+    merits |= {f"recall_{m}": F.when(recall >= m, precision).otherwise(recall - 2) for m in min_recalls}
+    spot = F.struct("threshold", "precision", "recall")
+    picks = [F.struct(F.lit(n).alias("name"), F.max_by(spot, F.struct(m, -col("threshold"))).alias("b")) for n, m in merits.items()]
+    best = _group(curve, keys, F.array(*picks).alias("_picks")).select(*keys, F.explode("_picks").alias("_x"))
+    return best.select(*keys, "_x.name", "_x.b.*")
 
 
 def best_threshold(df: DataFrame, y: str, p: str, beta: float = 2.0, min_recall: float | None = None,
                    keys: Sequence[str] = ()) -> DataFrame:
-    """Threshold with the best F-beta, or the best precision at a minimum recall; lowest on ties."""
-    curve = score_curve(df, y, p, keys)
-    if min_recall is None:
-        b2 = beta * beta
-        merit = (1 + b2) * col("precision") * col("recall") / (b2 * col("precision") + col("recall") + 1e-9)
-    else:
-        merit = F.when(col("recall") >= min_recall, col("precision")).otherwise(F.lit(-1.0))
-    best = F.max_by(F.struct("threshold", "precision", "recall"), F.struct(merit, -col("threshold")))
-    return _group(curve, keys, best.alias("b")).select(*keys, "b.*")
+    betas, recalls = ((beta,), ()) if min_recall is None else ((), (min_recall,))
+    return best_thresholds(df, y, p, betas, recalls, keys).drop("name")
 
 
 # ---- multiclass -------------------------------------------------------------------------------------

@@ -21,7 +21,7 @@ def event_ranges(bars: DataFrame, events: DataFrame, tail: int = 50) -> DataFram
     main = (texts.folded(events, "title")
             .select(F.date_trunc("hour", "date").alias("datetime"), "date", "event_id",
                     texts.main_event(col("_up")).alias("most_important_event"))
-            .groupBy("datetime").agg(ev.main_event_of([-F.unix_micros("date"), -col("event_id")]).alias("main_event")))
+            .groupBy("datetime").agg(ev.main_event_of().alias("main_event")))
     measured = over_bars(bars, lambda df, w: df.select("*", *[
         labels.future_range(w, h).alias(f"future_range_{h}h") for h in HORIZONS]), back=1, ahead=max(HORIZONS))
     rows = measured.join(main, "datetime").select(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from squallbars.functions.times import ordered_rank
+
 CURRENCIES = ["USD", "EUR", "GBP", "JPY", "AUD", "CAD", "CHF", "NZD"]
 COUNTRIES = ["US", "DE", "GB", "JP", "AU", "CA", "CH", "NZ"]
 TITLES = [
@@ -33,13 +35,6 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
 
 
-def tick_rank(ts: Column | str, tick_id: Column | str) -> Column:
-    """Time, then id, as one decimal. Unlike a struct it fits a hash-aggregation buffer, so ticks are
-    combined map-side without sorting them (about 1.7 times faster on 20 million ticks)."""
-    place = F.expr("cast('10000000000000000000' as decimal(20,0))")
-    return F.unix_micros(ts).cast("decimal(17,0)") * place + F.col(tick_id).cast("decimal(19,0)")
-
-
 def bars_from_ticks(rows: DataFrame, rank: Column, ts: str = "ts", unit: str = "hour", price: str = "value") -> DataFrame:
     """OHLC bars by partial aggregation: one shuffle on (ticker, bar)."""
     return (rows.groupBy("ticker", F.date_trunc(unit, F.col(ts)).alias("datetime"))
@@ -48,7 +43,7 @@ def bars_from_ticks(rows: DataFrame, rank: Column, ts: str = "ts", unit: str = "
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars_from_ticks(ticks(spark, sf_dir), tick_rank("ts", "event_id"))
+    return bars_from_ticks(ticks(spark, sf_dir), ordered_rank("ts", "event_id"))
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

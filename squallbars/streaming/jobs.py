@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from squallbars.sources.inputs import tick_rank
+from squallbars.functions.times import ordered_rank
 
 col = F.col
 
@@ -22,7 +22,7 @@ def read_ticks(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
 
 def hourly_bars(ticks: DataFrame, lateness: str = "2 hours") -> DataFrame:
     """Hourly OHLC per ticker with bounded lateness; state holds one row per open bar."""
-    rank = tick_rank("ts", "event_id")
+    rank = ordered_rank("ts", "event_id")
     return (ticks.withWatermark("ts", lateness).groupBy(F.window("ts", "1 hour"), "ticker")
             .agg(F.min_by("value", rank).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
                  F.max_by("value", rank).alias("close"), F.count(F.lit(1)).alias("volume"))
