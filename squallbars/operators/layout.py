@@ -142,7 +142,7 @@ def fill_forward(df: DataFrame, keys: Sequence[str], order: str, cols: dict[str,
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str, values: Sequence[str],
-              unit: str = "month", tolerance: str | None = None) -> DataFrame:
+              unit: str = "day", tolerance: str | None = None) -> DataFrame:
     """Latest right row at or before each left row, as a tagged union and a two-level forward fill."""
     keys = list(keys)
     kept = [c for c in left.columns if c not in keys and c != on]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,10 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from squallbars.operators.layout import exact_quantiles
-from squallbars.session import shared
+from squallbars.session import shared, shared_dir
 
 col = F.col
-MAX_CLASSES = 1000
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -52,9 +52,13 @@ def ordinal_learner(features: Sequence[str], label: str, **params) -> Pipeline:
 def walk_forward(assigned: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Out-of-fold predictions: ``fit`` on each fold's training rows scores its validation rows.
 
-    Folds are few; every fit and every scoring runs on the cluster.
+    Rows are written once by fold and role, so each fit reads only its own files. Folds are few; every
+    fit and every scoring runs on the cluster.
     """
-    rows = shared(assigned)
+    spark = assigned.sparkSession
+    path = f"{shared_dir(spark)}/folds-{uuid.uuid4().hex}"
+    assigned.write.partitionBy("fold", "role").parquet(path)
+    rows = spark.read.schema(assigned.schema).parquet(path)
     ids = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
     out = None
     for k in ids:
