@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from squallbars.catalog.bar_queries import BASE_SQL, KEY, N
-from squallbars.catalog.label_queries import FILLED_SQL  # noqa: F401
 from squallbars.catalog.registry import query, r, rounded
 from squallbars.catalog.sql import BY, frame, lag, rd, rds, roll, wilder, with_tables
 from squallbars.catalog.text_queries import (BDAY_SQL, FEATURE_SQL, FLAG_SQL, HI, LO, LOCAL_SQL, NOW, map_sql, quoted,
@@ -15,7 +14,7 @@ from squallbars.operators import aggregates as agg
 from squallbars.operators import events as ev
 from squallbars.operators import history, indicators as ind, joins
 from squallbars.operators.layout import over_bars, over_series
-from squallbars.session import shared
+from squallbars.session import shared, spread
 from squallbars.sources import inputs
 
 col = F.col
@@ -37,7 +36,7 @@ EVENT_VOCAB = ev.CATEGORICAL
 
 
 def _encoded(spark, sf_dir):
-    feats = ev.event_features(inputs.calendar(spark, sf_dir))
+    feats = ev.event_features(spread(inputs.calendar(spark, sf_dir)))
     return ev.encode(feats, ev.fit_vocabulary(feats))
 
 

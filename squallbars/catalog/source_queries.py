@@ -12,7 +12,7 @@ from squallbars.catalog.text_queries import FEATURE_SQL, FLAG_SQL, HI, LO, NOW
 from squallbars.operators import aggregates as agg
 from squallbars.operators import events as ev
 from squallbars.operators.layout import over_bars
-from squallbars.session import shared, shared_dir
+from squallbars.session import shared, shared_dir, spread
 from squallbars.sources import clean, files, inputs, store
 
 col = F.col
@@ -232,7 +232,7 @@ def drop_nulls(spark, sf_dir):
 @query("p07_drop_catch_all", with_tables("calendar", FEATURE_SQL, body=f"""
 SELECT count(*) AS rows, {', '.join(f'CAST(sum({e}) AS BIGINT) AS {n}' for n, e in FLAG_SQL)} FROM feats"""))
 def drop_catch_all(spark, sf_dir):
-    feats = ev.event_features(inputs.calendar(spark, sf_dir))
+    feats = ev.event_features(spread(inputs.calendar(spark, sf_dir)))
     encoded = ev.encode(feats, ev.fit_vocabulary(feats))
     flags = [c for c in encoded.columns if c.split("_")[0] in ("category", "currency", "country", "source", "scale", "mie")
              or c.startswith(("stage_release_", "calc_period_"))]

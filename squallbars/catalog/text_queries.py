@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,7 +9,8 @@ from squallbars.catalog.registry import query, r, rounded
 from squallbars.catalog.sql import rd, with_tables
 from squallbars.functions import texts, times, vocab
 from squallbars.operators import events as ev
-from squallbars.sources import clean, files, inputs, store
+from squallbars.session import spread
+from squallbars.sources import inputs
 
 col = F.col
 LO, HI, NOW = "2024-01-05", "2024-01-12", "2024-01-10 09:30:00"
@@ -129,7 +129,7 @@ SELECT event_id, CAST(coalesce(indicator = 'Calendar', false) AS INT) AS is_cale
   CAST(contains(lower(coalesce(title, 'none')), 'president') AS INT) AS is_president,
   CAST(contains(lower(coalesce(title, 'none')), 'election') AS INT) AS is_election FROM calendar"""))
 def flags(spark, sf_dir):
-    rows = ev.event_features(inputs.calendar(spark, sf_dir))
+    rows = ev.event_features(spread(inputs.calendar(spark, sf_dir)))
     return rows.select("event_id", "is_calendar", "is_president", "is_election")
 
 
@@ -153,7 +153,7 @@ FLAG_SQL = [(f"{c}_{v}", f"CAST(coalesce({c}, 'None') = '{v}' AS INT)") for c, v
 @query("x11_one_hot", with_tables("calendar", FEATURE_SQL, body=f"""
 SELECT event_id, {', '.join(f'{e} AS {n}' for n, e in FLAG_SQL)} FROM feats"""))
 def one_hot(spark, sf_dir):
-    feats = ev.event_features(inputs.calendar(spark, sf_dir))
+    feats = ev.event_features(spread(inputs.calendar(spark, sf_dir)))
     return ev.encode(feats, ev.fit_vocabulary(feats)).select("event_id", *[n for n, _ in FLAG_SQL])
 
 
@@ -161,7 +161,7 @@ def one_hot(spark, sf_dir):
 SELECT event_id, {', '.join(f'event_{n}' for n in vocab.EVENT_CLASSES)}, is_calendar, is_president, mie, source,
   stage_release, calc_period FROM feats"""))
 def event_features(spark, sf_dir):
-    rows = ev.event_features(inputs.calendar(spark, sf_dir))
+    rows = ev.event_features(spread(inputs.calendar(spark, sf_dir)))
     return rows.select("event_id", *[f"event_{n}" for n in vocab.EVENT_CLASSES], "is_calendar", "is_president", "mie",
                        "source", "stage_release", "calc_period")
 

@@ -83,7 +83,7 @@ def log_return(w: Frames) -> Column:
 
 def log_range_squared() -> Column:
     share = F.try_divide(col("high"), F.when(col("low") != 0, col("low")))
-    return F.pow(F.ln(F.greatest(share, F.lit(1e-12))), 2)
+    return F.when(share.isNotNull(), F.pow(F.ln(F.greatest(share, F.lit(1e-12))), 2))
 
 
 def parkinson(w: Frames, n: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squallbars.functions.times import ordered_rank
+from squallbars.session import spread
 
 CURRENCIES = ["USD", "EUR", "GBP", "JPY", "AUD", "CAD", "CHF", "NZD"]
 COUNTRIES = ["US", "DE", "GB", "JP", "AU", "CA", "CH", "NZ"]
@@ -101,4 +102,4 @@ def user_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))

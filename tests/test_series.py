@@ -171,6 +171,15 @@ def test_flat_bars_divide_safely(bars):
     assert (flat.er.iloc[5:] == 0).all() and flat.share.isna().all() and flat.ce.isna().all()
 
 
+def test_bar_without_low_has_no_range_volatility(bars):
+    pdf, df = bars
+    cut = pdf[pdf.ticker == "AAA"].datetime.iloc[100]
+    holed = df.withColumn("low", F.when((F.col("ticker") == "AAA") & (F.col("datetime") == cut), 0.0).otherwise(F.col("low")))
+    got = collect(over_bars(holed.withColumn("hl2", ind.log_range_squared()),
+                            lambda d, w: d.withColumn("pk", ind.parkinson(w, 10)), back=10)).query("ticker == 'AAA'")
+    assert got.pk.isna().tolist() == [i < 9 or 100 <= i < 110 for i in range(len(got))]
+
+
 def test_number_rows_global_and_keyed(bars):
     pdf, df = bars
     got = number_rows(df, [], "datetime", ["ticker"], "month").toPandas().sort_values("_row")
