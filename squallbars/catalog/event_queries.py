@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from squallbars.catalog.bar_queries import BASE_SQL, KEY, N
 from squallbars.catalog.registry import query, r, rounded
 from squallbars.catalog.sql import BY, frame, lag, rd, rds, roll, wilder, with_tables
-from squallbars.catalog.text_queries import (BDAY_SQL, FEATURE_SQL, FLAG_SQL, HI, LO, LOCAL_SQL, NOW, map_sql, quoted,
-                                             rules_sql, slot_sql)
-from squallbars.functions import times, vocab
+from squallbars.catalog.text_queries import FEATURE_SQL, FLAG_SQL, LOCAL_SQL, NOW, map_sql, quoted, rules_sql, slot_sql
+from squallbars.functions import vocab
 from squallbars.operators import aggregates as agg
 from squallbars.operators import events as ev
 from squallbars.operators import history, indicators as ind, joins
@@ -28,11 +27,10 @@ def main_sql(group: str, ts: str = "date") -> str:
 
 
 BUCKETS_SQL = (
-    FEATURE_SQL.replace("feats AS", "feats AS"),
+    FEATURE_SQL,
     f"""buckets AS (SELECT date_trunc('hour', date) AS rounded_time, count(title) AS news_count,
   count(*) FILTER (importance = 1) AS high_impact_count, count(mie) AS key_event_count, {main_sql('')} AS main_event,
   {', '.join(f'CAST(sum({e}) AS INT) AS {n}' for n, e in _sum_sql.items())} FROM feats GROUP BY 1)""")
-EVENT_VOCAB = ev.CATEGORICAL
 
 
 def _encoded(spark, sf_dir):

@@ -6,12 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from squallbars.catalog.registry import query, r, rounded
-from squallbars.catalog.sql import rd, with_tables
+from squallbars.catalog.registry import query, r
+from squallbars.catalog.sql import with_tables
 from squallbars.catalog.text_queries import FEATURE_SQL, FLAG_SQL, HI, LO, NOW
 from squallbars.operators import aggregates as agg
 from squallbars.operators import events as ev
-from squallbars.operators.layout import over_bars
 from squallbars.session import shared, shared_dir, spread
 from squallbars.sources import clean, files, inputs, store
 

@@ -1,11 +1,10 @@
-"""Queries over text, time, predicates, sorting and sources."""
+"""Queries over text and time."""
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
-from squallbars.catalog.registry import query, r, rounded
+from squallbars.catalog.registry import query, r
 from squallbars.catalog.sql import rd, with_tables
 from squallbars.functions import texts, times, vocab
 from squallbars.operators import events as ev
