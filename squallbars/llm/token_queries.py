@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squallbars.llm.common import documents
+from squallbars.llm.packing import pack
 from squallbars.llm.registry import query
 from squallbars.llm.token_counts import token_counts
 from squallbars.llm.token_files import read_tokens, token_digests, write_tokens
 from squallbars.session import shared_dir
 
 
+@query("op2_best_fit_packing")
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document's pieces in sequences of 1,024 tokens."""
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op5_token_files")
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written to files and what the files say of them."""
