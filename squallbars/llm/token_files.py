@@ -58,20 +58,21 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2,
 
     kind = docs.schema[id].dataType.simpleString()
     (docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-     .repartitionByRange(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+     .repartitionByRange(F.col("id").asc_nulls_first())
      .sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
      .mapInArrow(encode, f"id {kind}, part int, local_start long, n_tokens long, ids array<int>")
      .write.options(**LAYOUT).parquet(folder))
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, part, start, n_tokens, ids) of the files; only the columns and pages that a query asks for are read.
+    """(id, part, start, n_tokens, ids) of the files; only the columns and pages that a query asks for are read."""
+    return with_starts(spark.read.parquet(folder), spark.read.parquet(folder))
 
-    `start` counts the ids of all documents before; its bases are one row for each file.
-    """
-    rows = spark.read.parquet(folder)
-    bases = running_base(rows.groupBy("part").agg(F.sum("n_tokens").alias("_n")), "part", "_n").select("part", "base")
-    return rows.join(bases, "part").select("id", "part", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+
+def with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """`start`, which counts the ids of all documents before, in place of `local_start`; its bases are one row for each file."""
+    bases = running_base(files.groupBy("part").agg(F.sum("n_tokens").alias("_n")), "part", "_n").select("part", "base")
+    return rows.join(bases, "part").withColumn("start", F.col("base") + F.col("local_start")).drop("base", "local_start")
 
 
 def token_digests(rows: DataFrame) -> DataFrame:

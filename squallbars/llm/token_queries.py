@@ -12,7 +12,7 @@ from squallbars.llm.common import documents
 from squallbars.llm.packing import pack
 from squallbars.llm.registry import query
 from squallbars.llm.token_counts import token_counts
-from squallbars.llm.token_files import read_tokens, token_digests, write_tokens
+from squallbars.llm.token_files import token_digests, with_starts, write_tokens
 from squallbars.session import shared_dir
 
 
@@ -27,7 +27,8 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written to files and what the files say of them."""
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"))
-    return token_digests(read_tokens(spark, folder)).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    files = spark.read.parquet(folder)
+    return with_starts(token_digests(files), files).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 @query("op10_token_counts")
