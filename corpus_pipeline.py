@@ -1,8 +1,70 @@
-"""The corpus pipeline: documents in, packed sequences out."""
+"""The corpus pipeline: documents in, packed sequences out.
 
-STAGES = []
+Each stage works on all rows that the one before kept, as Parquet. Stages keep the columns of `documents`; the last returns
+the place of every piece of every document.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from squallbars.llm.common import documents, written
+from squallbars.llm.language_id import predict
+from squallbars.llm.language_queries import document_model
+from squallbars.llm.mixing import mix, word_count
+from squallbars.llm.ngram_join import keep_one
+from squallbars.llm.packing import pack
+from squallbars.llm.private_data import redact
+
+LEAST_SCORE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language that the model knows, with a posterior of `LEAST_SCORE` at least."""
+    named = predict(docs, document_model(docs))
+    return named.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+
+
+def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of similar documents."""
+    return keep_one(docs)
+
+
+def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind in place of each span of personal data; `n_chars` counts the new text."""
+    return redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it."""
+    copies = mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", "copies").distinct()
+    # Ids are unique after the stages before; where they are not, rows of one id, source and size have the same copies.
+    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(F.col("text")) == F.col("size")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequence and offset of every piece."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language ID", language_stage),
+    ("n-gram Jaccard join", similar_stage),
+    ("PII", private_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
+
+# Learned models, random-looking hashes and a genetic search have no SQL; tests/llm checks the stages by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to `documents`, one after the other, each written and read again."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
