@@ -79,16 +79,22 @@ def fit_cells(vectors: DataFrame, cells: int, wide: int, per_cell_fit: int = 64,
 
 def linked_roots(links: np.ndarray, names: np.ndarray) -> np.ndarray:
     """The least name that each row of a symmetric link matrix reaches."""
-    at = names.copy()
+    order = np.argsort(names)
+    at = np.empty(len(names), np.int32)
+    at[order] = np.arange(len(names), dtype=np.int32)
+    rows = np.flatnonzero(links.any(1))
     while True:
-        lower = np.minimum(at, np.where(links, at[None, :], np.iinfo(np.int64).max).min(1))
+        lower = at.copy()
+        for k in range(0, len(rows), 512):
+            some = rows[k:k + 512]
+            lower[some] = np.minimum(at[some], np.where(links[some], at[None, :], len(names)).min(1))
         if (lower == at).all():
-            return at
+            return names[order][at]
         at = lower
 
 
 def vector_groups(rows: DataFrame, threshold: float = 0.95, id: str = "vec_id", embedding: str = "embedding",
-                  cell_size: int = 2048, most_cells: int = 4096, block: int = 1024, reach: float = 4.0) -> DataFrame:
+                  cell_size: int = 512, most_cells: int = 16_384, block: int = 2048, reach: float = 2.0) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
     spark = rows.sparkSession
     rows = rows.select(F.col(id).cast("long").alias("id"), F.col(embedding).alias("embedding"))
@@ -126,9 +132,12 @@ def vector_groups(rows: DataFrame, threshold: float = 0.95, id: str = "vec_id",
         unit = _matrix(table.column("embedding").combine_chunks(), wide)
         left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
         links = np.zeros((len(ids), len(ids)), bool)
-        got = unit[left] @ unit[right].T >= threshold
-        # A pair of two homes meets in the lesser of them if both visit, else in the only one where it can.
+        # Two visitors are not compared here: they meet where one of them is at home.
         at_home = home == cell
+        got = np.zeros((len(left), len(right)), bool)
+        for i, j in ((at_home[left], np.ones(len(right), bool)), (~at_home[left], at_home[right])):
+            got[np.ix_(i, j)] = unit[left[i]] @ unit[right[j]].T >= threshold
+        # A pair of two homes meets in the lesser of them if both visit, else in the only one where it can.
         seen = visits(unit, state.value, margin)[1] if not at_home.all() else np.ones((len(ids), 1), bool)
         if not at_home.all():
             here = np.where(at_home[left, None] & ~at_home[right], (cell < home[right])[None, :] | ~seen[left][:, home[right]], False)
