@@ -13,7 +13,7 @@ from squallbars.operators import aggregates as agg
 from squallbars.operators import events as ev
 from squallbars.operators import history, indicators as ind, joins
 from squallbars.operators.layout import over_bars, over_series
-from squallbars.session import shared, spread
+from squallbars.session import shared
 from squallbars.sources import inputs
 
 col = F.col
@@ -34,7 +34,7 @@ BUCKETS_SQL = (
 
 
 def _encoded(spark, sf_dir):
-    feats = ev.event_features(spread(inputs.calendar(spark, sf_dir)))
+    feats = ev.event_features(inputs.calendar(spark, sf_dir))
     return ev.encode(feats, ev.fit_vocabulary(feats))
 
 
@@ -63,6 +63,14 @@ def one_hot_sums(spark, sf_dir):
     return _buckets(spark, sf_dir).select("rounded_time", *_sum_sql)
 
 
+@query("a03_category_sums", with_tables("calendar", body=" UNION ALL ".join(f"""
+SELECT date_trunc('hour', date) AS rounded_time, '{c}' AS "column", {c} AS value, count(*) AS n FROM calendar
+WHERE NOT regexp_matches(lower('{c}_' || coalesce({c}, 'None')), '(other|none)$') GROUP BY 1, 3""" for c in ("currency", "country", "scale"))))
+def category_sums(spark, sf_dir):
+    """The sums of one-hot columns in long form, for any number of values."""
+    return ev.category_sums(ev.with_bucket(inputs.calendar(spark, sf_dir)), "rounded_time", ["currency", "country", "scale"])
+
+
 RICH_SQL = (
     f"""typed AS (SELECT *, {rules_sql('title', vocab.EVENT_TYPE_RULES, "'OTHER'")} AS event_type, importance + 1 AS impact_rank,
   {slot_sql('date', '30min')} AS slot FROM calendar)""",
@@ -132,14 +140,15 @@ def top_event(spark, sf_dir):
 
 
 @query("a12_events_per_hour", with_tables("calendar", body="""
-SELECT date_trunc('hour', date) AS hour, string_agg(event_id || ':' || coalesce(title, '-') || ':' || currency, '|'
-  ORDER BY date, event_id) AS records FROM calendar GROUP BY 1"""))
+SELECT hour, page, string_agg(event_id || ':' || coalesce(title, '-') || ':' || currency, '|' ORDER BY date, event_id) AS records
+FROM (SELECT *, date_trunc('hour', date) AS hour, (row_number() OVER (PARTITION BY date_trunc('hour', date) ORDER BY date, event_id) - 1) // 1000 AS page FROM calendar)
+GROUP BY 1, 2"""))
 def events_per_hour(spark, sf_dir):
     rows = inputs.calendar(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "date"))
     out = ev.records_per_bucket(rows, "hour", ["event_id", "title", "currency"])
     line = F.transform("records", lambda x: F.concat_ws(":", x["event_id"].cast("string"),
                                                         F.coalesce(x["title"], F.lit("-")), x["currency"]))
-    return out.select("hour", F.array_join(line, "|").alias("records"))
+    return out.select("hour", "page", F.array_join(line, "|").alias("records"))
 
 
 @query("a13_frequencies", with_tables("calendar", body=f"""
@@ -269,15 +278,14 @@ _PRIOS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 @query("j07_indicator_asof", with_tables("dbars series", f"""
 s1 AS (SELECT series, date, value, value - lag(value) OVER (PARTITION BY series ORDER BY date) AS diff FROM series)""", body=f"""
-SELECT ticker, datetime, {', '.join(f"v{i}.value AS macro_{joins._slug(p)}, {rd(f'v{i}.diff', 2)} AS macro_{joins._slug(p)}_diff" for i, p in enumerate(_PRIOS))}
-FROM dbars b {' '.join(f"ASOF LEFT JOIN (SELECT * FROM s1 WHERE series = '{p}') v{i} ON b.datetime >= v{i}.date" for i, p in enumerate(_PRIOS))}
-WHERE b.datetime <= (SELECT max(date) FROM series)"""))
+SELECT ticker, datetime, {', '.join(f"CASE WHEN b.datetime <= (SELECT max(date) FROM series) THEN v{i}.value END AS macro_{joins._slug(p)}, CASE WHEN b.datetime <= (SELECT max(date) FROM series) THEN {rd(f'v{i}.diff', 2)} END AS macro_{joins._slug(p)}_diff" for i, p in enumerate(_PRIOS))}
+FROM dbars b {' '.join(f"ASOF LEFT JOIN (SELECT * FROM s1 WHERE series = '{p}') v{i} ON b.datetime >= v{i}.date" for i, p in enumerate(_PRIOS))}"""))
 def indicator_asof(spark, sf_dir):
     series = inputs.indicator_series(spark, sf_dir)
     rows = inputs.daily_bars(spark, sf_dir)
-    out = joins.join_indicators(rows, series, _PRIOS).withColumn("_last", series.agg(F.max("date")).scalar())
+    out = joins.join_indicators(rows, series, _PRIOS)
     slugs = [joins._slug(p) for p in _PRIOS]
-    return out.filter(col("datetime") <= col("_last")).select(
+    return out.select(
         *KEY, *[f"macro_{s}" for s in slugs], *[r(f"macro_{s}_diff", 2).alias(f"macro_{s}_diff") for s in slugs])
 
 
@@ -343,9 +351,10 @@ SELECT ticker, datetime, main_event, {rds(*[f'future_range_{h}h' for h in HZ])}
 def update_ranges(spark, sf_dir):
     from squallbars.plans.refresh import update_ranges as update
 
-    events, bars = shared(inputs.calendar(spark, sf_dir)), inputs.bars(spark, sf_dir)
-    cut = F.lit("2024-01-16").cast("timestamp")
-    stored = shared(update(None, bars, events.filter(col("date") < cut)))
+    events, bars, stored = shared(inputs.calendar(spark, sf_dir)), shared(inputs.bars(spark, sf_dir)), None
+    for mark in ("2024-01-09 05:00:00", "2024-01-16 00:00:00", "2024-01-16 11:00:00"):  # both tables end at each mark
+        at = F.lit(mark).cast("timestamp")
+        stored = shared(update(stored, bars.filter(col("datetime") < at), events.filter(col("date") < at)))
     out = update(stored, bars, events)
     return out.select(*KEY, "main_event", *rounded(*[f"future_range_{h}h" for h in HZ]))
 
@@ -410,9 +419,18 @@ def lagged_overall(spark, sf_dir):
 
 
 @query("w13_tail_per_group", with_tables("bars calendar", *RANGES_SQL, body="""
-SELECT ticker, datetime, main_event FROM (SELECT *, row_number() OVER (PARTITION BY ticker, main_event
+SELECT ticker, datetime, main_event FROM (SELECT *, row_number() OVER (PARTITION BY ticker, datetime, main_event
   ORDER BY datetime DESC) AS k FROM ranges) WHERE k <= 50"""))
 def tail_per_group(spark, sf_dir):
+    """The last 50 rows of each (ticker, hour, event): the hour is part of the key, as in the stored table."""
+    return history.latest_rows(_ranges(spark, sf_dir), ["ticker", "datetime", "main_event"], "datetime", 50).select(*KEY, "main_event")
+
+
+@query("w13_tail_per_event", with_tables("bars calendar", *RANGES_SQL, body="""
+SELECT ticker, datetime, main_event FROM (SELECT *, row_number() OVER (PARTITION BY ticker, main_event
+  ORDER BY datetime DESC) AS k FROM ranges) WHERE k <= 50"""))
+def tail_per_event(spark, sf_dir):
+    """The last 50 hours of each (ticker, event)."""
     return history.latest_rows(_ranges(spark, sf_dir), ["ticker", "main_event"], "datetime", 50).select(*KEY, "main_event")
 
 
@@ -543,12 +561,24 @@ def target_distribution(spark, sf_dir):
     return out.select("fold", "label", "n", r(col("share") * 100).alias("pct"))
 
 
+@query("a24_range_description", with_tables("bars calendar", *RANGES_SQL, body=" UNION ALL ".join(f"""
+SELECT '{h}h' AS target, count(future_range_{h}h) AS count, {rd(f'avg(future_range_{h}h)')} AS mean, {rd(f'stddev_samp(future_range_{h}h)')} AS std,
+  {rd(f'min(future_range_{h}h)')} AS min, {rd(f'quantile_cont(future_range_{h}h, 0.25)')} AS p25, {rd(f'quantile_cont(future_range_{h}h, 0.5)')} AS p50,
+  {rd(f'quantile_cont(future_range_{h}h, 0.75)')} AS p75, {rd(f'max(future_range_{h}h)')} AS max FROM ranges""" for h in HZ)))
+def range_description(spark, sf_dir):
+    """Distribution of every range target, described in one long pass."""
+    long = _ranges(spark, sf_dir).select(F.explode(F.array(*[
+        F.struct(F.lit(f"{h}h").alias("target"), col(f"future_range_{h}h").alias("value")) for h in HZ])).alias("t")).select("t.*")
+    out = agg.describe(shared(long.filter(col("value").isNotNull())), "value", ["target"])
+    return out.select("target", "count", *rounded("mean", "std", "min", "p25", "p50", "p75", "max"))
+
+
 @query("a25_missing_business_days", with_tables("dbars", """
-s AS (SELECT unnest(generate_series(min(datetime), max(datetime), INTERVAL 1 DAY)) AS day FROM dbars WHERE ticker = 'NF')""",
-    body="SELECT day FROM s WHERE isodow(day) < 6 AND day NOT IN (SELECT datetime FROM dbars WHERE ticker = 'NF')"))
+s AS (SELECT ticker, unnest(generate_series(min(datetime), max(datetime), INTERVAL 1 DAY)) AS day FROM dbars GROUP BY 1)""",
+    body="SELECT ticker, day FROM s WHERE isodow(day) < 6 AND (ticker, day) NOT IN (SELECT (ticker, datetime) FROM dbars)"))
 def missing_days(spark, sf_dir):
-    bars = inputs.daily_bars(spark, sf_dir).filter("ticker = 'NF'")
-    return agg.missing_business_days(bars).select(col("day").cast("timestamp").alias("day"))
+    days = agg.missing_business_days(inputs.daily_bars(spark, sf_dir), keys=["ticker"])
+    return days.select("ticker", col("day").cast("timestamp").alias("day"))
 
 
 @query("a26_last_bar_with_atr", with_tables("bars", BASE_SQL, wilder("t0", "a", {"atr": ("trange", 14)}), recursive=True, body=f"""

@@ -18,22 +18,20 @@ from squallbars.sources import inputs, store
 from squallbars.streaming import jobs
 
 col = F.col
-FAST = {"maxIter": 4, "maxDepth": 3}
-FOREST = {"numTrees": 8, "maxDepth": 4}
 
 
 def _fresh(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _assigned(spark, sf_dir, n_val: int = 2):
+def _assigned(spark, sf_dir, n_val: int = 4):
     rows = dataset.model_frame(inputs.bars(spark, sf_dir), _due(spark, sf_dir).drop("main_event"))
-    return folds.last_period_folds(rows.withColumn("period", F.date_trunc("week", "datetime")), "period", n_val)
+    return folds.last_period_folds(dataset.labelled(rows).withColumn("period", F.date_trunc("week", "datetime")), "period", n_val)
 
 
 @query("l01_binary_walk_forward")
 def binary_walk_forward(spark, sf_dir):
-    oof = shared(learners.walk_forward(_assigned(spark, sf_dir), learners.fit_binary(dataset.FEATURES, "is_wide", **FAST)))
+    oof = shared(learners.walk_forward(_assigned(spark, sf_dir), learners.fit_binary(dataset.FEATURES, "is_wide")))
     best = metrics.best_threshold(oof, "is_wide", "prob", 2.0)
     out = metrics.binary_metrics(oof, "is_wide", "prob")
     return out.withColumn("_b", best.select(F.struct("*")).scalar()).select(
@@ -43,27 +41,27 @@ def binary_walk_forward(spark, sf_dir):
 
 @query("l02_class_walk_forward")
 def class_walk_forward(spark, sf_dir):
-    oof = shared(learners.walk_forward(_assigned(spark, sf_dir), learners.fit_classes(dataset.FEATURES, "regime", **FOREST)))
+    oof = shared(learners.walk_forward(_assigned(spark, sf_dir), learners.fit_classes(dataset.FEATURES, "regime")))
     return metrics.class_report(oof, "regime", "predicted").select("label", "support", *rounded("precision", "recall", "f1"))
 
 
 @query("l03_quantile_walk_forward")
 def quantile_walk_forward(spark, sf_dir):
-    oof = shared(learners.walk_forward(_assigned(spark, sf_dir, 1), learners.fit_quantiles(dataset.FEATURES, "range_3h", bins=50, **FOREST)))
+    oof = shared(learners.walk_forward(_assigned(spark, sf_dir), learners.fit_quantiles(dataset.FEATURES, "range_3h")))
     out = metrics.interval_metrics(oof, "range_3h", {0.1: "pred_q1", 0.5: "pred_q5", 0.9: "pred_q9"})
     return out.select(*[r(c).alias(c) for c in out.columns])
 
 
 @query("l04_ordinal_walk_forward")
 def ordinal_walk_forward(spark, sf_dir):
-    oof = shared(learners.walk_forward(_assigned(spark, sf_dir), learners.fit_ordinal(dataset.FEATURES, "turns", 6, **FAST)))
+    oof = shared(learners.walk_forward(_assigned(spark, sf_dir), learners.fit_ordinal(dataset.FEATURES, "turns", 6)))
     out = metrics.ordinal_metrics(oof, "turns", "y_continuous", 6)
     return out.select(*[r(c).alias(c) for c in out.columns])
 
 
 def _final_model(spark, sf_dir):
     rows = shared(dataset.model_frame(inputs.bars(spark, sf_dir), _due(spark, sf_dir).drop("main_event")))
-    return learners.binary_learner(dataset.FEATURES, "is_wide", **FAST).fit(learners.balanced_weights(rows, "is_wide")), rows
+    return learners.binary_learner(dataset.FEATURES, "is_wide").fit(learners.balanced_weights(dataset.labelled(rows), "is_wide")), rows
 
 
 @query("l05_batch_scoring")
@@ -149,15 +147,33 @@ def market_state(spark, sf_dir):
                       col("noise.Base.Chaos").alias("base_chaos"), col("stats.direction_changes").alias("swings"))
 
 
-@query("l09_alerts", with_tables("", PRED_SQL, body=" UNION ALL ".join(
+_ALERT_ROWS = " UNION ALL ".join(
     [f"SELECT '{p}' AS profile, 'movement_1h' AS category, ticker FROM preds WHERE {_qs.format(h=1)}[2] >= 4 UNION ALL "
      f"SELECT '{p}', 'movement_24h', ticker FROM preds WHERE {_qs.format(h=24)}[2] >= 8" for p in vocab.RISK_THRESHOLDS]
     + [f"SELECT '{p}', '{m}', ticker FROM preds WHERE p{i} > {t[m]}::DOUBLE" for i, m in enumerate(MODELS)
-       for p, t in vocab.RISK_THRESHOLDS.items()])))
+       for p, t in vocab.RISK_THRESHOLDS.items()])
+
+
+@query("l09_alerts", with_tables("", PRED_SQL, body=_ALERT_ROWS))
 def alert_rows(spark, sf_dir):
     return alerts.alerts(alerts.market_state(_predictions(spark, sf_dir)))
 
 
+_CATEGORIES = ["movement_1h", "movement_24h", *MODELS]
+
+
+@query("l09_alert_summary", with_tables("", PRED_SQL, f"a AS ({_ALERT_ROWS})", body=f"""
+SELECT p.profile, count(a.ticker) > 0 AS any_alert, {', '.join(
+    f'''coalesce(string_agg(DISTINCT split_part(a.ticker, '-', 1), ',' ORDER BY split_part(a.ticker, '-', 1)) FILTER (WHERE a.category = '{c}'), '') AS "{c}" '''
+    for c in _CATEGORIES)}
+FROM (VALUES {', '.join(f"('{p}')" for p in vocab.RISK_THRESHOLDS)}) p(profile) LEFT JOIN a USING (profile) GROUP BY 1"""))
+def alert_summary(spark, sf_dir):
+    """Any alert and the event types with one, per risk profile and category."""
+    states = alerts.market_state(_predictions(spark, sf_dir).withColumn("ticker", F.substring_index("ticker", "-", 1)))
+    out = alerts.alert_summary(alerts.alerts(states), states)
+    return out.select("profile", "any_alert", *[F.array_join(c, ",").alias(c) for c in _CATEGORIES])
+
+
 @query("l10_daily_alerts", with_tables("", PRED_SQL, body="""
 SELECT ticker, p0 > 0.5 AS impulse_bar, p1 > 0.5 AS bar_type FROM preds WHERE p0 > 0.5 OR p1 > 0.5"""))
 def daily_alerts(spark, sf_dir):
@@ -197,7 +213,7 @@ def digest_sql(day: str, keep: str) -> tuple[str, ...]:
 paged AS (SELECT *, (row_number() OVER (PARTITION BY offset_h, levels, day ORDER BY date, event_id) - 1) // 500 AS page FROM lines)""")
 
 
-DIGEST_BODY = """SELECT offset_h AS "offset", levels, day, page, count(*) AS n_events, string_agg(line, chr(10) ORDER BY date, event_id) AS body
+DIGEST_BODY = """SELECT offset_h AS "offset", levels, day, page, CAST(sum(count(*)) OVER (PARTITION BY offset_h, levels, day) AS BIGINT) AS n_events, string_agg(line, chr(10) ORDER BY date, event_id) AS body
 FROM paged GROUP BY 1, 2, 3, 4"""
 
 
@@ -208,19 +224,23 @@ def daily_digests(spark, sf_dir):
     return alerts.daily_digests(groups, inputs.calendar(spark, sf_dir), F.to_timestamp(F.lit(LO)))
 
 
+@query("l12_subscriber_digests", with_tables("settings calendar", *digest_sql(f"TIMESTAMP '{LO}'", f"date >= TIMESTAMP '{LO}' AND date < TIMESTAMP '2024-01-06'"), f"dig AS ({DIGEST_BODY})", body="""
+SELECT g.user_id, d."offset", d.levels, d.day, d.page, d.n_events, d.body FROM groups g JOIN settings s USING (user_id)
+JOIN dig d ON d."offset" = g.offset_h AND d.levels = g.levels WHERE s.daily_alerts AND floor(s.user_timezone) = 3"""))
+def subscriber_digests(spark, sf_dir):
+    return alerts.subscriber_digests(inputs.user_settings(spark, sf_dir), inputs.calendar(spark, sf_dir), F.to_timestamp(F.lit(LO)), 3)
+
+
 @query("l12_digest_users", with_tables("settings", GROUPS_SQL, body='SELECT user_id, offset_h AS "offset", levels FROM groups'))
 def digest_users(spark, sf_dir):
     return alerts.digest_groups(inputs.user_settings(spark, sf_dir))
 
 
 @query("l13_weekly_digests", with_tables("settings calendar", *digest_sql(
-    "date_trunc('day', {local})::TIMESTAMP", "date >= TIMESTAMP '2024-01-05' AND date < TIMESTAMP '2024-01-08' AND importance = 1"), body="""
-SELECT offset_h AS "offset", levels, day, page, count(*) AS n_events, string_agg(line, chr(10) ORDER BY date, event_id) AS body
-FROM paged GROUP BY 1, 2, 3, 4"""))
+    "date_trunc('day', {local})::TIMESTAMP", "date >= TIMESTAMP '2024-01-05' AND date < TIMESTAMP '2024-01-08'"), body=DIGEST_BODY))
 def weekly_digests(spark, sf_dir):
     groups = alerts.digest_groups(inputs.user_settings(spark, sf_dir))
-    high = inputs.calendar(spark, sf_dir).filter("importance = 1")
-    return alerts.weekly_digests(groups, high, F.to_timestamp(F.lit(LO)))
+    return alerts.weekly_digests(groups, inputs.calendar(spark, sf_dir), F.to_timestamp(F.lit(LO)))
 
 
 @query("l14_settings_upsert_toggle", with_tables("settings", body="""

@@ -11,7 +11,7 @@ from squallbars.catalog.sql import with_tables
 from squallbars.catalog.text_queries import FEATURE_SQL, FLAG_SQL, HI, LO, NOW
 from squallbars.operators import aggregates as agg
 from squallbars.operators import events as ev
-from squallbars.session import shared, shared_dir, spread
+from squallbars.session import shared, shared_dir
 from squallbars.sources import clean, files, inputs, store
 
 col = F.col
@@ -231,7 +231,7 @@ def drop_nulls(spark, sf_dir):
 @query("p07_drop_catch_all", with_tables("calendar", FEATURE_SQL, body=f"""
 SELECT count(*) AS rows, {', '.join(f'CAST(sum({e}) AS BIGINT) AS {n}' for n, e in FLAG_SQL)} FROM feats"""))
 def drop_catch_all(spark, sf_dir):
-    feats = ev.event_features(spread(inputs.calendar(spark, sf_dir)))
+    feats = ev.event_features(inputs.calendar(spark, sf_dir))
     encoded = ev.encode(feats, ev.fit_vocabulary(feats))
     flags = [c for c in encoded.columns if c.split("_")[0] in ("category", "currency", "country", "source", "scale", "mie")
              or c.startswith(("stage_release_", "calc_period_"))]
@@ -340,11 +340,13 @@ def cutover_union(spark, sf_dir):
 
 
 @query("u03_set_difference", with_tables("dbars", body="""
-SELECT datetime FROM dbars WHERE ticker = 'NO' EXCEPT SELECT datetime FROM dbars WHERE ticker = 'RF'"""))
+SELECT ticker, datetime FROM (SELECT DISTINCT ticker FROM dbars), (SELECT DISTINCT datetime FROM dbars) EXCEPT SELECT ticker, datetime FROM dbars"""))
 def set_difference(spark, sf_dir):
+    """Days on which some ticker has a bar, less each ticker's own days."""
     rows = inputs.daily_bars(spark, sf_dir)
-    days = {t: rows.filter(col("ticker") == t).select("datetime") for t in ("NO", "RF")}
-    return days["NO"].join(days["RF"], "datetime", "left_anti").distinct()
+    tickers = rows.agg(F.collect_set("ticker")).scalar()
+    per_day = rows.groupBy("datetime").agg(F.collect_set("ticker").alias("has"))
+    return per_day.select(F.explode(F.array_except(tickers, "has")).alias("ticker"), "datetime")
 
 
 @query("u04_distinct", with_tables("calendar", body="SELECT DISTINCT title, currency FROM calendar"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from squallbars.functions import texts, times, vocab
@@ -68,6 +68,24 @@ def _profile_rows(profile: str, shared_alerts: Sequence[Column]) -> Column:
     return F.transform(hits, lambda c: F.struct(F.lit(profile).alias("profile"), c.alias("category")))
 
 
+def alert_summary(alert_rows: DataFrame, states: DataFrame) -> DataFrame:
+    """Per risk profile: whether any ticker has an alert, and the tickers of each category in order."""
+    categories = ["movement_1h", "movement_24h", *NOISE_MODELS]
+    lists = [F.array_sort(F.collect_set(F.when(col("category") == c, col("ticker")))).alias(c) for c in categories]
+    found = alert_rows.groupBy("profile").agg(*lists)
+    profiles = states.limit(1).select(F.explode(F.array(*[F.lit(p) for p in vocab.RISK_THRESHOLDS])).alias("profile"))
+    none = F.array().cast("array<string>")
+    out = profiles.join(found, "profile", "left")
+    return out.select("profile", F.exists(F.array(*[F.size(F.coalesce(col(c), none)) for c in categories]), lambda n: n > 0).alias("any_alert"),
+                      *[F.coalesce(col(c), none).alias(c) for c in categories])
+
+
+def subscriber_digests(settings: DataFrame, events: DataFrame, day: Column, gmt: int) -> DataFrame:
+    """The daily digest of each subscriber whose offset is due; users without events have no row."""
+    groups = digest_groups(settings.join(daily_subscribers(settings, gmt), "user_id", "left_semi"))
+    return groups.join(daily_digests(groups, events, day), ["offset", "levels"])
+
+
 def user_importance(settings: DataFrame) -> Column:
     """Importance levels the user wants, in order."""
     names = ((-1, "show_low_importance"), (0, "show_medium_importance"), (1, "show_high_importance"))
@@ -89,6 +107,7 @@ def digests(groups: DataFrame, events: DataFrame, day_of, page: int = 500) -> Da
 
     Users outnumber the distinct (offset, set) pairs, which are few by construction (27 hours in half
     steps, seven sets): each digest is built once and users refer to it, instead of users times events.
+    A digest of more than ``page`` lines has several rows; ``n_events`` counts the whole digest on each.
     """
     wanted = groups.select("offset", "levels").distinct().select(
         "offset", "levels", F.explode(F.split("levels", ",")).alias("level")).filter("level <> ''")
@@ -99,9 +118,10 @@ def digests(groups: DataFrame, events: DataFrame, day_of, page: int = 500) -> Da
 
     keys = ["offset", "levels", "day"]
     numbered = number_rows(rows, keys, "date", ["event_id"], unit="hour", out="_n")
-    return (numbered.groupBy(*keys, F.floor(col("_n") / page).alias("page"))
-            .agg(F.count(F.lit(1)).alias("n_events"), F.array_sort(F.collect_list(F.struct("_n", "line"))).alias("l"))
-            .select(*keys, "page", "n_events", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body")))
+    pages = (numbered.groupBy(*keys, F.floor(col("_n") / page).alias("page"))
+             .agg(F.count(F.lit(1)).alias("_c"), F.array_sort(F.collect_list(F.struct("_n", "line"))).alias("l")))
+    return pages.select(*keys, "page", F.sum("_c").over(Window.partitionBy(*keys)).alias("n_events"),
+                        F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))
 
 
 def daily_alerts(predictions: DataFrame, impulse: str, bar: str) -> DataFrame:

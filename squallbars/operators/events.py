@@ -14,7 +14,6 @@ col = F.col
 CATEGORICAL = ["category", "currency", "country", "source", "stage_release", "calc_period", "scale", "mie"]
 SUM_PREFIXES = ("category", "currency", "country", "source", "event", "stage_release", "calc_period", "is_calendar",
                 "is_president", "mie_")
-_VOCABULARY_LIMIT = 5000
 
 
 def event_features(events: DataFrame) -> DataFrame:
@@ -32,14 +31,22 @@ def event_features(events: DataFrame) -> DataFrame:
 
 
 def fit_vocabulary(features: DataFrame, columns: Sequence[str] = CATEGORICAL) -> dict[str, list[str]]:
-    """Sorted category values per column; category columns are small by nature and checked to be."""
+    """Sorted category values per column. Each becomes a column of the encoded frame, so their number is a schema's, not the
+    data's; for values without such a bound, `category_sums` counts them in long form.
+    """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), as_category(col(c)).alias("v")) for c in columns]))
-    rows = features.select(pairs.alias("p")).select("p.*").distinct().take(_VOCABULARY_LIMIT + 1)
-    if len(rows) > _VOCABULARY_LIMIT:
-        raise ValueError(f"more than {_VOCABULARY_LIMIT} category values; encode fewer columns")
+    rows = features.select(pairs.alias("p")).select("p.*").distinct().collect()
     return {c: sorted(r["v"] for r in rows if r["c"] == c) for c in columns}
 
 
+def category_sums(features: DataFrame, bucket: str, columns: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """Counts per (bucket, column, value) in long form, for any number of values; catch-all values dropped."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), as_category(col(c)).alias("value")) for c in columns]))
+    rows = features.groupBy(bucket, *columns).agg(F.count(F.lit(1)).alias("_n")).select(bucket, "_n", pairs.alias("p"))
+    kept = ~F.lower(F.concat_ws("_", "p.column", "p.value")).rlike("(other|none)$")
+    return rows.filter(kept).groupBy(bucket, col("p.column").alias("column"), col("p.value").alias("value")).agg(F.sum("_n").alias("n"))
+
+
 def as_category(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("None"))
 

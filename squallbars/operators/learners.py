@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -28,8 +28,14 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", F.element_at(weights, col(label).cast("string")))
 
 
-def _assembler(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+MISSING = -1e6
+
+
+def _assembler(features: Sequence[str]) -> Pipeline:
+    """Feature vectors of all rows: a missing value stands below every other, where trees can split it off."""
+    filled = ", ".join(f"coalesce(nullif(CAST(`{c}` AS DOUBLE), double('NaN')), {MISSING}D) AS `_in_{c}`" for c in features)
+    return Pipeline(stages=[SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
+                            VectorAssembler(inputCols=[f"_in_{c}" for c in features], outputCol="features", handleInvalid="error")])
 
 
 def binary_learner(features: Sequence[str], label: str, **params) -> Pipeline:

@@ -15,7 +15,11 @@ FEATURES = ["tr_over_atr", "efficiency", "atr_normalized", "wick_ratio", "hour",
 
 
 def model_frame(bars: DataFrame, buckets: DataFrame, period: int = 21) -> DataFrame:
-    """Features, the due event bucket, and labels of the four tasks, without rows whose future is incomplete."""
+    """Features, the due event bucket, and labels of the four tasks for every bar.
+
+    Labels are null where the future is incomplete and features where the past is: such rows are forecast all the same, and
+    `labelled` leaves out those that a task cannot learn from.
+    """
     def build(df, w):
         df = ind.with_true_range(df, w).withColumn("step", ind.close_step(w))
         df = ind.with_atr(df, w, atr=period)
@@ -32,4 +36,9 @@ def model_frame(bars: DataFrame, buckets: DataFrame, period: int = 21) -> DataFr
     regime = labels.trend_or_flat(F.try_divide(col("_move"), col("atr")), 1.5, 0.5)
     return joined.select("ticker", "datetime", *FEATURES, labels.clip(col("range_3h"), high=15).alias("range_3h"),
                          (col("range_3h") >= 2).cast("int").alias("is_wide"), regime.alias("regime"),
-                         col("turns").cast("double").alias("turns")).dropna()
+                         col("turns").cast("double").alias("turns"))
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """Rows whose labels are known."""
+    return rows.dropna(subset=["range_3h", "is_wide", "regime", "turns"])

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from squallbars.functions import texts
 from squallbars.operators import events as ev
 from squallbars.operators import labels
-from squallbars.operators.history import HORIZONS, latest_rows
+from squallbars.operators.history import HORIZONS
 from squallbars.operators.layout import over_bars
 from squallbars.sources.store import upsert
 
 col = F.col
 KEYS = ["main_event", "datetime", "ticker"]
+RANGES = [f"future_range_{h}h" for h in HORIZONS]
 
 
-def event_ranges(bars: DataFrame, events: DataFrame, tail: int = 50) -> DataFrame:
+def event_ranges(bars: DataFrame, events: DataFrame) -> DataFrame:
     """Forward ranges of every ticker at each hour with events, labelled by the hour's main event."""
     main = (texts.folded(events, "title")
             .select(F.date_trunc("hour", "date").alias("datetime"), "date", "event_id",
@@ -24,19 +27,20 @@ def event_ranges(bars: DataFrame, events: DataFrame, tail: int = 50) -> DataFram
             .groupBy("datetime").agg(ev.main_event_of().alias("main_event")))
     measured = over_bars(bars, lambda df, w: df.select("*", *[
         labels.future_range(w, h).alias(f"future_range_{h}h") for h in HORIZONS]), back=1, ahead=max(HORIZONS))
-    rows = measured.join(main, "datetime").select(
-        "ticker", "datetime", "main_event", *[f"future_range_{h}h" for h in HORIZONS])
-    return latest_rows(rows, ["ticker", "main_event", "datetime"], "datetime", tail)
+    return measured.join(main, "datetime").select("ticker", "datetime", "main_event", *RANGES)
 
 
-def update_ranges(stored: DataFrame | None, bars: DataFrame, events: DataFrame, overlap: str = "24 hours") -> DataFrame:
-    """Ranges for events newer than the stored maximum, merged into the stored rows.
+def update_ranges(stored: DataFrame | None, bars: DataFrame, events: DataFrame) -> DataFrame:
+    """Ranges of new events, and of stored rows that are still open, merged into the stored rows.
 
-    ``overlap`` re-reads the hours whose forward windows were still open at the last refresh.
+    A stored row is open while one of its ranges is null: windows count rows, so over a gap in the bars no span of hours
+    bounds them. Each ticker is measured anew from its first open row (or its last row, if none is open); a ticker without
+    stored rows is measured whole.
     """
     if stored is None:
         return event_ranges(bars, events)
-    mark = stored.agg(F.date_trunc("hour", F.max("datetime")) - F.expr(f"interval {overlap}")).scalar()
-    new_events = events.filter(col("date") >= mark)
-    new_bars = bars.filter(col("datetime") >= mark)
-    return upsert(stored, event_ranges(new_bars, new_events), KEYS)
+    still = reduce(Column.__or__, [col(c).isNull() for c in RANGES])
+    marks = stored.groupBy("ticker").agg(F.coalesce(F.min(F.when(still, col("datetime"))), F.max("datetime")).alias("_mark"))
+    due = bars.join(marks, "ticker", "left").filter(col("_mark").isNull() | (col("datetime") >= col("_mark"))).drop("_mark")
+    first = due.agg(F.min("datetime")).scalar()
+    return upsert(stored, event_ranges(due, events.filter(col("date") >= first)), KEYS)

@@ -51,12 +51,3 @@ def shared(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance rows that are costly to process but arrive in fewer splits than there are cores.
-
-    A small file with one row group is one split; a large input has many and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
