@@ -9,7 +9,7 @@ from squallbars.catalog.registry import query, r, rounded
 from squallbars.catalog.sql import BY, frame, fwd, lag, lead, rd, rds, roll, wilder, with_tables
 from squallbars.operators import indicators as ind
 from squallbars.operators import labels
-from squallbars.operators.layout import attach, exact_quantiles, over_bars
+from squallbars.operators.layout import attach, exact_quantiles, over_bars, safe_chunk
 from squallbars.plans import features as plan
 from squallbars.session import shared
 from squallbars.sources import inputs
@@ -137,7 +137,19 @@ bar_query("t03_overall_future_range", lambda w: {"path_6": labels.future_path(w,
           {"path_6": fwd("sum", "trange", 6, head_gap=True)}, back=7, ahead=6)
 bar_query("t04_future_efficiency", lambda w: {f"eff_{h}": labels.future_efficiency(w, h) for h in HS},
           {f"eff_{h}": eff_sql(h) for h in HS}, back=1, ahead=24, digits=5)
-bar_query("t05_future_trend_strength",
+@query("t05_future_trend_strength", with_tables("bars", BASE_SQL, *ADX_SQL, recursive=True, body=f"""
+SELECT ticker, datetime, {rd(f"CASE WHEN ({fwd('max', 'adx', 24, head_gap=True)}) > 30 THEN ({fwd('max', 'adx', 24, head_gap=True)}) ELSE "
+                             f"({fwd('min', 'adx', 24, head_gap=True)}) END", 4)} AS strength FROM m4"""))
+def future_trend_strength(spark, sf_dir):
+    def build(df, w):
+        df = ind.with_adx(ind.with_true_range(df, w), w, N)
+        return df.withColumn("strength", labels.future_trend_strength(w, "adx", 24))
+
+    out = over_bars(inputs.bars(spark, sf_dir), build, back=3, ahead=24, chunk_rows=safe_chunk(3, 24, N))
+    return out.select("ticker", "datetime", r("strength", 4).alias("strength"))
+
+
+bar_query("t05_strength_of_atr",
           lambda w: {"strength": labels.future_trend_strength(w, "atr", 24)},
           {"strength": f"CASE WHEN ({fwd('max', 'atr', 24, head_gap=True)}) > 30 THEN "
                        f"({fwd('max', 'atr', 24, head_gap=True)}) ELSE ({fwd('min', 'atr', 24, head_gap=True)}) END"},
