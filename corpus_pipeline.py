@@ -23,8 +23,8 @@ LEAST_SCORE = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the model knows, with a posterior of `LEAST_SCORE` at least."""
-    named = predict(docs, document_model(docs))
-    return named.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    named = predict(docs, document_model(docs), names=("_language", "_posterior"))
+    return named.filter((F.col("_language") != "und") & (F.col("_posterior") >= LEAST_SCORE)).drop("_language", "_posterior")
 
 
 def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,9 +157,9 @@ def _scorer(key: str, model: LanguageModel) -> Scorer:
     return _SCORERS[key]
 
 
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """The rows of `docs` with `lang_pred` and `score` (in place of columns so named); all other columns stay."""
-    docs = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows of `docs` with the predicted language and its score, in place of columns so named; all other columns stay."""
+    docs = docs.drop(*names)
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
                 some = batch.slice(at, 256)
                 found = scorer.score(some.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                                                 [*some.schema.names, "lang_pred", "score"])
+                                                 [*some.schema.names, *names])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(label, f"{kept}, lang_pred string, score double")
+    return docs.mapInArrow(label, f"{kept}, `{names[0]}` string, `{names[1]}` double")

@@ -64,3 +64,16 @@ def test_entry_registers_all():
 
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+
+
+@pytest.mark.parametrize("name", ["edges", "empty"])
+def test_stages_take_odd_tables(spark, request, name):
+    docs = request.getfixturevalue(name)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = corpus_pipeline.written(stage(spark, docs, ""), "test-odd")
+        assert after.columns == docs.columns
+        docs = after
+    ids = {r.doc_id for r in docs.collect()}
+    assert ids <= {4, 7, None, 10}  # 1 to 3 and 9 have no letters, both of 5 equal 4
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert {r.doc_id for r in packed} == ids
