@@ -10,8 +10,9 @@
    know the classes that reach beyond them from a summary of each range (its first and last string and how common prefixes
    fall off from both).
 4. A window at offset o left of a place occurs elsewhere if another place is in the same class at depth o on the left and
-   `length - o` on the right. Both classes are constant over runs of o; such a run with classes that two places share is
-   covered. Counting pairs of classes is a partial sum, whatever the size of a class.
+   `length - o` on the right. Over a run of offsets the right class is constant, and a left class that two places of it share
+   covers all smaller offsets of the run. Counting pairs of classes is a partial sum, whatever the size of a class; left
+   classes that lie between multiples of `COARSE` are counted only where coarse ones leave them open.
 
 Matches never cross documents; overlapping matches count. Null texts are empty; equal texts are treated once and their rows
 get the same result; an empty table gives no rows; columns other than `id` and `text` are ignored.
@@ -36,6 +37,7 @@ from squallbars.llm.suffix_runs import encode_run, merge_runs, shared
 PER_RANGE = 40_000
 MOST_RANGES = 4_096
 RUN = 20_000
+COARSE = 16
 TEXT = "key long, n long"
 
 
@@ -263,41 +265,69 @@ def _chain(nodes: list[list[int]], at: int) -> list[tuple[int, int]]:
     return out
 
 
-def offset_runs(right: list[tuple[int, int]], left: list[tuple[int, int]], length: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(right depth, right start, left depth, left start, from, to): runs of offsets over which both classes are constant.
+def class_pairs(right: list[tuple[int, int]], left: list[tuple[int, int]], length: int) -> list[tuple]:
+    """Pairs of a right class and a coarse left class of a place: (right depth, right start, left depth, left start, from, to, finer).
 
-    The class at a depth is the shallowest that is deep enough; depth 0 is the class of all.
+    A right class of depth d holds for offsets from `length - d` on, up to where a deeper one is not enough; inside that
+    run, a left class holds for offsets up to its depth, so a pair that two places share covers all offsets `from`..`to`.
+    Left classes whose own offsets include no multiple of `COARSE` are `finer`: (depth, start, to), kept with the coarse class
+    above them. What is coarse depends on the two classes alone, so all places of a pair agree. The class of all (depth 0)
+    comes first.
     """
     out = []
     for i, (d, s) in enumerate(right):
-        low, high = length - d, length - (right[i + 1][0] if i + 1 < len(right) else 0) - 1
-        for j, (e, t) in enumerate(left):
-            a, b = max(low, (left[j + 1][0] if j + 1 < len(left) else 0) + 1, 0), min(high, e, length)
-            if e and a <= b:
-                out.append((d, s, e, t, a, b))
-        if low <= 0 <= high:
-            out.append((d, s, 0, 0, 0, 0))
+        low, high = max(0, length - d), length - (right[i + 1][0] if i + 1 < len(right) else 0) - 1
+        rows, above = [[d, s, 0, 0, low, 0 if low == 0 <= high else -1, []]], 0
+        for e, t in reversed(left):
+            if above >= high:
+                break
+            top = min(e, high)
+            if top >= max(low, 1):
+                if top // COARSE * COARSE > max(above, low - 1):
+                    rows.append([d, s, e, t, low, top, []])
+                else:
+                    rows[-1][-1].append({"d": e, "s": t, "to": top})
+            above = e
+        if low <= high and (len(rows) > 1 or rows[0][-1] or rows[0][-2] == 0):
+            out.extend(map(tuple, rows))
     return out
 
 
 def repeated_offsets(chains: DataFrame, length: int) -> DataFrame:
-    """(id, from, to): runs of offsets whose windows at a place occur at another place as well."""
+    """(id, from, to): runs of offsets whose windows at a place occur at another place as well.
+
+    Coarse pairs are counted first. A place's deepest shared coarse class leaves open only the finer classes below it; these
+    are counted among all places of that coarse pair.
+    """
     both = chains.groupBy("id").agg(
         F.max(F.when(F.col("is_right"), F.struct("depths", "starts"))).alias("r"), F.max(F.when(~F.col("is_right"), F.struct("depths", "starts"))).alias("l"))
+    finer = pa.list_(pa.struct([("d", pa.int32()), ("s", pa.int64()), ("to", pa.int32())]))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "rd", "rs", "ld", "ls", "a", "b"]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), finer)
         for batch in batches:
             out = []
             for number, r, left in zip(*(batch.column(c).to_pylist() for c in ("id", "r", "l")), strict=True):
-                found = offset_runs(list(zip(r["depths"], r["starts"], strict=True)), list(zip(left["depths"], left["starts"], strict=True)) if left else [], length)
+                found = class_pairs(list(zip(r["depths"], r["starts"], strict=True)), list(zip(left["depths"], left["starts"], strict=True)) if left else [], length)
                 out.extend((number, *f) for f in found)
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(7)], names)
-
-    found = written(both.filter("r is not null").mapInArrow(pieces, "id long, rd long, rs long, ld long, ls long, a long, b long"), "class-pairs")
-    pair = ["rd", "rs", "ld", "ls"]
-    shared_pairs = found.groupBy(*pair).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    return found.join(shared_pairs, pair).select("id", F.col("a").alias("from"), F.col("b").alias("to"))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["id", "rd", "rs", "ld", "ls", "from", "to", "finer"])
+
+    found = both.filter("r is not null").mapInArrow(
+        pieces, "id long, rd int, rs long, ld int, ls long, `from` int, `to` int, finer array<struct<d:int,s:long,to:int>>")
+    found = written(found.select("id", F.xxhash64("rd", "rs").alias("right"), F.xxhash64("rd", "rs", "ld", "ls").alias("pair"), "ld", "from", "to", "finer"), "class-pairs")
+    coarse = written(found.join(_shared_by_two(found), "pair"), "coarse-pairs")
+    deepest = coarse.groupBy("id", "right").agg(F.max(F.struct("ld", "pair", "from", "to", (F.size("finer") > 0).alias("open"))).alias("x")).select("id", "x.*")
+    deepest = written(deepest, "deepest-pairs")
+    open_ = deepest.filter("open").select("pair").distinct()
+    fine = (coarse.join(open_, "pair").select("id", "right", "from", F.explode("finer").alias("f"))
+            .select("id", F.xxhash64("right", "f.d", "f.s").alias("pair"), "from", F.col("f.to").alias("to")))
+    fine = written(fine, "fine-pairs")
+    both_kinds = deepest.select("id", "from", "to").unionByName(fine.join(_shared_by_two(fine), "pair").select("id", "from", "to"))
+    return both_kinds.filter(F.col("to") >= F.col("from")).groupBy("id", "from").agg(F.max("to").alias("to"))
+
+
+def _shared_by_two(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("pair").agg(F.count("*").alias("_n")).filter("_n > 1").select("pair")
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
