@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from squallbars.llm.common import written
@@ -38,9 +38,15 @@ PER_RANGE = 40_000
 MOST_RANGES = 4_096
 RUN = 20_000
 COARSE = 16
+SAMPLE = 1024
 TEXT = "key long, n long"
 
 
+def context_id() -> Column:
+    """The number of a context, from the digests of its gram and of all around it."""
+    return F.xxhash64("gram", "around", "around2")
+
+
 def _raw(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode(), np.uint8)
 
@@ -51,7 +57,10 @@ def _key(raw: np.ndarray) -> int:
 
 
 def text_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(key, n, place, first, last, gram, around, around2): anchors of every text, with digests of what surrounds them."""
+    """(key, n, place, gram, around, around2, sample): anchors of every text, with digests of what surrounds them.
+
+    Where the gram's digest is a multiple of `SAMPLE`, `sample` has the two strings to sort, from which ranges are chosen.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,22 +69,29 @@ def text_anchors(docs: DataFrame, length: int) -> DataFrame:
                 if len(raw) < length:
                     continue
                 sums, more = Sums(raw, 0), Sums(raw, 1)
-                place, first, last, gram = anchors(raw, length, sums)
+                place, _, _, gram = anchors(raw, length, sums)
                 start, end = np.maximum(0, place - (length - GRAM)), np.minimum(len(raw), place + length)
                 edge = ((place - start) << 32 | (end - place)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                whole, drawn = raw.tobytes(), (gram % np.uint64(SAMPLE) == 0).tolist()
+                sample = [list(context(whole, p, length)) if d else None for p, d in zip(place.tolist(), drawn, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(place), _key(raw))), pa.array(np.full(len(place), len(raw))), pa.array(place), pa.array(first), pa.array(last),
-                     pa.array(gram.astype(np.int64)), pa.array((sums.digest(start, end) ^ edge).astype(np.int64)), pa.array(more.digest(start, end).astype(np.int64))],
-                    ["key", "n", "place", "first", "last", "gram", "around", "around2"])
+                    [pa.array(np.full(len(place), _key(raw))), pa.array(np.full(len(place), len(raw))), pa.array(place),
+                     pa.array(gram.astype(np.int64)), pa.array((sums.digest(start, end) ^ edge).astype(np.int64)), pa.array(more.digest(start, end).astype(np.int64)),
+                     pa.array(sample, pa.list_(pa.binary()))],
+                    ["key", "n", "place", "gram", "around", "around2", "sample"])
+
+    return docs.select("text").mapInArrow(find, f"{TEXT}, place long, gram long, around long, around2 long, sample array<binary>")
 
-    return docs.select("text").mapInArrow(find, f"{TEXT}, place long, first long, last long, gram long, around long, around2 long")
 
+def context(raw: bytes, place: int, length: int) -> tuple[bytes, bytes]:
+    """What is right of a place, and what is left of it reversed, each behind the mark of its side."""
+    return b"R" + raw[place:place + length], b"L" + raw[max(0, place - (length - GRAM)):place][::-1]
 
-def context_runs(docs: DataFrame, places: DataFrame, length: int, splitters: list[tuple[bytes, int]], sampled: int | None) -> DataFrame:
-    """Front-coded sorted runs (range, run) of the contexts of places, or a sample of single contexts (string, id).
 
-    `places` has (key, n, spots): the ids and places of a text's contexts. A context is b"R" and what is right of the place, or
-    b"L" and what is left of it, reversed.
+def context_runs(docs: DataFrame, places: DataFrame, length: int, splitters: list[tuple[bytes, int]]) -> DataFrame:
+    """Front-coded sorted runs (range, run) of the contexts of places.
+
+    `places` has (key, n, spots): the ids and places of a text's contexts.
     """
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int]]:
@@ -83,14 +99,8 @@ def context_runs(docs: DataFrame, places: DataFrame, length: int, splitters: lis
             for text, spots in zip(batch.column("text").to_pylist(), batch.column("spots").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 for spot in spots:
-                    at, number = spot["place"], spot["id"]
-                    if sampled is None or number % sampled == 0:
-                        yield b"R" + raw[at:at + length], number
-                        yield b"L" + raw[max(0, at - (length - GRAM)):at][::-1], number
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = list(contexts(batches))
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.binary()), pa.array([i for _, i in found], pa.int64())], ["string", "id"])
+                    for string in context(raw, spot["place"], length):
+                        yield string, spot["id"]
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, int]] = []
@@ -111,7 +121,7 @@ def context_runs(docs: DataFrame, places: DataFrame, length: int, splitters: lis
 
     wanted = places.withColumnRenamed("key", "_key").withColumnRenamed("n", "_n")
     texts = keyed(docs, ["text"]).join(wanted, (F.col("key") == F.col("_key")) & (F.col("n") == F.col("_n"))).dropDuplicates(["key", "n"]).select("text", "spots")
-    return texts.mapInArrow(sample, "string binary, id long") if sampled is not None else texts.mapInArrow(sort, "range int, run binary")
+    return texts.mapInArrow(sort, "range int, run binary")
 
 
 def keyed(docs: DataFrame, kept: list[str]) -> DataFrame:
@@ -307,25 +317,35 @@ def repeated_offsets(chains: DataFrame, length: int) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), finer)
         for batch in batches:
             out = []
-            for number, r, left in zip(*(batch.column(c).to_pylist() for c in ("id", "r", "l")), strict=True):
-                found = class_pairs(list(zip(r["depths"], r["starts"], strict=True)), list(zip(left["depths"], left["starts"], strict=True)) if left else [], length)
-                out.extend((number, *f) for f in found)
+            sides = [_pair_lists(batch.column(c)) for c in ("r", "l")]
+            for number, right, left in zip(batch.column("id").to_pylist(), *sides, strict=True):
+                out.extend((number, *f) for f in class_pairs(right, left, length))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["id", "rd", "rs", "ld", "ls", "from", "to", "finer"])
 
     found = both.filter("r is not null").mapInArrow(
         pieces, "id long, rd int, rs long, ld int, ls long, `from` int, `to` int, finer array<struct<d:int,s:long,to:int>>")
-    found = written(found.select("id", F.xxhash64("rd", "rs").alias("right"), F.xxhash64("rd", "rs", "ld", "ls").alias("pair"), "ld", "from", "to", "finer"), "class-pairs")
-    coarse = written(found.join(_shared_by_two(found), "pair"), "coarse-pairs")
-    deepest = coarse.groupBy("id", "right").agg(F.max(F.struct("ld", "pair", "from", "to", (F.size("finer") > 0).alias("open"))).alias("x")).select("id", "x.*")
-    deepest = written(deepest, "deepest-pairs")
+    found = written(found.select("id", F.xxhash64("rd", "rs").alias("right"), F.xxhash64("rd", "rs", "ld", "ls").alias("pair"), "ld", "from", "to",
+                                 (F.size("finer") > 0).alias("open"), "finer"), "class-pairs", compression="zstd")
+    coarse = found.drop("finer").join(_shared_by_two(found), "pair")
+    deepest = coarse.groupBy("id", "right").agg(F.max(F.struct("ld", "pair", "from", "to", "open")).alias("x")).select("id", "x.*")
+    deepest = written(deepest, "deepest-pairs", compression="zstd")
     open_ = deepest.filter("open").select("pair").distinct()
-    fine = (coarse.join(open_, "pair").select("id", "right", "from", F.explode("finer").alias("f"))
+    fine = (found.filter("open").join(open_, "pair").select("id", "right", "from", F.explode("finer").alias("f"))
             .select("id", F.xxhash64("right", "f.d", "f.s").alias("pair"), "from", F.col("f.to").alias("to")))
-    fine = written(fine, "fine-pairs")
+    fine = written(fine, "fine-pairs", compression="zstd")
     both_kinds = deepest.select("id", "from", "to").unionByName(fine.join(_shared_by_two(fine), "pair").select("id", "from", "to"))
     return both_kinds.filter(F.col("to") >= F.col("from")).groupBy("id", "from").agg(F.max("to").alias("to"))
 
 
+def _pair_lists(column: pa.Array) -> list[list[tuple[int, int]]]:
+    """The (depth, start) pairs of each row of structs of two lists; a null struct has none."""
+    depths, starts = column.field("depths"), column.field("starts")
+    ends = depths.offsets.to_numpy()
+    flat = list(zip(depths.values.to_numpy().tolist(), starts.values.to_numpy().tolist(), strict=True))
+    known = column.is_valid().to_pylist()
+    return [flat[a:b] if k else [] for a, b, k in zip(ends[:-1].tolist(), ends[1:].tolist(), known, strict=True)]
+
+
 def _shared_by_two(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("pair").agg(F.count("*").alias("_n")).filter("_n > 1").select("pair")
 
@@ -333,31 +353,31 @@ def _shared_by_two(pairs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """(key, n, spans): for each text with repeats the byte spans covered by strings that occur elsewhere."""
     spark = docs.sparkSession
-    found = written(text_anchors(docs, length), "anchors")
+    found = written(text_anchors(docs, length), "anchors", compression="zstd")
     often = found.groupBy("gram").agg(F.count("*").alias("_n")).filter("_n > 1").select("gram")
-    some = written(found.join(often, "gram"), "candidates")
+    some = written(found.join(often, "gram"), "candidates", compression="zstd")
     contexts = some.groupBy("gram", "around", "around2").agg(F.count("*").alias("copies"), F.min(F.struct("key", "n", "place")).alias("one"))
     # Grams with one context are settled: its copies alone repeat. Others are sorted.
     many = contexts.groupBy("gram").agg(F.count("*").alias("_c")).filter("_c > 1").select("gram")
-    contexts = written(contexts.withColumn("id", F.xxhash64("gram", "around", "around2")), "contexts")
+    contexts = written(contexts.withColumn("id", context_id()), "contexts")
     sorted_ones = contexts.join(many, "gram").select("id", "one.*")
     spots = written(sorted_ones.groupBy("key", "n").agg(F.collect_list(F.struct("id", "place")).alias("spots"), F.count("*").alias("m")), "spots")
     total = 2 * (spots.agg(F.sum("m").alias("m")).first().m or 0)
     offsets = contexts.select("id", F.lit(0).alias("from"), F.lit(0).alias("to")).limit(0)
     if total:
         ranges = min(MOST_RANGES, -(-total // PER_RANGE))
-        splitters: list[tuple[bytes, int]] = []
-        if ranges > 1:
-            sample = context_runs(docs, spots.drop("m"), length, [], max(1, total // (ranges * 32))).collect()
-            drawn = sorted((bytes(r.string), r.id) for r in sample)
-            splitters = [drawn[k * len(drawn) // ranges] for k in range(1, ranges)] if drawn else []
-        order = written(merged(context_runs(docs, spots.drop("m"), length, splitters, None)), "order")
+        drawn = some.filter("sample is not null")
+        share = ranges * 32 / max(1, drawn.count())
+        chance = F.shiftrightunsigned(F.xxhash64("around", "around2"), 12) / float(1 << 52)
+        strings = sorted({(bytes(x), r.id) for r in drawn.filter(chance < share).select("sample", context_id().alias("id")).collect() for x in r["sample"]} if ranges > 1 else ())
+        splitters = sorted({strings[k * len(strings) // ranges] for k in range(1, ranges)}) if strings else []
+        order = written(merged(context_runs(docs, spots.drop("m"), length, splitters)), "order", compression="zstd")
         summaries = [r.asDict() for r in order.drop("ids", "common").orderBy("range").collect()]
         carry = spark.sparkContext.broadcast(carried(summaries))
         offsets = repeated_offsets(class_chains(order, carry), length)
     whole = contexts.filter("copies > 1").select("id", F.lit(0).alias("from"), F.lit(length - GRAM).alias("to"))
     runs = written(offsets.unionByName(whole), "offsets")
-    places = some.withColumn("id", F.xxhash64("gram", "around", "around2")).select("id", "key", "n", "place")
+    places = some.withColumn("id", context_id()).select("id", "key", "n", "place")
     spans = (places.join(runs, "id")
              .select("key", "n", F.greatest(F.col("place") - F.col("to"), F.lit(0)).alias("a"), F.least(F.col("place") - F.col("from") + length, "n").alias("b"))
              .filter(F.col("b") - F.col("a") >= length))

@@ -41,6 +41,7 @@ def test_equals_brute_force(spark, monkeypatch, seed, per_range):
     """With small ranges, classes and equal strings reach over several of them."""
     length = 90
     monkeypatch.setattr(suffix_dedup, "PER_RANGE", per_range)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
     texts = texts_with_repeats(seed, length)
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, key string").repartition(5)
     got = {r.doc_id: (r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in remove_repeats(docs, length).collect()}
