@@ -55,11 +55,14 @@ class LanguageModel:
     prior: np.ndarray
 
 
-def labelled_sample(rows: DataFrame, fit_rows: int) -> DataFrame:
-    """About `fit_rows` labelled rows of each language, chosen by a hash of their text; languages with fewer rows are whole."""
-    shares = rows.groupBy("lang").agg((F.lit(float(fit_rows)) / F.count("*")).alias("share"))
+def labelled_sample(rows: DataFrame, fit_rows: int, counts: dict[str, int]) -> DataFrame:
+    """About `fit_rows` labelled rows of each language, chosen by a hash of their text; languages with fewer rows are whole.
+
+    The shares (one number for each language) stand in the expression, so no text is dealt out by language.
+    """
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, fit_rows / n)])
     chance = F.shiftrightunsigned(F.xxhash64("text"), 12) / float(1 << 52)
-    return rows.join(shares, "lang").filter(chance < F.col("share")).select("text", "lang")
+    return rows.filter(chance < F.element_at(shares, F.col("lang"))).select("text", "lang")
 
 
 def train(rows: DataFrame, pieces: list[str], fit_rows: int = 1500, rounds: int = 3) -> LanguageModel:
@@ -72,6 +75,8 @@ def train(rows: DataFrame, pieces: list[str], fit_rows: int = 1500, rounds: int
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     prior = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(prior)
+    if not languages:
+        return LanguageModel([], pieces, np.zeros((len(pieces) + 1, 0)), np.zeros(0))
     lattice = spark.sparkContext.broadcast(pieces)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,11 +86,11 @@ def train(rows: DataFrame, pieces: list[str], fit_rows: int = 1500, rounds: int
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()),
                                               pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
-    table = written(labelled_sample(rows, fit_rows).mapInArrow(count, "lang string, word string, n long")
+    table = written(labelled_sample(rows, fit_rows, prior).mapInArrow(count, "lang string, word string, n long")
                     .groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     probability = np.full((len(pieces) + 1, len(languages)), 1.0 / max(1, len(pieces)))
     probability[-1] = UNKNOWN
-    for _ in range(rounds if languages else 0):
+    for _ in range(rounds):
         state = spark.sparkContext.broadcast(probability)
 
         def expect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,7 +111,7 @@ def train(rows: DataFrame, pieces: list[str], fit_rows: int = 1500, rounds: int
         probability = uses / uses.sum(0)
         probability[-1] = UNKNOWN
     weights = np.array([prior[x] for x in languages], float)
-    return LanguageModel(languages, pieces, probability, weights / weights.sum() if languages else weights)
+    return LanguageModel(languages, pieces, probability, weights / weights.sum())
 
 
 _LATTICES: dict[int, Lattice] = {}
