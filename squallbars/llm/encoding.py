@@ -70,6 +70,18 @@ class PieceEncoder:
         return [self.whole(t or "") + end for t in texts]
 
 
+def shown_bytes() -> dict[str, int]:
+    """The characters by which byte-level vocabularies write bytes (fixed values of that format)."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+def merged_in_order(model: dict, first: int) -> bool:
+    """Whether every merge's id is its rank, from `first` on."""
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    return all(model["vocab"].get(a + b) == first + i for i, (a, b) in enumerate(pairs))
+
+
 class BlankLeads(PieceEncoder):
     """Byte-level vocabularies, where a blank belongs to the word after it.
 
@@ -79,12 +91,9 @@ class BlankLeads(PieceEncoder):
 
     def __init__(self, spec: bytes, parts: dict):
         super().__init__(spec, parts)
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        byte = shown_bytes()
         ranks = {bytes(byte[c] for c in token): i for token, i in parts["model"]["vocab"].items() if token not in self.specials}
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in parts["model"]["merges"]]
-        first = len(ranks) - len(merges)
-        in_order = all(parts["model"]["vocab"].get(a + b) == first + i for i, (a, b) in enumerate(merges))
+        in_order = merged_in_order(parts["model"], len(ranks) - len(parts["model"]["merges"]))
         self.fast = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}) if in_order else None
         self.ids = _Pieces(self)
 
@@ -126,27 +135,51 @@ class _Pieces(dict):
 
 
 class BlankDropped(PieceEncoder):
-    """Lower-casing vocabularies that drop white space: pieces between blanks, made of words, digits and marks."""
+    """Lower-casing vocabularies that drop white space: pieces between blanks, made of words, digits and marks.
+
+    Such a vocabulary marks the end of a word on its last token. Where ids are the ranks of merges, ASCII parts are merged by
+    tiktoken with the zero byte as that mark: many parts, each with its mark, in one call; the marked ids end the parts.
+    """
 
     def __init__(self, spec: bytes, parts: dict):
         super().__init__(spec, parts)
         self.ids: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.fast = self.ends = None
+        model, byte = parts["model"], shown_bytes()
+        suffix = model.get("end_of_word_suffix")
+        if suffix:
+            ranks = {}
+            for token, i in model["vocab"].items():
+                plain = token.removesuffix(suffix)
+                marked = bytes(byte[c] for c in plain) + b"\0" * (plain != token) if token not in self.specials else b""
+                if marked == b"\0" or marked and b"\0" not in marked[:-1]:
+                    ranks[marked] = i
+            if merged_in_order(model, 512) and all(bytes([b, 0]) in ranks for b in range(1, 256)):
+                self.fast = tiktoken.Encoding("marked", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+                self.ends = np.zeros(1 + max(ranks.values()), bool)
+                self.ends[[i for r, i in ranks.items() if r[-1:] == b"\0" and len(r) > 1]] = True
 
     def _together(self, texts: list[str]) -> list[bytes]:
         """Ids of many short strings by one call."""
-        got = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
-        ids = np.asarray(got.ids, "<u4")
-        ends = np.searchsorted(np.asarray([-1 if w is None else w for w in got.word_ids]), np.arange(len(texts) + 1))
+        if self.fast and all(t.isascii() and "\0" not in t for t in texts):
+            ids = np.array(self.fast.encode_ordinary("\0".join([*texts, ""])), "<u4")
+            ends = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+        else:
+            got = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+            ids = np.asarray(got.ids, "<u4")
+            ends = np.searchsorted(np.asarray([-1 if w is None else w for w in got.word_ids]), np.arange(len(texts) + 1)).tolist()
         return [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def _fill(self, cut: list[list[str]]) -> None:
         """Put all pieces of some texts into the cache."""
         missing = set().union(*cut).difference(self.ids)
         split = {p: _ASCII_PARTS.findall(p.lower()) if p.isascii() else [p] for p in missing}
-        parts = sorted(set().union(*split.values()).difference(self.parts))
-        for at in range(0, len(parts), 8192):
-            self.parts.update(zip(parts[at:at + 8192], self._together(parts[at:at + 8192]), strict=True))
+        parts = set().union(*split.values()).difference(self.parts)
+        plain = sorted(p for p in parts if p.isascii() and "\0" not in p)
+        for kind in (plain, sorted(parts.difference(plain))):
+            for at in range(0, len(kind), 8192):
+                self.parts.update(zip(kind[at:at + 8192], self._together(kind[at:at + 8192]), strict=True))
         for p, of in split.items():
             self.ids[p] = b"".join(map(self.parts.__getitem__, of))
 
