@@ -47,7 +47,8 @@ def class_walk_forward(spark, sf_dir):
 
 @query("l03_quantile_walk_forward")
 def quantile_walk_forward(spark, sf_dir):
-    oof = shared(learners.walk_forward(_assigned(spark, sf_dir), learners.fit_quantiles(dataset.FEATURES, "range_3h")))
+    oof = shared(learners.walk_forward(_assigned(spark, sf_dir, 1), learners.fit_quantiles(
+        dataset.FEATURES, "range_3h", bins=50, numTrees=8, maxDepth=4)))
     out = metrics.interval_metrics(oof, "range_3h", {0.1: "pred_q1", 0.5: "pred_q5", 0.9: "pred_q9"})
     return out.select(*[r(c).alias(c) for c in out.columns])
 
