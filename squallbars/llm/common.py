@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 from squallbars.session import shared_dir
 
 
+CACHES: list[dict] = []
+
+
+def release(*kept: dict) -> None:
+    """Empty this worker process's caches but those kept: operators that follow each other share the workers' memory."""
+    for cache in CACHES:
+        if not any(cache is k for k in kept):
+            cache.clear()
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a frame as Parquet in the folder all executors share and read it again.
 

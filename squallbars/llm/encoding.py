@@ -14,12 +14,15 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
+from squallbars.llm.common import CACHES, release
+
 LONGEST_CACHED = 64
 CACHED_PIECES = 600_000
 CACHED_PARTS = 400_000
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _LOADED: dict[int, "PieceEncoder"] = {}
+CACHES.append(_LOADED)
 _AMBIGUOUS = re.compile(r"\s (?:\s|\Z)")
 _ASCII_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^ \t\n\v\f\ra-z0-9]+")
 
@@ -28,6 +31,7 @@ def encoder(spec: bytes) -> "PieceEncoder":
     """One encoder per worker process and vocabulary, so that its cache lives over tasks."""
     key = hash(spec)
     if key not in _LOADED:
+        release()
         parts = json.loads(spec)
         before = parts["pre_tokenizer"] or {}
         kind = PieceEncoder

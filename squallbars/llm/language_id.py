@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from squallbars.llm.common import written
+from squallbars.llm.common import CACHES, release, written
 from squallbars.llm.piece_lattice import Lattice
 
 BEGIN = "▁"
@@ -152,12 +152,13 @@ class Scorer:
 
 
 _SCORERS: dict[str, Scorer] = {}
+CACHES.extend([_LATTICES, _SCORERS])
 
 
 def _scorer(key: str, model: LanguageModel) -> Scorer:
     """One scorer per worker process and model."""
     if key not in _SCORERS:
-        _SCORERS.clear()
+        release(_LATTICES)
         _SCORERS[key] = Scorer(model)
     return _SCORERS[key]
 

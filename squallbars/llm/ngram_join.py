@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from squallbars.llm.common import written
+from squallbars.llm.common import release, written
 from squallbars.llm.components import components, deal_pairs
 from squallbars.llm.near_vectors import linked_roots
 from squallbars.llm.shingles import hash_seeds, least_matches, min_hashes, overlaps, shingles
@@ -100,6 +100,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     seeds = hash_seeds(BANDS * ROWS)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             node, size, bands, first = [], [], [], []
             for text in batch.column("text").to_pylist():
