@@ -133,6 +133,19 @@ def test_recall_over_the_whole_table(spark, sf_dir):
     assert 0.99 * true <= got <= true
 
 
+def test_no_link_is_lost_at_cell_borders(spark):
+    rng = np.random.default_rng(8)
+    rows = np.zeros((5000, 64))
+    rows[:, :4] = rng.normal(size=(5000, 4))  # differences in few directions, twelve cells
+    vectors = [(i, [float(x) for x in r]) for i, r in enumerate(rows)] + [(6000, [1.0] * 400)]
+    unit = np.zeros((5001, 400))
+    unit[:5000, :64], unit[5000] = rows, 1
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    got = {r.vec_id: r.n_links for r in vector_groups(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i, _ in vectors] == (near.sum(1) - 1).tolist()
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(1, 40)] + [(100 + rng.randint(0, 60), 100 + rng.randint(0, 60)) for _ in range(40)] + [(500, k) for k in range(501, 560)] + [(9, 9)]
