@@ -24,9 +24,11 @@ def _fresh(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _assigned(spark, sf_dir, n_val: int = 4):
+def _assigned(spark, sf_dir, n_val: int = 6):
+    """Folds of the last six weeks, or of all weeks but the first where a table has fewer than seven."""
     rows = dataset.model_frame(inputs.bars(spark, sf_dir), _due(spark, sf_dir).drop("main_event"))
-    return folds.last_period_folds(dataset.labelled(rows).withColumn("period", F.date_trunc("week", "datetime")), "period", n_val)
+    rows = shared(dataset.labelled(rows).withColumn("period", F.date_trunc("week", "datetime")))
+    return folds.last_period_folds(rows, "period", max(1, min(n_val, rows.select("period").distinct().count() - 1)))
 
 
 @query("l01_binary_walk_forward")
@@ -47,8 +49,7 @@ def class_walk_forward(spark, sf_dir):
 
 @query("l03_quantile_walk_forward")
 def quantile_walk_forward(spark, sf_dir):
-    oof = shared(learners.walk_forward(_assigned(spark, sf_dir, 1), learners.fit_quantiles(
-        dataset.FEATURES, "range_3h", bins=50, numTrees=8, maxDepth=4)))
+    oof = shared(learners.walk_forward(_assigned(spark, sf_dir), learners.fit_quantiles(dataset.FEATURES, "range_3h")))
     out = metrics.interval_metrics(oof, "range_3h", {0.1: "pred_q1", 0.5: "pred_q5", 0.9: "pred_q9"})
     return out.select(*[r(c).alias(c) for c in out.columns])
 

@@ -129,23 +129,24 @@ def fit_quantiles(features: Sequence[str], label: str, quantiles: Sequence[float
         cells = binned.groupBy("tree", "leaf", "bin").agg(F.count(F.lit(1)).alias("n"))
         leaf = cells.groupBy("tree", "leaf").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"),
                                                  F.sum("n").alias("all"))
-        key = F.concat_ws(":", "tree", F.col("leaf").cast("int"))
         shares = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.element_at(
             F.col("m"), b), F.lit(0)) / col("all"))
-        table = shared(leaf.agg(F.map_from_entries(F.collect_list(F.struct(key, shares))).alias("t")))
+        table = shared(leaf.select("tree", "leaf", shares.alias("shares")))
         means = shared(binned.filter("tree = 0").groupBy("bin").agg(F.avg("y").alias("y")).agg(
             F.map_from_entries(F.collect_list(F.struct("bin", "y"))).alias("v")))
 
         def score(df: DataFrame) -> DataFrame:
-            scored = model.transform(df).withColumn("_leaf", vector_to_array("_leaf"))
-            scored = scored.withColumn("_t", table.scalar()).withColumn("_v", means.scalar())
+            scored = model.transform(df).withColumn("_leaf", vector_to_array("_leaf")).withColumn("_path", F.array_join("_leaf", ":"))
+            # Rows that end in the same leaves of all trees share one sum, so leaf summaries meet paths, not rows.
+            paths = scored.groupBy("_path").agg(F.first("_leaf").alias("_leaf")).select("_path", F.posexplode("_leaf").alias("tree", "leaf"))
             zero = F.array_repeat(F.lit(0.0), bins)
-            lookups = F.transform(col("_leaf"), lambda l, i: F.element_at(
-                col("_t"), F.concat_ws(":", i.cast("string"), l.cast("int").cast("string"))))
-            mass = F.aggregate(lookups, zero, lambda acc, s: F.zip_with(acc, s, lambda a, b: a + b))
-            scored = scored.withColumn("_mass", mass)
-            outs = [_mass_quantile(q, bins, options["numTrees"]).alias(f"pred_q{q}".replace("0.", "")) for q in quantiles]
-            return scored.select(*df.columns, *outs)
+            own = F.array_sort(F.collect_list(F.struct("tree", "shares")))
+            mass = paths.join(table, ["tree", "leaf"]).groupBy("_path").agg(F.aggregate(
+                own, zero, lambda acc, s: F.zip_with(acc, s["shares"], lambda a, b: a + b)).alias("_mass"))
+            names = [f"pred_q{q}".replace("0.", "") for q in quantiles]
+            outs = [_mass_quantile(q, bins, options["numTrees"]).alias(n) for q, n in zip(quantiles, names, strict=True)]
+            found = mass.withColumn("_v", means.scalar()).select("_path", *outs)
+            return scored.join(found, "_path").select(*df.columns, *names)
 
         return score
 

@@ -160,3 +160,15 @@ def test_balanced_weights(spark):
     df = spark.createDataFrame([(0,)] * 30 + [(1,)] * 10, "y int")
     got = {r["y"]: r["w"] for r in learners.balanced_weights(df, "y").groupBy("y").agg(F.max("weight").alias("w")).collect()}
     assert got == {0: pytest.approx(40 / 60), 1: pytest.approx(2.0)}
+
+
+def test_quantile_query_validates_six_weeks_or_all(spark, sf_dir, monkeypatch):
+    from squallbars.catalog import model_queries
+
+    seen = {}
+    monkeypatch.setattr(learners, "fit_quantiles", lambda features, label, **params: seen.update(params=params))
+    monkeypatch.setattr(learners, "walk_forward", lambda assigned, fit: seen.update(assigned=assigned) or assigned.withColumn(
+        "pred_q1", F.lit(0.0)).withColumn("pred_q5", F.lit(1.0)).withColumn("pred_q9", F.lit(2.0)))
+    model_queries.quantile_walk_forward(spark, sf_dir)
+    weeks = {r["period"]: r["roles"] for r in seen["assigned"].groupBy("period").agg(F.collect_set("role").alias("roles")).collect()}
+    assert seen["params"] == {} and sum("val" in roles for roles in weeks.values()) == min(6, len(weeks) - 1)
