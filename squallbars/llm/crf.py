@@ -3,7 +3,8 @@
 Tokens are runs of letters, runs of digits and single other characters. Each token's features (its shape, its length,
 the shapes beside it, whether a blank goes before it) are rows of a weight table; labels are O and B-/I- of each kind.
 Training maximises the regularised conditional likelihood by gradient steps over one padded batch; decoding runs Viterbi
-over batches of sequences of like length.
+over batches of sequences of like length. Whole texts are decoded by tables over shape codes: a bound on what any run of
+labels through a token can gain over O proves most tokens O, and Viterbi runs on the others, which gives the same path.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 import numpy as np
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
+_PART = re.compile(_TOKEN.pattern + r"|\s+")
 _MARK = re.compile(r"<(\w+)>(.*?)</\1>", re.S)
 _KEPT = {"at", "dot", "ext", "tel", "phone", "call", "mobile", "fax", "order", "no", "version", "page", "invoice", "mail", "email", "ip", "host", "card", "visa", "com", "org", "net", "id", "isbn"}
 
@@ -143,17 +145,24 @@ class ChainField:
 
     def decode(self, sequences: list[list[tuple[str, ...]]], together: int = 512) -> list[np.ndarray]:
         """The best labels of each sequence."""
-        out: list[np.ndarray] = [np.zeros(0, int)] * len(sequences)
-        order = sorted((i for i in range(len(sequences)) if sequences[i]), key=lambda i: len(sequences[i]))
         none, size = len(self.names), self.weights.shape[1]
+        scores = [self.weights[[[self.names.get(f, none) for f in fs] for fs in s]].sum(1) if s else np.zeros((0, size)) for s in sequences]
+        return self._paths(scores, [self.moves[size]] * len(scores), [np.zeros(size)] * len(scores), together)
+
+    def _paths(self, scores: list[np.ndarray], starts: list[np.ndarray], ends: list[np.ndarray], together: int = 512) -> list[np.ndarray]:
+        """Viterbi paths through token scores, from a row of moves into each first token and with a row added at each last."""
+        out: list[np.ndarray] = [np.zeros(0, int)] * len(scores)
+        order = sorted((i for i in range(len(scores)) if len(scores[i])), key=lambda i: len(scores[i]))
+        size = self.weights.shape[1]
         while order:
-            most = max(1, min(together, 200_000 // len(sequences[order[-1]])))
+            most = max(1, min(together, 200_000 // len(scores[order[-1]])))
             some, order = order[-most:], order[:-most]
-            n = np.array([len(sequences[i]) for i in some])
+            n = np.array([len(scores[i]) for i in some])
             score = np.zeros((len(some), n.max(), size))
             for row, i in enumerate(some):
-                score[row, :n[row]] = self.weights[[[self.names.get(f, none) for f in fs] for fs in sequences[i]]].sum(1)
-            best = self.moves[size] + score[:, 0]
+                score[row, :n[row]] = scores[i]
+                score[row, n[row] - 1] += ends[i]
+            best = np.array([starts[i] for i in some]) + score[:, 0]
             came = np.zeros((len(some), n.max(), size), np.int8)
             for t in range(1, n.max()):
                 paths = best[:, :, None] + self.moves[:size]
@@ -168,3 +177,80 @@ class ChainField:
             for row, i in enumerate(some):
                 out[i] = path[row, :n[row]]
         return out
+
+    def text_decoder(self) -> "TextDecoder":
+        return TextDecoder(self)
+
+
+class TextDecoder:
+    """Labels of whole texts. Shapes that no feature names share one code, so the tables stay small."""
+
+    def __init__(self, field: ChainField):
+        self.field = field
+        known = {n[1:] for n in field.names if n[0] == "0" and " " not in n}
+        shapes = ["<", ">", *(f"d{k}" for k in range(1, 21)), *sorted(known | _KEPT | {"x", "X", "Xx"}), "\0"]
+        self.shapes = {s: i for i, s in reversed(list(enumerate(shapes)))}
+        self.other = len(shapes) - 1
+        self.codes: dict[str, int] = {}
+        zero = np.zeros(field.weights.shape[1])
+        w = lambda n: field.weights[field.names[n]] if n in field.names else zero
+        z = lambda s: w("z" + ("n" + str(int(s[1:]) // 3) if s[0] == "d" and s[1:].isdigit() else "a"))
+        self.before = np.array([[w(f"-{a}") + w(f"-0{a} {s}") for s in shapes] for a in shapes])
+        self.after = np.array([[w(f"0{s}") + z(s) + w(f"+{a}") + w(f"0+{s} {a}") for a in shapes] for s in shapes])
+        self.far = np.array([w(f"-2{s}") for s in shapes]), np.array([w(f"+2{s}") for s in shapes])
+        self.tied = np.array([[w(f"t{k >> 1}{k & 1}") + w(f"t{k >> 1}{s}") for s in shapes] for k in range(4)])
+        moves, size = field.moves, field.weights.shape[1]
+        self.into = np.maximum(moves[:size].max(0) - moves[0, 0], moves[size] - moves[size, 0])[1:]
+        self.out = max(0.0, (moves[1:size, 0] - moves[0, 0]).max())
+
+    def _code(self, part: str) -> int:
+        if len(self.codes) > 100_000:
+            self.codes.clear()
+        code = self.codes[part] = -1 if part[0].isspace() else self.shapes.get(shape(part), self.other)
+        return code
+
+    def _scores(self, codes: np.ndarray, tied: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Scores of some tokens of a text; codes have two marks on either side."""
+        c = [codes[at + k] for k in range(5)]
+        return (self.before[c[1], c[2]] + self.after[c[2], c[3]] + self.far[0][c[0]] + self.far[1][c[4]]
+                + self.tied[2 * tied[at] + tied[at + 1], c[2]])
+
+    def decode(self, texts: list[str]) -> list[list[tuple[list[tuple[int, int]], np.ndarray]]]:
+        """For each text the runs of tokens that need not be O, with their labels; all other tokens are O."""
+        size = self.field.weights.shape[1]
+        runs, scores, starts, ends = [], [], [], []
+        for i, text in enumerate(texts):
+            parts = _PART.findall(text)
+            get, code = self.codes.get, self._code
+            all_codes = np.array([code(p) if (k := get(p)) is None else k for p in parts], np.int64)
+            stops = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+            real = np.flatnonzero(all_codes >= 0)
+            n = len(real)
+            if not n:
+                continue
+            codes = np.concatenate([[0, 0], all_codes[real], [1, 1]])
+            tied = np.zeros(n + 1, np.int64)
+            tied[1:n] = np.diff(real) == 1
+            gain = np.empty(n)
+            for a in range(0, n, 16_384):
+                s = self._scores(codes, tied, np.arange(a, min(n, a + 16_384)))
+                gain[a:a + 16_384] = (s[:, 1:] + self.into).max(1) - s[:, 0]
+            total = np.concatenate([[0.0], np.cumsum(gain)])
+            # The most that a run of other labels through a token can gain over O.
+            most = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1]) + self.out
+            live = np.flatnonzero(most >= -1e-6)
+            if not len(live):
+                continue
+            breaks = np.flatnonzero(np.diff(live) > 1) + 1
+            at = real[live]
+            spans = list(zip(np.where(at > 0, stops[at - 1], 0).tolist(), stops[at].tolist(), strict=True))
+            score = self._scores(codes, tied, live)
+            for a, b in zip([0, *breaks.tolist()], [*breaks.tolist(), len(live)], strict=True):
+                runs.append((i, spans[a:b]))
+                scores.append(score[a:b])
+                starts.append(self.field.moves[0 if live[a] else size])
+                ends.append(self.field.moves[:size, 0] if live[b - 1] < n - 1 else np.zeros(size))
+        out: list[list[tuple[list[tuple[int, int]], np.ndarray]]] = [[] for _ in texts]
+        for (i, spans), labels in zip(runs, self.field._paths(scores, starts, ends), strict=True):
+            out[i].append((spans, labels))
+        return out

@@ -1,8 +1,7 @@
 """Personal data: exact patterns, and spans that a linear-chain conditional random field adds to them.
 
-The field is trained on the driver from the small table below and sent to the executors (some thousand numbers). It reads
-the surroundings of digits and of words such as "(at)": what is farther than `REACH` characters from any has label O by
-definition. A span that it finds is added where it touches no pattern span and has a fit number of digits or words.
+The field is trained on the driver from the small table below and sent to the executors (some thousand numbers). It decodes
+every token of every text. A span that it finds is added where it touches no pattern span and has what its kind needs.
 
 Null texts are empty and have no spans; repeated rows are treated alike; an empty table gives no rows; columns other than
 `id` and `text` are ignored by `find_private` and kept by `redact`. Offsets are code points, ends exclusive.
@@ -17,12 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from squallbars.llm.crf import ChainField, features, tokens
-from squallbars.llm.private_patterns import KINDS, base_spans
+from squallbars.llm.crf import ChainField, TextDecoder
+from squallbars.llm.private_patterns import KINDS, base_spans, is_ip
 
-REACH = 40
-_NEAR = re.compile(r"[0-9]+|[\[({] ?(?:at|dot|AT|DOT) ?[\])}]")
-_CLOSE = re.compile(r"[0-9][^0-9]{0,2}[0-9]|[\[({] ?(?:at|dot|AT|DOT) ?[\])}]|[0-9]{7,}")
+LONGEST_EMAIL = 254  # RFC 5321; a longer run of the field's is no address
 
 # The labelled table (fixed values): one text a row, spans between tags.
 LABELLED = [
@@ -74,6 +71,13 @@ LABELLED = [
     "code 200 or 404 or 500 from port 8080",
     "license 2.0, copyright 2001-2015",
     "100 200 300 400 500 600 700",
+    "ask for it at <email>jane @ example . com</email> please",
+    "questions to <email>m.roe @ mail . site . org</email>, not by phone",
+    "the server <ip>10 . 0 . 0 . 254</ip> is up",
+    "we blocked <ip>172[.]16[.]20[.]30</ip> today",
+    "so words!! AND MORE!! then WORDS,!! ONE.!! Two!! or none!!",
+    "some words&&& and$$$ more,%%% or*** less.### Then&&& this*** was%%% the$$$ end###",
+    "Long!! lines@@@ of~~~ junk^^^ are=== not, in--- any___ way||| an+++ address;;; or::: number",
 ]
 
 
@@ -85,47 +89,27 @@ def _fit(kind: str, part: str) -> bool:
     """Whether a span that the field found has what its kind needs."""
     digits = sum(c in "0123456789" for c in part)
     if kind == "email":
-        return bool(re.search(r"\w\W*(?:@|[\[({] ?at ?[\])}])\W*\w.*(?:\.|dot)\W*\w", part, re.I | re.S))
+        return len(part) <= LONGEST_EMAIL and bool(re.search(r"\w\W*(?:@|[\[({] ?at ?[\])}])\W*\w.*(?:\.|dot)\W*\w", part, re.I | re.S))
     if kind == "phone":
         return 9 <= digits <= 15 and bool(re.search(r"[0-9][^0-9]+[0-9]", part))
-    return 13 <= digits <= 19 if kind == "card" else False
-
-
-def windows(text: str) -> list[tuple[int, int]]:
-    """The surroundings of digits and at words, joined where they meet, within a line."""
-    out: list[list[int]] = []
-    if not _CLOSE.search(text):
-        return []
-    for m in _NEAR.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    for w in out:  # whole words
-        while w[0] > 0 and not text[w[0] - 1].isspace() and w[0] > w[1] - 4096:
-            w[0] -= 1
-        while w[1] < len(text) and not text[w[1]].isspace() and w[1] < w[0] + 4096:
-            w[1] += 1
-    return [(a, b) for a, b in out]
-
-
-def added_spans(texts: list[str], base: list[dict[str, list[tuple[int, int]]]], field: ChainField) -> list[list[tuple[str, int, int]]]:
+    if kind == "ip":
+        parts = re.fullmatch(r"\W*([0-9]+)" + r"\W*(?:\.|dot)\W*([0-9]+)" * 3 + r"\W*", part, re.I)
+        return bool(parts) and is_ip(".".join(parts.groups()))
+    return 13 <= digits <= 19
+
+
+def added_spans(texts: list[str], base: list[dict[str, list[tuple[int, int]]]], field: ChainField,
+                decoder: TextDecoder | None = None) -> list[list[tuple[str, int, int]]]:
     """Spans the field finds beside the pattern spans of each text."""
-    places, sequences = [], []
-    for i, text in enumerate(texts):
-        for a, b in windows(text):
-            spans = tokens(text, a, b)
-            places.append((i, spans))
-            sequences.append(features(text, spans))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for (i, spans), labels in zip(places, field.decode(sequences), strict=True):
+    for i, runs in enumerate((decoder or field.text_decoder()).decode(texts)):
         found: list[list] = []
-        for (a, b), y in zip(spans, labels, strict=True):
-            if y and y % 2:
-                found.append([KINDS[(y - 1) // 2], a, b])
-            elif y:
-                found[-1][2] = b
+        for spans, labels in runs:
+            for (a, b), y in zip(spans, labels.tolist(), strict=True):
+                if y and y % 2:
+                    found.append([KINDS[(y - 1) // 2], a, b])
+                elif y:
+                    found[-1][2] = b
         taken = [s for k in KINDS for s in base[i][k]] if found else []
         for kind, a, b in found:
             if _fit(kind, texts[i][a:b]) and all(b <= s or e <= a for s, e in taken) and (kind, a, b) not in out[i]:
@@ -141,10 +125,11 @@ def find_private(docs: DataFrame, id: str = "doc_id", text: str = "text", field:
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = model.value.text_decoder()
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             base = [base_spans(t) for t in texts]
-            added = added_spans(texts, base, model.value)
+            added = added_spans(texts, base, model.value, decoder)
             listed = [[{"kind": k, "start": a, "end": b} for k in KINDS for a, b in found[k]] for found in base]
             more = [[{"kind": k, "start": a, "end": b} for k, a, b in sorted(s, key=lambda x: (KINDS.index(x[0]), x[1]))] for s in added]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(listed, arrow), pa.array(more, arrow)], ["id", "base", "added"])
@@ -167,12 +152,13 @@ def redact(docs: DataFrame, text: str = "text", field: ChainField | None = None)
         return "".join([*out, value[at:]])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = model.value.text_decoder()
         for batch in batches:
             at = batch.schema.get_field_index(text)
             values = batch.column(at).to_pylist()
             texts = [t or "" for t in values]
             base = [base_spans(t) for t in texts]
-            added = added_spans(texts, base, model.value)
+            added = added_spans(texts, base, model.value, decoder)
             new = [v if v is None else cleaned(v, b, a) if any(b.values()) or a else v for v, b, a in zip(values, base, added, strict=True)]
             yield batch.set_column(at, text, pa.array(new, batch.schema.field(at).type))
 

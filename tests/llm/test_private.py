@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-from squallbars.llm.crf import ChainField
+from squallbars.llm.crf import ChainField, features, tokens
 from squallbars.llm.private_data import LABELLED, added_spans, find_private, redact, trained
 from squallbars.llm.private_patterns import KINDS, base_spans, luhn
 
@@ -105,3 +105,20 @@ def test_rows(edges, empty, spark):
     found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.base] for r in find_private(docs).collect()}
     assert found == {1: [("email", 2, 8), ("ip", 13, 21), ("phone", 23, 37)], 2: [], 3: []}
     assert {r.doc_id: (r.text, r.base) for r in redact(docs).collect()} == {1: ("é <EMAIL> and <IP>, <PHONE>", "keep"), 2: (None, "keep"), 3: ("clean text", "keep")}
+
+
+def test_field_reads_whole_texts():
+    field = trained()
+    wanted = {"contact bob [At] mail [Dot] org for the list": "email", "write to jane @ example . com today": "email", "the host at 192 . 168 . 0 . 17 is down": "ip"}
+    for text, kind in wanted.items():
+        assert [k for k, _, _ in added_spans([text], [base_spans(text)], field)[0]] == [kind], text
+
+
+def test_texts_decode_like_their_features():
+    field, rng = trained(), random.Random(4)
+    words = ["at", "(", ")", "[Dot]", "@", ".", "12", "0049", "4111", "jane", "Tom", "ORG", "call", "-", "+", "!!", "\n", " ", "é", "٣", "<", "_"]
+    texts = ["", " ", *LABELLED] + ["".join(rng.choice(words) + rng.choice(["", " ", " filler words in between "]) for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    for text, runs in zip(texts, field.text_decoder().decode(texts), strict=True):
+        spans = tokens(text)
+        labels = {s: y for own, found in runs for s, y in zip(own, found.tolist(), strict=True)}
+        assert [labels.get(s, 0) for s in spans] == field.decode([features(text, spans)])[0].tolist()
