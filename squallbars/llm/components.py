@@ -13,12 +13,13 @@ from squallbars.llm.common import written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of `edges` (src, dst): the least node it can reach. Loops are ignored."""
+    """(node, component) of every node of `edges` (src, dst): the least node it can reach. Loops are ignored.
+
+    An error is raised if the last of `rounds` still changed edges.
+    """
     now = written(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
     mark = _mark(now)
-    for _ in range(rounds):
-        if not mark[0]:
-            break
+    for _ in range(rounds if mark[0] else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
         large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -31,6 +32,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if after == mark:
             break
         mark = after
+    else:
+        if mark[0]:
+            raise RuntimeError(f"components have not settled after {rounds} rounds")
     tops = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops.withColumn("component", F.col("node")))
 

@@ -155,3 +155,9 @@ def test_components(spark):
     want, _ = classes(nodes, lambda i, j: frozenset((nodes[i], nodes[j])) in pairs)
     assert got == dict(zip(nodes, want, strict=True))
     assert math.isclose(len(got), len(nodes))
+
+
+def test_components_that_have_not_settled_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(64)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=1)
