@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from squallbars.llm.common import written
-from squallbars.llm.conversations import schema_of
+from squallbars.llm.conversations import in_order, schema_of
 from squallbars.llm.edit_lattice import BLANK, DUPLICATE, ENDS, SOUND, STATES, TRUNCATED, cheapest, codes
 
 SEGMENT_BITS = 8
@@ -38,12 +38,6 @@ class Repair(NamedTuple):
     report: DataFrame
 
 
-def in_order(rows: DataFrame) -> DataFrame:
-    """Rows with `place`, a number that grows along (conv, turn, role, text); a hot conversation is dealt to many tasks."""
-    dealt = rows.repartitionByRange("conv", "turn", "role", F.substring("text", 1, 64))
-    return written(dealt.sortWithinPartitions("conv", "turn", "role", "text").withColumn("place", F.monotonically_increasing_id()), "turns")
-
-
 def with_faults(ordered: DataFrame) -> DataFrame:
     """(conv, place, turn, initial, fault) of every row. Texts are compared by their SHA-256 with the role."""
     solid = F.rtrim("text", F.lit(SPACES))
