@@ -219,7 +219,8 @@ def search(index: Index, queries: DataFrame, k: int = 10, id: str = "item_id", t
     items = query_terms(queries.select(F.col(id).alias("item"), F.col(text).alias("text")))
     item = items.schema["item"].dataType
     found = f"item {item.simpleString()}, rank int, doc {kind.simpleString()}, score long"
-    words = items.select("term").distinct().union(spark.createDataFrame([("",)], "term string"))
+    # Written, so that the planner knows its size and, if that is small, sends it to the index instead of dealing the index.
+    words = written(items.select("term").distinct().union(spark.createDataFrame([("",)], "term string")), "words")
     rows = written(index.rows.join(words, "term", "left_semi").select(index.rows.columns), "postings")
     df = rows.filter("term <> ''").groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(float(2 * index.docs + 2)) / (2 * F.col("df") + 1)))
