@@ -4,8 +4,8 @@ Terms are runs of letters, digits and characters beyond ASCII; only A to Z are l
 `m = 10 + (90 * n * N) div L` (n terms in the document, N documents with terms, L terms in all) form a stratum: for them the
 weight of a term depends on its count alone, so postings are lists by count, and a weight is computed once for each count.
 
-Documents are dealt and sorted by (m, hash of id), so a stratum of any size is spread over tasks and a task holds one batch;
-strata are cut into slices of at most `SLICE_TERMS` terms and `SLICE_DOCS` documents. An index row is (m, slice, term, tf, n,
+Documents are dealt by stratum, strata of more than `DEALT_TERMS` terms in parts of about that size, so a stratum of any size is
+spread over tasks, texts of any length weigh as much as they hold, and a task holds one batch; strata are cut into slices of at most `SLICE_TERMS` terms and `SLICE_DOCS` documents. An index row is (m, slice, term, tf, n,
 at): `n` documents of the slice, at the places `at` of its list, hold `term` `tf` times. The list stands in the slice's row
 with an empty term, as `ids`.
 
@@ -31,6 +31,7 @@ from squallbars.llm.common import written
 
 SLICE_TERMS = 1 << 20
 SLICE_DOCS = 4_096
+DEALT_TERMS = 1 << 22
 ROWS = 65_536
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -127,6 +128,8 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Inde
     n_docs, n_terms = measured.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     kind = measured.schema["id"].dataType
     strata = measured.withColumn("m", F.lit(10).cast("long") + F.expr(f"(90L * n * {n_docs}L) div {max(n_terms, 1)}L"))
-    dealt = strata.repartitionByRange("m", F.xxhash64("id")).sortWithinPartitions("m")
+    sizes = written(strata.groupBy("m").agg(F.ceil(F.sum("n") / DEALT_TERMS).alias("parts")), "strata")
+    part = F.pmod(F.xxhash64("id", "text"), F.col("parts"))
+    dealt = strata.join(sizes, "m").repartition("m", part).sortWithinPartitions("m").select("m", "n", "id", "text")
     rows = dealt.mapInArrow(indexer(to_arrow_type(kind)), f"m long, slice long, term string, tf long, n long, at array<int>, ids array<{kind.simpleString()}>")
     return Index(written(rows, "index"), n_docs, n_terms)
