@@ -14,7 +14,8 @@ from squallbars.functions import vocab
 from squallbars.operators import alerts, folds, learners, metrics
 from squallbars.plans import dataset
 from squallbars.session import shared, shared_dir
-from squallbars.sources import inputs, store
+from squallbars.sources import inputs
+from squallbars.sources.merge_store import MergeStore, by_day, by_hash, by_ticker_and_month
 from squallbars.streaming import jobs
 
 col = F.col
@@ -252,29 +253,62 @@ def settings_upsert(spark, sf_dir):
     stored = inputs.user_settings(spark, sf_dir)
     changed = alerts.toggle(stored.filter(col("user_id") % 4 == 0), "daily_alerts").withColumn(
         "user_timezone", F.lit(2.5).cast("decimal(3,1)"))
-    return store.upsert(stored, changed, ["user_id"]).select("user_id", col("user_timezone").cast("double").alias("user_timezone"), "daily_alerts")
+    kept = MergeStore.create(stored, _fresh(spark, "settings"), ["user_id"], by_hash("user_id", 16))
+    kept.merge(changed)
+    return kept.read().select("user_id", col("user_timezone").cast("double").alias("user_timezone"), "daily_alerts")
 
 
 # ---- streams ----------------------------------------------------------------------------------------
+FEED_FILES = 4
+
+
+def _feed(spark, sf_dir, again: bool = False) -> str:
+    """A folder of tick files as they arrive: up to 89 minutes late and out of order; with ``again`` every third tick comes twice.
+
+    Files are written one after the other, since a stream reads them by age.
+    """
+    rows = inputs.table(spark, sf_dir, "events")
+    kept = rows.columns
+    late = F.expr("make_dt_interval(0, 0, int(event_id * 37 % 90))")
+    rows = rows.withColumn("_at", col("ts").cast("timestamp") + late)
+    if again:
+        rows = rows.unionByName(rows.filter(col("event_id") % 3 == 0).withColumn("_at", col("_at") + F.expr("interval 20 minutes")))
+    at = F.unix_micros("_at")
+    span = rows.agg(F.min(at).alias("lo"), (F.max(at) + 1).alias("hi"))
+    slot = F.floor((at - span.select("lo").scalar()) * FEED_FILES / span.select(col("hi") - col("lo")).scalar())
+    rows = shared(rows.withColumn("_slot", slot))
+    path = _fresh(spark, "feed")
+    for k in range(FEED_FILES):
+        rows.filter(col("_slot") == k).select(kept).write.mode("append").parquet(path)
+    return path
+
+
+def _empty_store(spark, name: str, schema: str, keys, layout) -> MergeStore:
+    return MergeStore.create(spark.createDataFrame([], schema), _fresh(spark, name), keys, layout)
+
+
 @query("st1_streamed_bars", with_tables("bars", body="SELECT * FROM bars"))
 def streamed_bars(spark, sf_dir):
-    out, state = _fresh(spark, "bars"), _fresh(spark, "bars-state")
-    jobs.run_once(jobs.hourly_bars(jobs.read_ticks(spark, sf_dir)), out, state, "update")
-    return jobs.latest_version(spark, out, ["ticker", "datetime"])
+    kept = _empty_store(spark, "bars", "ticker string, datetime timestamp, open double, high double, low double, close double, volume long",
+                        ["ticker", "datetime"], by_ticker_and_month())
+    ticks = jobs.read_ticks(spark, _feed(spark, sf_dir), FEED_FILES // 2)
+    jobs.run_once(jobs.hourly_bars(ticks), kept, _fresh(spark, "bars-state"), "update")
+    return kept.read()
 
 
 @query("st2_streamed_events", "SELECT event_id, event_type AS ticker, ts, value FROM events")
 def streamed_events(spark, sf_dir):
-    out, state = _fresh(spark, "events"), _fresh(spark, "events-state")
-    ticks = jobs.read_ticks(spark, sf_dir)
-    jobs.run_once(jobs.new_events(ticks.unionByName(jobs.read_ticks(spark, sf_dir))), out, state)
-    return jobs.latest_version(spark, out, ["event_id"])
+    kept = _empty_store(spark, "events", "event_id long, ticker string, ts timestamp, value double", ["event_id"], by_hash("event_id", 4))
+    ticks = jobs.read_ticks(spark, _feed(spark, sf_dir, again=True), FEED_FILES // 2)
+    jobs.run_once(jobs.new_events(ticks), kept, _fresh(spark, "events-state"))
+    return kept.read()
 
 
 @query("st3_streamed_alerts", with_tables("calendar", *BUCKETS_SQL, CHECK_SQL, body="""
 SELECT time_to_check, rounded_time, news_count, main_event FROM chk WHERE time_to_check IN (SELECT date_trunc('hour', ts) FROM events)"""))
 def streamed_alerts(spark, sf_dir):
-    out, state = _fresh(spark, "alerts"), _fresh(spark, "alerts-state")
-    buckets = shared(_due(spark, sf_dir))
-    jobs.run_once(jobs.due_alerts(jobs.read_ticks(spark, sf_dir), buckets), out, state)
-    return jobs.latest_version(spark, out, ["time_to_check"]).select("time_to_check", "rounded_time", "news_count", "main_event")
+    buckets = shared(_due(spark, sf_dir).select("time_to_check", "rounded_time", "news_count", "main_event"))
+    kept = MergeStore.create(buckets.limit(0), _fresh(spark, "alerts"), ["time_to_check", "rounded_time"], by_day("time_to_check"))
+    ticks = jobs.read_ticks(spark, _feed(spark, sf_dir, again=True), FEED_FILES // 2)
+    jobs.run_once(jobs.due_alerts(ticks, buckets), kept, _fresh(spark, "alerts-state"))
+    return kept.read()

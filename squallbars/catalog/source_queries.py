@@ -13,6 +13,7 @@ from squallbars.operators import aggregates as agg
 from squallbars.operators import events as ev
 from squallbars.session import shared, shared_dir
 from squallbars.sources import clean, files, inputs, store
+from squallbars.sources.merge_store import MergeStore, by_ticker_and_month
 
 col = F.col
 KEY = ["ticker", "datetime"]
@@ -98,8 +99,9 @@ def upsert_prices(spark, sf_dir):
     rows = shared(inputs.bars(spark, sf_dir).select(*KEY, "close"))
     new = rows.filter(col("datetime") >= F.lit(LO).cast("timestamp"))
     twice = new.withColumn("seq", F.lit(1)).unionByName(new.withColumns({"close": r(col("close") + 1), "seq": F.lit(2)}))
-    stored = rows.filter(col("datetime") < F.lit(HI).cast("timestamp")).withColumn("seq", F.lit(0))
-    return store.upsert(stored, twice, KEY, ["seq"]).drop("seq")
+    kept = MergeStore.create(rows.filter(col("datetime") < F.lit(HI).cast("timestamp")), _fresh(spark, "prices"), KEY, by_ticker_and_month())
+    kept.merge(twice, ["seq"])
+    return kept.read()
 
 
 @query("s09_insert_if_absent", with_tables("calendar", body=f"""
@@ -114,9 +116,11 @@ def insert_if_absent(spark, sf_dir):
 SELECT ticker, datetime, 'GDP' AS main_event, CASE WHEN datetime >= TIMESTAMP '{LO}' THEN round(high - low + 1, 6)
   ELSE round(high - low, 6) END AS future_range_1h FROM bars"""))
 def upsert_ranges(spark, sf_dir):
-    rows = inputs.bars(spark, sf_dir).select(*KEY, F.lit("GDP").alias("main_event"), r(col("high") - col("low")).alias("future_range_1h"))
+    rows = shared(inputs.bars(spark, sf_dir)).select(*KEY, F.lit("GDP").alias("main_event"), r(col("high") - col("low")).alias("future_range_1h"))
     new = rows.filter(col("datetime") >= F.lit(LO).cast("timestamp")).withColumn("future_range_1h", r(col("future_range_1h") + 1))
-    return store.upsert(rows, new, ["main_event", "datetime", "ticker"])
+    kept = MergeStore.create(rows, _fresh(spark, "ranges"), ["main_event", "datetime", "ticker"], by_ticker_and_month())
+    kept.merge(new)
+    return kept.read()
 
 
 @query("s11_newer_than_stored", with_tables("bars", f"""

@@ -12,6 +12,7 @@ from squallbars.operators import events as ev
 from squallbars.operators import labels
 from squallbars.operators.history import HORIZONS
 from squallbars.operators.layout import over_bars
+from squallbars.sources.merge_store import MergeStore
 from squallbars.sources.store import upsert
 
 col = F.col
@@ -30,17 +31,25 @@ def event_ranges(bars: DataFrame, events: DataFrame) -> DataFrame:
     return measured.join(main, "datetime").select("ticker", "datetime", "main_event", *RANGES)
 
 
-def update_ranges(stored: DataFrame | None, bars: DataFrame, events: DataFrame) -> DataFrame:
-    """Ranges of new events, and of stored rows that are still open, merged into the stored rows.
+def new_ranges(stored: DataFrame, bars: DataFrame, events: DataFrame) -> DataFrame:
+    """Ranges of new events, and of stored rows that are still open.
 
     A stored row is open while one of its ranges is null: windows count rows, so over a gap in the bars no span of hours
     bounds them. Each ticker is measured anew from its first open row (or its last row, if none is open); a ticker without
     stored rows is measured whole.
     """
-    if stored is None:
-        return event_ranges(bars, events)
     still = reduce(Column.__or__, [col(c).isNull() for c in RANGES])
     marks = stored.groupBy("ticker").agg(F.coalesce(F.min(F.when(still, col("datetime"))), F.max("datetime")).alias("_mark"))
     due = bars.join(marks, "ticker", "left").filter(col("_mark").isNull() | (col("datetime") >= col("_mark"))).drop("_mark")
     first = due.agg(F.min("datetime")).scalar()
-    return upsert(stored, event_ranges(due, events.filter(col("date") >= first)), KEYS)
+    return event_ranges(due, events.filter(col("date") >= first))
+
+
+def update_ranges(stored: DataFrame | None, bars: DataFrame, events: DataFrame) -> DataFrame:
+    """New and still open ranges merged into the stored rows."""
+    return event_ranges(bars, events) if stored is None else upsert(stored, new_ranges(stored, bars, events), KEYS)
+
+
+def refresh_store(store: MergeStore, bars: DataFrame, events: DataFrame) -> list[str]:
+    """New and still open ranges merged into a store; only the months they fall in are read and written."""
+    return store.merge(new_ranges(store.read(), bars, events))

@@ -3,22 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
+
+
+def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key, the last by ``order`` (then by the other columns that can be ordered, so that reruns agree).
+
+    A rank limited to 1 is taken in every task before the shuffle, so a key that arrives many times is one row per task.
+    """
+    kinds = {f.name: f.dataType for f in rows.schema}
+    rest = [c for c in rows.columns if c not in (*keys, *order) and isinstance(kinds[c], AtomicType)]
+    by = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in (*order, *rest)] or [F.lit(0)])
+    return rows.withColumn("_nth", F.row_number().over(by)).filter("_nth = 1").drop("_nth")
+
+
+def without(stored: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stored rows whose key (nulls are values) is not among the new rows."""
+    named = new.select(*[F.col(k).alias(f"_new_{k}") for k in keys])
+    return stored.join(named, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys]), "left_anti")
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Stored rows overwritten by new rows with the same key; among new rows the last by ``order`` wins.
 
-    A partial aggregation, so a key that arrives many times is combined before the shuffle.
+    Stored rows are only filtered, never sorted or combined. A table that is kept is a `merge_store.MergeStore`, which reads no
+    more of it than the new rows touch.
     """
-    rest = [c for c in stored.columns if c not in keys]
-    rank = F.struct("_batch", *order)
-    both = stored.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)),
-                                                             allowMissingColumns=True)
-    return (both.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_row"))
-            .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]))
+    newest = latest(new, keys, order)
+    return without(stored, newest, keys).unionByName(newest.select(*[c for c in stored.columns if c in newest.columns]), allowMissingColumns=True)
 
 
 def insert_absent(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from squallbars.functions.times import ordered_rank
+from squallbars.sources.merge_store import MergeStore
 
 col = F.col
 
 
 def read_ticks(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """Stream of tick files; the schema is declared from the stored files' footer."""
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    rows = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+    """Stream of the tick files of a folder, oldest first; the schema is declared from the stored files' footer."""
+    schema = spark.read.parquet(folder).schema
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     return rows.select(col("event_type").alias("ticker"), col("ts").cast("timestamp").alias("ts"), "event_id", "value")
 
 
@@ -35,26 +36,23 @@ def new_events(ticks: DataFrame, lateness: str = "2 hours") -> DataFrame:
 
 
 def due_alerts(ticks: DataFrame, buckets: DataFrame, lateness: str = "2 hours") -> DataFrame:
-    """One alert per upcoming bucket when the stream reaches its due hour (stream-static join)."""
+    """One alert per upcoming bucket when the stream reaches its due hour (stream-static join on the hour)."""
     hours = (ticks.withWatermark("ts", lateness).withColumn("time_to_check", F.date_trunc("hour", "ts"))
              .dropDuplicatesWithinWatermark(["time_to_check"]))
     return hours.select("time_to_check").join(buckets, "time_to_check")
 
 
-def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append",
-             change: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Process all available input. Each batch overwrites its own folder, so a replayed batch is harmless."""
+def run_once(stream: DataFrame, store: MergeStore, checkpoint: str, mode: str = "append",
+             change: Callable[[DataFrame], DataFrame] | None = None) -> list[dict]:
+    """Process all available input in micro-batches, each merged into the store; returns the progress of every batch.
+
+    A batch that is run again after a failure merges the same rows into the same keys, so nothing is stored twice, and there
+    are no folders of batches to be compacted: a merge rewrites the partitions that it touches.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        (change(batch) if change else batch).write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
+        store.merge(change(batch) if change else batch)
 
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).foreachBatch(write).start())
     query.awaitTermination()
-
-
-def latest_version(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
-    """Last written version of each key over all batches."""
-    rows = spark.read.parquet(out)
-    rest = [c for c in rows.columns if c not in keys and c != "_batch"]
-    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_row"))
-            .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]))
+    return [dict(p) if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
