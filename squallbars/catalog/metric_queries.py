@@ -37,14 +37,14 @@ WHERE n_train > 0 AND n_val > 0"""
 @query("v01_quarter_blocks", with_tables("dbars", month_bounds_sql(48, 3, 3, True), FOLD_SUMMARY, body=FOLD_BODY, recursive=True))
 def quarter_blocks(spark, sf_dir):
     rows = inputs.daily_bars(spark, sf_dir)
-    return folds.summary(folds.assign(rows, "datetime", folds.block_folds(rows, "datetime", 48, 3, 3)), "datetime")
+    return folds.summary(rows, "datetime", folds.block_folds(rows, "datetime", 48, 3, 3))
 
 
 @query("v03_year_blocks", with_tables("dbars", month_bounds_sql(36, 12, 12, False), FOLD_SUMMARY, body=FOLD_BODY, recursive=True))
 def year_blocks(spark, sf_dir):
     rows = inputs.daily_bars(spark, sf_dir)
     bounds = folds.block_folds(rows, "datetime", 36, 12, 12, expanding=False)
-    return folds.summary(folds.assign(rows, "datetime", bounds), "datetime")
+    return folds.summary(rows, "datetime", bounds)
 
 
 @query("v04_even_splits", with_tables("dbars", """
@@ -55,18 +55,13 @@ bounds AS (SELECT CAST(i AS INT) AS fold, make_timestamp(lo) AS train_start, mak
   make_timestamp(s + 180 * 86400000000) AS val_end FROM b0)""", FOLD_SUMMARY, body=FOLD_BODY))
 def even_splits(spark, sf_dir):
     rows = inputs.daily_bars(spark, sf_dir)
-    return folds.summary(folds.assign(rows, "datetime", folds.even_folds(rows, "datetime", 5, 180, 365)), "datetime")
+    return folds.summary(rows, "datetime", folds.even_folds(rows, "datetime", 5, 180, 365))
 
 
 PERIOD_BODY = """
 SELECT fold, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'val') AS n_val FROM f GROUP BY fold"""
 
 
-def _counts(assigned):
-    return assigned.groupBy("fold").agg(F.count_if(col("role") == "train").alias("n_train"),
-                                        F.count_if(col("role") == "val").alias("n_val"))
-
-
 @query("v02_last_quarters", with_tables("dbars", """
 q AS (SELECT DISTINCT date_trunc('quarter', datetime) AS q FROM dbars),
 v AS (SELECT q, CAST(row_number() OVER (ORDER BY q) - 1 AS INT) AS fold FROM (SELECT q FROM q ORDER BY q DESC LIMIT 6)),
@@ -74,7 +69,7 @@ f AS (SELECT fold, CASE WHEN date_trunc('quarter', datetime) = q THEN 'val' ELSE
   ON date_trunc('quarter', datetime) <= q)""", body=PERIOD_BODY))
 def last_quarters(spark, sf_dir):
     rows = inputs.daily_bars(spark, sf_dir).withColumn("q", F.date_trunc("quarter", "datetime"))
-    return _counts(folds.last_period_folds(rows, "q", 6))
+    return folds.summary(rows, "q", folds.last_period_folds(rows, "q", 6)).select("fold", "n_train", "n_val")
 
 
 @query("v06_expanding_quarters", with_tables("dbars", """
@@ -85,7 +80,9 @@ f AS (SELECT fold, y, CASE WHEN b.q = v.q THEN 'val' ELSE 'train' END AS role FR
 def expanding_quarters(spark, sf_dir):
     rows = inputs.daily_bars(spark, sf_dir).withColumns({"q": F.date_trunc("quarter", "datetime"),
                                                          "y": (col("close") > col("open")).cast("int")})
-    return _counts(folds.two_class_folds(folds.expanding_period_folds(rows, "q", 2), "y"))
+    bounds = folds.expanding_period_folds(rows, "q", 2)
+    both = folds.two_class_folds(rows, "q", bounds, "y")
+    return folds.summary(rows, "q", bounds).join(both, "fold", "left_semi").select("fold", "n_train", "n_val")
 
 
 @query("v05_rolling_windows", with_tables("dbars", """
@@ -95,7 +92,7 @@ f AS (SELECT k AS fold, datetime, CASE WHEN pos < k * 700 + 1000 THEN 'train' EL
   WHERE pos >= k * 700 AND pos < k * 700 + 1300)""", body=FOLD_BODY))
 def rolling_windows(spark, sf_dir):
     rows = inputs.daily_bars(spark, sf_dir)
-    return folds.summary(folds.rolling_folds(rows, "datetime", 1000, 300, 700, ["ticker"]), "datetime")
+    return folds.rolling_folds(rows, "datetime", 1000, 300, 700, ["ticker"]).summary("datetime")
 
 
 @query("v07_sequential_splits", with_tables("dbars", """
@@ -104,7 +101,7 @@ f AS (SELECT k AS fold, datetime, CASE WHEN pos < n - (5 - k) * (n // 6) THEN 't
   range(0, 5) t(k) WHERE pos < n - (5 - k) * (n // 6) + n // 6)""", body=FOLD_BODY))
 def sequential_splits(spark, sf_dir):
     rows = inputs.daily_bars(spark, sf_dir)
-    return folds.summary(folds.sequential_folds(rows, "datetime", 5, ["ticker"]), "datetime")
+    return folds.sequential_folds(rows, "datetime", 5, ["ticker"]).summary("datetime")
 
 
 # ---- regression and ordinal metrics -----------------------------------------------------------------
@@ -312,8 +309,7 @@ v AS (SELECT fold AS q, row_number() OVER (ORDER BY fold) AS k FROM (SELECT DIST
 SELECT event_id, CAST(k - 1 AS INT) AS fold, y_true, score FROM scored JOIN v ON fold = q"""))
 def oof_table(spark, sf_dir):
     rows = inputs.scored(spark, sf_dir).withColumnRenamed("fold", "period")
-    assigned = folds.last_period_folds(rows, "period", 3)
-    return assigned.filter("role = 'val'").select("event_id", "fold", "y_true", "score")
+    return folds.validation_rows(rows, "period", folds.last_period_folds(rows, "period", 3)).select("event_id", "fold", "y_true", "score")
 
 
 @query("m15_lift", with_tables("scored", CURVE_SQL, AREA_SQL, body=f"""

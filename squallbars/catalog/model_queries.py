@@ -25,16 +25,17 @@ def _fresh(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _assigned(spark, sf_dir, n_val: int = 6):
-    """Folds of the last six weeks, or of all weeks but the first where a table has fewer than seven."""
+def _walked(spark, sf_dir, fit, n_val: int = 6):
+    """Out-of-fold rows of the last six weeks, or of all weeks but the first where a table has fewer than seven."""
     rows = dataset.model_frame(inputs.bars(spark, sf_dir), _due(spark, sf_dir).drop("main_event"))
     rows = shared(dataset.labelled(rows).withColumn("period", F.date_trunc("week", "datetime")))
-    return folds.last_period_folds(rows, "period", max(1, min(n_val, rows.select("period").distinct().count() - 1)))
+    n_val = max(1, min(n_val, rows.select("period").distinct().count() - 1))
+    return shared(learners.walk_forward(rows, "period", folds.last_period_folds(rows, "period", n_val), fit))
 
 
 @query("l01_binary_walk_forward")
 def binary_walk_forward(spark, sf_dir):
-    oof = shared(learners.walk_forward(_assigned(spark, sf_dir), learners.fit_binary(dataset.FEATURES, "is_wide")))
+    oof = _walked(spark, sf_dir, learners.fit_binary(dataset.FEATURES, "is_wide"))
     best = metrics.best_threshold(oof, "is_wide", "prob", 2.0)
     out = metrics.binary_metrics(oof, "is_wide", "prob")
     return out.withColumn("_b", best.select(F.struct("*")).scalar()).select(
@@ -44,20 +45,20 @@ def binary_walk_forward(spark, sf_dir):
 
 @query("l02_class_walk_forward")
 def class_walk_forward(spark, sf_dir):
-    oof = shared(learners.walk_forward(_assigned(spark, sf_dir), learners.fit_classes(dataset.FEATURES, "regime")))
+    oof = _walked(spark, sf_dir, learners.fit_classes(dataset.FEATURES, "regime"))
     return metrics.class_report(oof, "regime", "predicted").select("label", "support", *rounded("precision", "recall", "f1"))
 
 
 @query("l03_quantile_walk_forward")
 def quantile_walk_forward(spark, sf_dir):
-    oof = shared(learners.walk_forward(_assigned(spark, sf_dir), learners.fit_quantiles(dataset.FEATURES, "range_3h")))
+    oof = _walked(spark, sf_dir, learners.fit_quantiles(dataset.FEATURES, "range_3h"))
     out = metrics.interval_metrics(oof, "range_3h", {0.1: "pred_q1", 0.5: "pred_q5", 0.9: "pred_q9"})
     return out.select(*[r(c).alias(c) for c in out.columns])
 
 
 @query("l04_ordinal_walk_forward")
 def ordinal_walk_forward(spark, sf_dir):
-    oof = shared(learners.walk_forward(_assigned(spark, sf_dir), learners.fit_ordinal(dataset.FEATURES, "turns", 6)))
+    oof = _walked(spark, sf_dir, learners.fit_ordinal(dataset.FEATURES, "turns", 6))
     out = metrics.ordinal_metrics(oof, "turns", "y_continuous", 6)
     return out.select(*[r(c).alias(c) for c in out.columns])
 

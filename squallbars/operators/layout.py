@@ -1,7 +1,8 @@
 """Ordered-series layout: every window runs in bounded chunks, never on one task per instrument.
 
-``number_rows`` gives each row its position in its series with two small shuffles: a count per
-calendar bucket, a running sum over those counts, and ``row_number`` inside the bucket.
+``number_rows`` gives each row its position in its series in two levels: a count per bucket, a running sum over those counts,
+and the place inside the bucket. Buckets of a keyed series are calendar units; one order over all rows, and as-of joins, use
+ranges of about equal numbers of rows (``dealt``), whatever the calendar looks like.
 ``lay_out`` copies each row to its own chunk and to the neighbours whose look-back or look-ahead
 reaches it, so a row-based window over ``(keys, chunk)`` sees every row it needs.
 """
@@ -25,15 +26,38 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(small, list(keys), "left")
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] = (), unit: str = "month",
+def dealt(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows sorted by ``order`` over ranges of about equal size, with the range (``_part``) and the place in it (``_at``).
+
+    Bounds are sampled, so a crowded day, or even instant while its ties differ, is split like any other stretch. The rows are
+    checkpointed, so every reader sees the same ranges and a lost executor costs the reading of a file.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return shared(rows).withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+
+
+def in_buckets(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], unit: str | None) -> DataFrame:
+    """Rows with ``_bucket``, a number or time that ascends along each series: a calendar unit, or a dealt range if ``None``."""
+    if unit:
+        return df.withColumn("_bucket", F.date_trunc(unit, F.col(order)))
+    return dealt(df, [*keys, order, *ties]).withColumnRenamed("_part", "_bucket").drop("_at")
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] = (), unit: str | None = "month",
                 out: str = ROW) -> DataFrame:
     """0-based position of each row in its series ordered by ``order`` then ``ties``.
 
-    ``unit`` is the calendar bucket; a bucket holds the rows one task sorts, and the running sum
-    over buckets reads one row per bucket.
+    ``unit`` is the calendar bucket of a keyed series (``None``: dealt ranges); a bucket holds the rows one task sorts, and the
+    running sum over buckets reads one row per bucket. Without keys, ranges are dealt and the place in them is the rest.
     """
     keys = list(keys)
-    bucketed = df.withColumn("_bucket", F.date_trunc(unit, F.col(order)))
+    if not keys:
+        rows = dealt(df, [order, *ties])
+        sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+        offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        return attach(rows, F.broadcast(offsets), ["_part"]).withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    bucketed = in_buckets(df, keys, order, ties, unit)
     totals = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -119,14 +143,14 @@ def over_bars(bars: DataFrame, build: Callable[[DataFrame, Frames], DataFrame],
 
 
 def fill_forward(df: DataFrame, keys: Sequence[str], order: str, cols: dict[str, Column], ties: Sequence[str] = (),
-                 strict: bool = False, unit: str = "month") -> DataFrame:
+                 strict: bool = False, unit: str | None = "month") -> DataFrame:
     """Last non-null value of each column so far (``strict``: before this row), in two levels.
 
-    Inside a calendar bucket by a running window; across buckets by one carried row per bucket.
+    Inside a bucket by a running window; across buckets by one carried row per bucket. Without keys, or with ``unit`` None,
+    buckets are dealt ranges.
     """
     keys = list(keys)
-    src = df.select("*", F.date_trunc(unit, F.col(order)).alias("_bucket"),
-                    *[c.alias(f"_v_{name}") for name, c in cols.items()])
+    src = in_buckets(df.select("*", *[c.alias(f"_v_{name}") for name, c in cols.items()]), keys, order, ties, unit if keys else None)
     rank = F.struct(F.col(order), *[F.col(t) for t in ties])
     heads = src.groupBy(*keys, "_bucket").agg(*[
         F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), rank)).alias(f"_c_{n}") for n in cols])
@@ -142,8 +166,8 @@ def fill_forward(df: DataFrame, keys: Sequence[str], order: str, cols: dict[str,
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str, values: Sequence[str],
-              unit: str = "day", tolerance: str | None = None) -> DataFrame:
-    """Latest right row at or before each left row, as a tagged union and a two-level forward fill."""
+              unit: str | None = None, tolerance: str | None = None) -> DataFrame:
+    """Latest right row at or before each left row, as a tagged union and a two-level forward fill over dealt ranges."""
     keys = list(keys)
     kept = [c for c in left.columns if c not in keys and c != on]
     ours = left.select(*keys, on, F.lit(1).alias("_side"), F.struct(*kept).alias("_left"))

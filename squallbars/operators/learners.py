@@ -13,6 +13,7 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForest
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from squallbars.operators import folds
 from squallbars.operators.layout import exact_quantiles
 from squallbars.session import shared, shared_dir
 
@@ -55,23 +56,27 @@ def ordinal_learner(features: Sequence[str], label: str, **params) -> Pipeline:
     return Pipeline(stages=[_assembler(features), GBTRegressor(labelCol=label, **options)])
 
 
-def walk_forward(assigned: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Out-of-fold predictions: ``fit`` on each fold's training rows scores its validation rows.
+def walk_forward(rows: DataFrame, on: str, bounds: Column, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Out-of-fold predictions: ``fit`` on each fold's training rows scores its validation rows, which get its number.
 
-    Rows are written once by fold and role, so each fit reads only its own files. Folds are few; every
-    fit and every scoring runs on the cluster.
+    Every row is written once, by the cell that fold borders cut it into, and a fold reads the files of its cells. Folds are
+    few; every fit and every scoring runs on the cluster. Folds missing either role are left out.
     """
-    spark = assigned.sparkSession
-    path = f"{shared_dir(spark)}/folds-{uuid.uuid4().hex}"
-    assigned.write.partitionBy("fold", "role").parquet(path)
-    rows = spark.read.schema(assigned.schema).parquet(path)
-    ids = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    celled = folds.with_cells(rows, on, bounds)
+    celled.write.partitionBy("cell").parquet(path)
+    stored = spark.read.schema(celled.schema).parquet(path)
+    used: dict[int, dict[str, list[int]]] = {}
+    for r in folds.fold_cells(stored, on, bounds).select("fold", "role", "cell").collect():
+        used.setdefault(r["fold"], {}).setdefault(r["role"], []).append(r["cell"])
     out = None
-    for k in ids:
-        fold = rows.filter(col("fold") == k)
-        score = fit(fold.filter("role = 'train'"))
-        part = score(fold.filter("role = 'val'"))
+    for k in sorted(f for f, roles in used.items() if len(roles) == 2):
+        train, val = (stored.filter(col("cell").isin(used[k][role])).drop("cell") for role in ("train", "val"))
+        part = fit(train)(val.withColumn("fold", F.lit(k)))
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no fold has both training and validation rows")
     return out
 
 

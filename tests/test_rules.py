@@ -116,12 +116,11 @@ def test_month_end_steps_accumulate(spark):
 def test_folds_train_before_validation(spark):
     days = pd.date_range("2019-01-01", "2021-12-31", freq="D")
     df = spark.createDataFrame(pd.DataFrame({"t": days, "q": days.to_period("Q").astype(str)}))
-    s = folds.summary(folds.assign(df, "t", folds.block_folds(df, "t", 12, 3, 3)), "t").toPandas()
+    s = folds.summary(df, "t", folds.block_folds(df, "t", 12, 3, 3)).toPandas()
     assert len(s) and (s.train_to < s.val_from).all()
-    per = folds.last_period_folds(df, "q", 2)
-    assert per.filter("role = 'val'").select("q").distinct().count() == 2
+    assert folds.validation_rows(df, "q", folds.last_period_folds(df, "q", 2)).select("q").distinct().count() == 2
     with pytest.raises(Exception, match="not enough periods"):
-        folds.last_period_folds(df, "q", 50).count()
+        folds.summary(df, "q", folds.last_period_folds(df, "q", 50)).count()
 
 
 def test_single_class_has_no_roc(spark):
@@ -167,8 +166,9 @@ def test_quantile_query_validates_six_weeks_or_all(spark, sf_dir, monkeypatch):
 
     seen = {}
     monkeypatch.setattr(learners, "fit_quantiles", lambda features, label, **params: seen.update(params=params))
-    monkeypatch.setattr(learners, "walk_forward", lambda assigned, fit: seen.update(assigned=assigned) or assigned.withColumn(
+    monkeypatch.setattr(learners, "walk_forward", lambda rows, on, bounds, fit: seen.update(rows=rows, bounds=bounds) or rows.withColumn(
         "pred_q1", F.lit(0.0)).withColumn("pred_q5", F.lit(1.0)).withColumn("pred_q9", F.lit(2.0)))
     model_queries.quantile_walk_forward(spark, sf_dir)
-    weeks = {r["period"]: r["roles"] for r in seen["assigned"].groupBy("period").agg(F.collect_set("role").alias("roles")).collect()}
-    assert seen["params"] == {} and sum("val" in roles for roles in weeks.values()) == min(6, len(weeks) - 1)
+    weeks = seen["rows"].select("period").distinct().count()
+    validated = folds.validation_rows(seen["rows"], "period", seen["bounds"]).select("period").distinct().count()
+    assert seen["params"] == {} and validated == min(6, weeks - 1)
