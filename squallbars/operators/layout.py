@@ -197,27 +197,59 @@ def value_bucket(c: Column, bits: int) -> Column:
     return F.when(c == 0, F.lit(0)).when(c > 0, magnitude).otherwise(-magnitude).cast("long")
 
 
+LEVEL_BITS = 10
+
+
+def bucket_levels(c: Column, bits: int) -> list[Column]:
+    """Order-preserving groups of a double's buckets, coarse to fine: a number's sign and octave, then ten mantissa bits a level.
+
+    An octave holds at most 2^10 groups of the next level, and so on, so every window over sums of groups is short.
+    """
+    fine = value_bucket(c, bits)
+    return [F.shiftright(fine, k) for k in (*range(bits, 0, -LEVEL_BITS), 0)]
+
+
+def prefix_sums(sums: DataFrame, keys: list[str], levels: list[str], totals: Sequence[str], way: Callable[[str], Column]) -> DataFrame:
+    """For each finest group, the sums of ``totals`` over all groups before it (``_o_*``) and over the key (``total_*``).
+
+    Sums of groups are summed again level by level up to the octaves; on the way down a group's offset is its parent's plus the
+    groups before it under the same parent. A window reads 2^10 rows, or the octaves of a key (some two thousand at most).
+    """
+    stack = [sums]
+    for depth in range(len(levels) - 1, 0, -1):
+        stack.append(stack[-1].groupBy(*keys, *levels[:depth]).agg(*[F.sum(f"_b_{n}").alias(f"_b_{n}") for n in totals]))
+    known = None
+    for depth, groups in enumerate(reversed(stack), 1):
+        under = Window.partitionBy(*keys, *levels[:depth - 1])
+        before = under.orderBy(way(levels[depth - 1])).rowsBetween(Window.unboundedPreceding, -1)
+        placed = groups.select("*", *[F.coalesce(F.sum(f"_b_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals],
+                               *([] if known is not None else [F.sum(f"_b_{n}").over(under).alias(f"total_{n}") for n in totals]))
+        if known is not None:
+            parents = known.select(*keys, *levels[:depth - 1], *[F.col(f"_o_{n}").alias(f"_p_{n}") for n in totals], *[f"total_{n}" for n in totals])
+            placed = attach(placed, parents, [*keys, *levels[:depth - 1]]).withColumns({f"_o_{n}": F.col(f"_o_{n}") + F.col(f"_p_{n}") for n in totals})
+        known = placed.select(*keys, *levels[:depth], *[f"_o_{n}" for n in totals], *[f"total_{n}" for n in totals])
+    return known
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, totals: dict[str, Column], bits: int = 20,
                    descending: bool = False) -> DataFrame:
     """One row per (keys, distinct value) with the totals at that value, cumulatively, and over the key.
 
-    Map-side combined counts first, then a two-level running sum over value buckets. Both branches read
-    the same exchange of per-value totals, so the input is scanned once.
+    Map-side combined counts first, then running sums over value buckets in levels. All branches read the same exchange of
+    per-value totals, so the input is scanned once.
     """
     keys = list(keys)
+    groups = bucket_levels(F.col(value), bits)
+    levels = [f"_v{i}" for i in range(len(groups))]
     per_value = (df.filter(F.col(value).isNotNull())
                  .groupBy(*keys, value).agg(*[c.alias(n) for n, c in totals.items()])
-                 .withColumn("_vb", value_bucket(F.col(value), bits)))
-    per_bucket = per_value.groupBy(*keys, "_vb").agg(*[F.sum(n).alias(f"_b_{n}") for n in totals])
+                 .select("*", *[g.alias(n) for g, n in zip(groups, levels, strict=True)]))
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    before = Window.partitionBy(*keys).orderBy(way("_vb")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    offsets = per_bucket.select(*keys, "_vb", *[F.coalesce(F.sum(f"_b_{n}").over(before), F.lit(0)).alias(f"_o_{n}")
-                                                for n in totals],
-                                *[F.sum(f"_b_{n}").over(whole).alias(f"total_{n}") for n in totals])
-    inside = (Window.partitionBy(*keys, "_vb").orderBy(way(value))
+    sums = per_value.groupBy(*keys, *levels).agg(*[F.sum(n).alias(f"_b_{n}") for n in totals])
+    offsets = prefix_sums(sums, keys, levels, list(totals), way)
+    inside = (Window.partitionBy(*keys, *levels).orderBy(way(value))
               .rowsBetween(Window.unboundedPreceding, 0))
-    out = attach(per_value, offsets, [*keys, "_vb"])
+    out = attach(per_value, offsets, [*keys, *levels])
     return out.select(*keys, value, *totals, *[f"total_{n}" for n in totals],
                       *[(F.col(f"_o_{n}") + F.sum(n).over(inside)).alias(f"cum_{n}") for n in totals])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from squallbars.operators import indicators as ind
 from squallbars.operators import labels
-from squallbars.operators.layout import (Frames, asof_join, exact_quantiles, fill_forward, number_rows, over_bars,
+from squallbars.operators.layout import (Frames, asof_join, bucket_levels, exact_quantiles, fill_forward, number_rows, over_bars,
                                          over_series, running_totals)
 from squallbars.operators.smoothing import wilder
 
@@ -218,6 +218,22 @@ def test_exact_quantiles_with_a_dominant_value(spark, bits):
     assert (cum.cum_n == cum.groupby("k").n.cumsum()).all()
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_prefix_sums_of_wide_values(spark, descending):
+    """Values of all sizes and signs, no key: cumulative counts exact, and no window over more than 2^10 groups or the octaves."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.random(20_000), rng.normal(size=5_000) * 10.0 ** rng.integers(-300, 300, 5_000), [0.0, -0.0, 5e-324, -5e-324, 1.7e308], rng.integers(-50, 50, 3_000)])
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    out = running_totals(df, [], "x", {"n": F.count(F.lit(1))}, descending=descending)
+    got = out.toPandas().sort_values("x", ascending=not descending)
+    assert got.n.sum() == len(x) and (got.cum_n == got.n.cumsum()).all() and (got.total_n == len(x)).all()
+    levels = spark.createDataFrame(pd.DataFrame({"x": x})).select(*[c.alias(f"g{i}") for i, c in enumerate(bucket_levels(F.col("x"), 20))])
+    assert levels.select("g0").distinct().count() <= 4_096
+    for k in (1, 2):
+        groups = [f"g{i}" for i in range(k + 1)]
+        assert levels.select(*groups).distinct().groupBy(*groups[:-1]).count().agg(F.max("count")).first()[0] <= 1_024
+
+
 def test_result_does_not_depend_on_partitions(bars):
     _, df = bars
     run = lambda x: collect(over_series(x, lambda d, w: d.withColumn("m", w.roll(F.stddev_samp, "close", 9)), ["ticker"],
