@@ -9,7 +9,7 @@ from squallbars.catalog.registry import query, r, rounded
 from squallbars.catalog.sql import BY, frame, fwd, lag, lead, rd, rds, roll, wilder, with_tables
 from squallbars.operators import indicators as ind
 from squallbars.operators import labels
-from squallbars.operators.layout import attach, exact_quantiles, over_bars, safe_chunk
+from squallbars.operators.layout import attach_small, exact_quantiles, over_bars, safe_chunk
 from squallbars.plans import features as plan
 from squallbars.session import shared
 from squallbars.sources import inputs
@@ -291,7 +291,7 @@ def efficiency_flags(spark, sf_dir):
 
     out = shared(over_bars(inputs.bars(spark, sf_dir), build, back=N + 1, ahead=6))
     cuts = exact_quantiles(out, ["ticker"], "er", [0.25, 0.75])
-    return attach(out, cuts, ["ticker"]).select(
+    return attach_small(out, cuts, ["ticker"]).select(
         *KEY, labels.sure(col("top") >= col("q1")).cast("int").alias("is_flat"),
         labels.sure(col("low6") <= col("q0")).cast("int").alias("is_trend"))
 

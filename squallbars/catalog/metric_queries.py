@@ -304,6 +304,22 @@ def fold_metrics(spark, sf_dir):
     return metrics.over_folds(per_fold, names).select("folds", *rounded(*[f"{m}_{s}" for m in names for s in ("mean", "std")]))
 
 
+@query("m13_fold_report", with_tables("scored", """
+v AS (SELECT p, CAST(row_number() OVER (ORDER BY p) - 1 AS INT) AS k FROM (SELECT DISTINCT fold AS p FROM scored ORDER BY 1 DESC LIMIT 3))""", f"""
+t AS (SELECT k, count(*) AS n_train, min(fold) AS train_from, max(fold) AS train_to FROM scored JOIN v ON fold < p GROUP BY 1)""", f"""
+w AS (SELECT k, count(*) AS n_val, min(fold) AS val_from, max(fold) AS val_to, {rd('avg(pow(score - y_true, 2))')} AS brier_score,
+  {rd('avg(y_true)')} AS base_rate, {rd('count(*) FILTER (score >= 0.5 AND y_true = 1) / count(*) FILTER (score >= 0.5)')} AS precision
+  FROM scored JOIN v ON fold = p GROUP BY 1)""", body="""
+SELECT k AS fold, n_train, n_val, train_from, train_to, val_from, val_to, brier_score, base_rate, precision FROM t JOIN w USING (k)"""))
+def fold_report(spark, sf_dir):
+    """Each fold's ranges and rows beside its metrics."""
+    rows = inputs.scored(spark, sf_dir).withColumnRenamed("fold", "period")
+    bounds = folds.last_period_folds(rows, "period", 3)
+    per_fold = metrics.binary_metrics(folds.validation_rows(rows, "period", bounds), "y_true", "score", keys=["fold"])
+    names = ["brier_score", "base_rate", "precision"]
+    return metrics.fold_report(per_fold.select("fold", *rounded(*names)), folds.summary(rows, "period", bounds))
+
+
 @query("m14_oof_table", with_tables("scored", """
 v AS (SELECT fold AS q, row_number() OVER (ORDER BY fold) AS k FROM (SELECT DISTINCT fold FROM scored ORDER BY 1 DESC LIMIT 3))""", body="""
 SELECT event_id, CAST(k - 1 AS INT) AS fold, y_true, score FROM scored JOIN v ON fold = q"""))

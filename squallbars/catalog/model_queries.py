@@ -25,22 +25,27 @@ def _fresh(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _walked(spark, sf_dir, fit, n_val: int = 6):
-    """Out-of-fold rows of the last six weeks, or of all weeks but the first where a table has fewer than seven."""
+def _folded(spark, sf_dir, n_val: int = 6):
+    """Labelled rows and the folds of the last six weeks, or of all weeks but the first where a table has fewer than seven."""
     rows = dataset.model_frame(inputs.bars(spark, sf_dir), _due(spark, sf_dir).drop("main_event"))
     rows = shared(dataset.labelled(rows).withColumn("period", F.date_trunc("week", "datetime")))
     n_val = max(1, min(n_val, rows.select("period").distinct().count() - 1))
-    return shared(learners.walk_forward(rows, "period", folds.last_period_folds(rows, "period", n_val), fit))
+    return rows, "period", folds.last_period_folds(rows, "period", n_val)
+
+
+def _walked(spark, sf_dir, fit):
+    return shared(learners.walk_forward(*_folded(spark, sf_dir), fit))
 
 
 @query("l01_binary_walk_forward")
 def binary_walk_forward(spark, sf_dir):
-    oof = _walked(spark, sf_dir, learners.fit_binary(dataset.FEATURES, "is_wide"))
-    best = metrics.best_threshold(oof, "is_wide", "prob", 2.0)
-    out = metrics.binary_metrics(oof, "is_wide", "prob")
-    return out.withColumn("_b", best.select(F.struct("*")).scalar()).select(
-        *rounded("pr_auc", "roc_auc", "brier_score", "log_loss", "f1", "base_rate", "lift"),
-        r("_b.threshold").alias("best_threshold"))
+    """Metrics of out-of-fold scores before and after calibration, and the threshold chosen on the calibrated ones."""
+    forecast = learners.binary_forecast(*_folded(spark, sf_dir), dataset.FEATURES, "is_wide")
+    raw = metrics.binary_metrics(forecast.oof, "is_wide", "prob")
+    own = metrics.binary_metrics(forecast.oof, "is_wide", "calibrated").select(F.struct("brier_score", "log_loss"))
+    out = raw.withColumns({"_b": forecast.threshold.select(F.struct("*")).scalar(), "_c": own.scalar()})
+    return out.select(*rounded("pr_auc", "roc_auc", "brier_score", "log_loss", "f1", "base_rate", "lift"), r("_c.brier_score").alias("calibrated_brier"),
+                      r("_c.log_loss").alias("calibrated_log_loss"), r("_b.threshold").alias("best_threshold"), r("_b.recall").alias("recall"))
 
 
 @query("l02_class_walk_forward")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from squallbars.operators.layout import attach, exact_quantiles
+from squallbars.operators.layout import attach, exact_quantiles, number_rows
 
 col = F.col
 
@@ -97,16 +97,23 @@ def paired_test(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
     return out.withColumn("significance", col("p_value") < 0.05).drop("_m", "_s")
 
 
+PAIR_BLOCK = 256
+
+
 def pairwise_tests(df: DataFrame, key: str, value: str) -> DataFrame:
     """Welch test, Hedges' g and Bonferroni-corrected p for each pair of classes.
 
-    Pairs are formed from one moments row per class, never from data rows.
+    Pairs are formed from one moments row per class, never from data rows: classes are numbered and dealt to pairs of blocks of
+    ``PAIR_BLOCK``, so a task meets the classes of two blocks however many there are.
     """
     moments = df.filter(col(value).isNotNull()).groupBy(key).agg(
         F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count(F.lit(1)).alias("n"))
-    packed = moments.agg(F.array_sort(F.collect_list(F.struct(col(key).alias("k"), "m", "v", "n"))).alias("c"))
-    firsts = packed.select(F.posexplode("c").alias("i", "a"), "c")
-    pairs = firsts.select("a", F.explode(F.slice("c", col("i") + 2, F.size("c"))).alias("b"))
+    rows = number_rows(moments.filter(col(key).isNotNull()), [], key, out="_i").withColumn("_b", F.floor(col("_i") / PAIR_BLOCK))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max("_b").alias("last"))
+    side = F.struct(col(key).alias("k"), "m", "v", "n", "_i")
+    upper = rows.select(side.alias("a"), col("_b").alias("_x"), F.explode(F.sequence("_b", size.select("last").scalar())).alias("_y"))
+    lower = rows.select(side.alias("b"), col("_b").alias("_y"), F.explode(F.sequence(F.lit(0).cast("long"), "_b")).alias("_x"))
+    pairs = upper.join(lower, ["_x", "_y"]).filter(col("a._i") < col("b._i"))
     va, vb = col("a.v") / col("a.n"), col("b.v") / col("b.n")
     dof = F.pow(va + vb, 2) / (F.pow(va, 2) / (col("a.n") - 1) + F.pow(vb, 2) / (col("b.n") - 1))
     pooled = F.sqrt(((col("a.n") - 1) * col("a.v") + (col("b.n") - 1) * col("b.v")) / (col("a.n") + col("b.n") - 2))
@@ -115,8 +122,8 @@ def pairwise_tests(df: DataFrame, key: str, value: str) -> DataFrame:
                        F.try_divide(col("a.m") - col("b.m"), F.sqrt(va + vb)).alias("t_stat"), dof.alias("dof"),
                        hedges.alias("hedges"))
     out = out.withColumn("p_unc", two_sided_p(col("t_stat"), col("dof")))
-    everything = Window.partitionBy()
-    return out.withColumn("p_corr", F.least(F.lit(1.0), col("p_unc") * F.count(F.lit(1)).over(everything)))
+    tests = size.select(col("n") * (col("n") - 1) / 2).scalar()
+    return out.withColumn("p_corr", F.least(F.lit(1.0), col("p_unc") * tests))
 
 
 def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence) -> DataFrame:

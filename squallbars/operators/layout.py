@@ -36,6 +36,15 @@ def dealt(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return shared(rows).withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
 
 
+BROADCAST_ROWS = 100_000
+
+
+def attach_small(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left-join a table of few keys without dealing ``df`` by key: broadcast once its rows are counted, else an ordinary join."""
+    small = shared(small)
+    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, list(keys), "left")
+
+
 def in_buckets(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], unit: str | None) -> DataFrame:
     """Rows with ``_bucket``, a number or time that ascends along each series: a calendar unit, or a dealt range if ``None``."""
     if unit:

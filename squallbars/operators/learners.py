@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from squallbars.operators import folds
-from squallbars.operators.layout import exact_quantiles
+from squallbars.operators.layout import running_totals
+from squallbars.operators.metrics import best_threshold
 from squallbars.session import shared, shared_dir
 
 col = F.col
@@ -117,8 +119,8 @@ def fit_quantiles(features: Sequence[str], label: str, quantiles: Sequence[float
                   **params):
     """Quantile regression forest (Meinshausen 2006) on a Spark forest.
 
-    A leaf keeps the share of its training rows in each of ``bins`` quantile bins of the target, so a leaf's
-    summary does not grow with the data; a prediction averages the summaries of its leaves over the trees.
+    A leaf keeps the share of its training rows in each of ``bins`` bins of equal rank of the target (equal values share one),
+    so a leaf's summary does not grow with the data; a prediction averages the summaries of its leaves over the trees.
     """
     options = {"numTrees": 15, "maxDepth": 5, "seed": 7} | params
 
@@ -126,9 +128,10 @@ def fit_quantiles(features: Sequence[str], label: str, quantiles: Sequence[float
         train = shared(train)
         forest = Pipeline(stages=[_assembler(features), RandomForestRegressor(labelCol=label, leafCol="_leaf", **options)])
         model = forest.fit(train)
-        qs = [i / bins for i in range(1, bins)]
-        cuts = exact_quantiles(train, [], label, qs).select(F.array(*[f"q{i}" for i in range(len(qs))])).scalar()
-        place = F.size(F.filter(col("_cuts"), lambda c: c < col(label)))
+        ranked = running_totals(train, [], label, {"n": F.count(F.lit(1))})
+        starts = ranked.groupBy(F.floor((col("cum_n") - col("n")) * bins / col("total_n")).alias("b")).agg(F.min(label).alias("cut"))
+        cuts = starts.agg(F.slice(F.array_sort(F.collect_list("cut")), 2, bins)).scalar()
+        place = F.size(F.filter(col("_cuts"), lambda c: c <= col(label)))
         binned = model.transform(train).withColumn("_cuts", cuts).select(
             place.alias("bin"), col(label).alias("y"), F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
         cells = binned.groupBy("tree", "leaf", "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -194,6 +197,35 @@ def calibrate(oof: DataFrame, y: str, p: str, method: str = "isotonic") -> Calla
                        .drop("features", "rawPrediction", "probability", "prediction"))
 
 
+class BinaryForecast(NamedTuple):
+    """Out-of-fold rows with ``prob`` and ``calibrated``, the calibrator, the threshold row, and a score by the final model."""
+
+    oof: DataFrame
+    calibrator: Callable[[DataFrame], DataFrame]
+    threshold: DataFrame
+    score: Callable[[DataFrame], DataFrame]
+
+
+def binary_forecast(rows: DataFrame, on: str, bounds: Column, features: Sequence[str], label: str, method: str = "isotonic",
+                    beta: float = 2.0, **params) -> BinaryForecast:
+    """A binary task from folds to forecasts.
+
+    Out-of-fold scores are calibrated on out-of-fold rows, the threshold is the best one of the calibrated scores, and the
+    learner fitted on all rows scores new ones: ``calibrated`` and ``flag``, whether it reaches the threshold.
+    """
+    oof = shared(walk_forward(rows, on, bounds, fit_binary(features, label, **params)))
+    calibrator = calibrate(oof, label, "prob", method)
+    oof = shared(calibrator(oof).drop("score"))
+    best = shared(best_threshold(oof, label, "calibrated", beta))
+    final = fit_binary(features, label, **params)(rows)
+
+    def score(df: DataFrame) -> DataFrame:
+        scored = calibrator(final(df.withColumn("weight", F.lit(1.0)))).drop("score", "weight")
+        return scored.withColumn("flag", col("calibrated") >= best.select("threshold").scalar())
+
+    return BinaryForecast(oof, calibrator, best, score)
+
+
 def save_and_score(model: PipelineModel, path: str, df: DataFrame) -> DataFrame:
     """Batch scoring with a stored model."""
     model.write().overwrite().save(path)

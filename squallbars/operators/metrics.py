@@ -257,3 +257,8 @@ def over_folds(per_fold: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Mean and sample deviation of per-fold metrics."""
     return per_fold.agg(F.count(F.lit(1)).alias("folds"), *[F.avg(m).alias(f"{m}_mean") for m in metrics],
                         *[F.stddev_samp(m).alias(f"{m}_std") for m in metrics])
+
+
+def fold_report(per_fold: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Per-fold metrics beside the rows and ranges of the fold's training and validation parts (``folds.summary``)."""
+    return sizes.join(per_fold, "fold")

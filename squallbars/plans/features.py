@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from squallbars.functions import times
 from squallbars.operators import indicators as ind
 from squallbars.operators import labels
-from squallbars.operators.layout import attach, exact_quantiles, fill_forward, over_bars, safe_chunk
+from squallbars.operators.layout import attach, attach_small, exact_quantiles, fill_forward, over_bars, safe_chunk
 from squallbars.operators.layout import Frames
 from squallbars.operators.smoothing import wilder
 from squallbars.session import shared
@@ -171,7 +171,7 @@ def set_targets(features: DataFrame, look_forward: int = 6, cuts: DataFrame | No
     if cuts is None:
         out = shared(out)
         cuts = label_cuts(out, _CUTS)
-    out = attach(out, cuts, ["ticker"])
+    out = attach_small(out, cuts, ["ticker"])
     slope = labels.angle(F.lit(0.0), col("_move48"), col("move48_q1"))
     changes = col("trg_dir_changes")
     final = {
