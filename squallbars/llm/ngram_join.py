@@ -217,5 +217,5 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolera
 def keep_one(docs: DataFrame, threshold: float = 0.8, words: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs`, one of each class of similar documents: that with the least id (of repeated rows, one)."""
     kept = join_similar(docs, threshold, words, id=id, text=text).filter("kept")
-    ids = kept.select(F.col(id).alias("_kept"), "node").distinct().select("_kept").distinct()
-    return docs.join(ids, F.col(id).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id, text])
+    ids = kept.select(F.col(id).alias("kept")).distinct().alias("stay")
+    return docs.alias("given").join(ids, F.col(f"given.`{id}`").eqNullSafe(F.col("stay.kept")), "left_semi").dropDuplicates([id, text])

@@ -4,6 +4,9 @@ Tier one is a compact table of the lengths of frequent pieces, gathered over the
 each task and broadcast (its size is bounded by `FREQUENT` pieces of at most 64 characters). Tier two is each worker's
 cache, filled by encoding what the table lacks. No piece of text is shuffled but the bounded summaries.
 
+A piece of 64 characters has 256 tokens at most (one for each byte). Texts of any length are cut into pieces; one that cannot be
+cut goes whole through the library.
+
 Null texts count as empty (0 tokens); repeated rows are counted each by itself; an empty table gives no rows; columns of
 the input other than `id` and `text` are ignored.
 """
@@ -54,7 +57,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str
     rules: PieceEncoder = encoder(spec.value)
     pieces = [r.piece for r in ordered.select("piece").toLocalIterator()]
     lengths = [len(i) // 4 for i in rules.encode_texts(pieces)]
-    table = spark.sparkContext.broadcast(pa.record_batch([pa.array(pieces, pa.string()), pa.array(lengths, pa.uint8())], names=["piece", "n"]))
+    table = spark.sparkContext.broadcast(pa.record_batch([pa.array(pieces, pa.string()), pa.array(lengths, pa.uint16())], names=["piece", "n"]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = encoder(spec.value)

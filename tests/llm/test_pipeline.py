@@ -63,7 +63,7 @@ def test_entry_registers_all():
     import __spark_entry__
 
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
 
 
 @pytest.mark.parametrize("name", ["edges", "empty"])
@@ -72,6 +72,7 @@ def test_stages_take_odd_tables(spark, request, name):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         after = corpus_pipeline.written(stage(spark, docs, ""), "test-odd")
         assert after.columns == docs.columns
+        assert all((r["_copies"], r["_kept"], r["_language"], r["_posterior"], r["_id"]) == (7, "k", "xx", 0.25, 1) for r in after.collect())
         docs = after
     ids = {r.doc_id for r in docs.collect()}
     assert ids <= {4, 7, None, 10}  # 1 to 3 and 9 have no letters, both of 5 equal 4

@@ -36,6 +36,13 @@ def test_pieces_give_the_library_ids(path):
     assert own.encode_texts(texts) == want  # from the cache
 
 
+def test_counts_of_pieces_with_many_tokens(spark):
+    """64 characters beyond the basic plane are a frequent piece of 256 tokens, one for each byte."""
+    rows = [(1, "\U00012000" * 64), (2, "\U00012000" * 64 + " \U00012000"), (3, "\U00012000" * 65)]
+    got = {r.doc_id: r.n_tokens for r in token_counts(spark.createDataFrame(rows, "doc_id long, text string"), BYTES).collect()}
+    assert got == {i: len(ids(BYTES, t)) for i, t in rows} and got[1] == 256
+
+
 def test_counts(edges, empty):
     got = token_counts(edges, BYTES).collect()
     want = {(r.doc_id, r.text): len(ids(BYTES, r.text)) for r in edges.collect()}
