@@ -21,32 +21,49 @@ from squallbars.llm.private_data import redact
 LEAST_SCORE = 0.5
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the model knows, with a posterior of `LEAST_SCORE` at least."""
-    named = predict(docs, document_model(docs), names=("_language", "_posterior"))
-    return named.filter((F.col("_language") != "und") & (F.col("_posterior") >= LEAST_SCORE)).drop("_language", "_posterior")
+    """Keeps documents in a language that the model knows, with a posterior of `LEAST_SCORE` at least.
+
+    Null, empty and letterless texts have none and go; repeated rows are judged alike; an empty table stays empty.
+    """
+    names = unused(docs, "language"), unused(docs, "posterior")
+    named = predict(docs, document_model(docs), names=names)
+    return named.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= LEAST_SCORE)).drop(*names)
 
 
 def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of similar documents."""
+    """Keeps one document of each class of similar documents, that with the least id; texts without words are like no other."""
     return keep_one(docs)
 
 
 def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the kind in place of each span of personal data; `n_chars` counts the new text."""
+    """Puts the kind in place of each span of personal data; `n_chars` counts the new text. Null texts stay null."""
     return redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it."""
-    copies = mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")).distinct()
-    # Ids are unique after the stages before; where they are not, rows of one id, source and size have the same copies.
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(F.col("text")) == F.col("_size")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    """Repeats each document as often as the mix takes it.
+
+    Rows match their rate by id, source and size (nulls as values); equal rows have the same. Documents without words go.
+    """
+    copies = mix(docs).filter("copies > 0").select("doc_id", "source", "size", "copies").distinct().alias("mix")
+    same = (F.col("given.doc_id").eqNullSafe(F.col("mix.doc_id")) & F.col("given.source").eqNullSafe(F.col("mix.source"))
+            & (word_count(F.col("given.text")) == F.col("mix.size")))
+    row = F.struct(*[F.col(f"given.`{c}`") for c in docs.columns])
+    taken = docs.alias("given").join(copies, same).select(F.explode(F.array_repeat(row, F.col("mix.copies").cast("int"))).alias("row"))
+    return taken.select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequence and offset of every piece."""
+    """The sequence and offset of every piece; null texts have the end id alone, copies are packed each by itself."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
