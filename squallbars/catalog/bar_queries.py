@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from squallbars.catalog.registry import query, r, rounded
 from squallbars.catalog.sql import BY, TR, frame, fwd, lag, lead, rd, rds, roll, wilder, with_tables
 from squallbars.operators import indicators as ind
+from squallbars.operators import labels
 from squallbars.operators.layout import over_bars, safe_chunk
 from squallbars.sources import inputs
 
@@ -138,18 +139,6 @@ bar_query("i20_abs_log_return_sum", lambda w: {"abs_log_return_sum": w.roll(F.su
 bar_query("i21_vvov", lambda w: {"vvov": F.try_divide(w.roll(F.stddev_samp, "atr", N), w.roll(F.avg, "atr", N) + 1e-9)},
           {"vvov": f"({roll('stddev_samp', 'atr', N)}) / (({roll('avg', 'atr', N)}) + 1e-9)"}, back=N, atr={"atr": N})
 bar_query("i22_log_return", lambda w: {"log_return": col("lr")}, {"log_return": "lr"}, back=1)
-bar_query("i24_exploratory_block",
-          lambda w: {"std": col("std12"), "std_mean": w.roll(F.avg, "std12", 12),
-                     "std_cls": F.coalesce((col("std12") > w.roll(F.avg, "std12", 12)).cast("int"), F.lit(0)),
-                     "volume_diff": F.try_divide(col("volume"), w.lag("volume")) - 1,
-                     "is_high_range": F.coalesce((col("trange") > col("atr")).cast("int"), F.lit(0)),
-                     "readable_range": col("trange") / 0.00001},
-          {"std": "std12", "std_mean": roll("avg", "std12", 12),
-           "std_cls": f"CASE WHEN std12 > ({roll('avg', 'std12', 12)}) THEN 1 ELSE 0 END",
-           "volume_diff": f"volume / {lag('volume')} - 1", "is_high_range": "CASE WHEN trange > atr THEN 1 ELSE 0 END",
-           "readable_range": "trange / 0.00001::DOUBLE"},
-          back=25, atr={"atr": 12}, digits=4,
-          stage=(lambda w: {"std12": w.roll(F.stddev_pop, "close", 12)}, {"std12": roll("stddev_pop", "close", 12)}))
 bar_query("i25_range_efficiency",
           lambda w: {"range_efficiency": F.try_divide(ind.window_range(w, 12), w.roll(F.sum, "trange", 12)),
                      "dni": F.try_divide(w.roll(F.sum, "body", 12), w.roll(F.sum, "trange", 12))},
@@ -161,18 +150,23 @@ bar_query("i26_volume_features",
           {"volume_zscore": z_sql("volume", 5 * N), "price_volume_ratio": "trange / (volume + 1e-9)"}, back=5 * N)
 
 # ---- directional movement ---------------------------------------------------------------------------
-ADX_SQL = (
-    f"m AS (SELECT *, high - {lag('high')} AS up, {lag('low')} - low AS dn FROM t0)",
-    "m1 AS (SELECT *, CASE WHEN up > dn AND up > 0 THEN up WHEN up IS NOT NULL THEN 0 END AS pdm, "
-    "CASE WHEN dn > up AND dn > 0 THEN dn WHEN dn IS NOT NULL THEN 0 END AS mdm FROM m)",
-    wilder("m1", "s1", {"s_tr": ("trange", N), "s_p": ("pdm", N), "s_m": ("mdm", N)}),
-    "m2 AS (SELECT ticker, datetime, 100 * s_p / nullif(s_tr, 0) AS dmp, 100 * s_m / nullif(s_tr, 0) AS dmn FROM s1)",
-    "m3 AS (SELECT *, CASE WHEN dmp IS NOT NULL THEN coalesce(100 * abs(dmp - dmn) / nullif(dmp + dmn, 0), 0) END AS dx "
-    "FROM m2)",
-    wilder("m3", "s2", {"adx": ("dx", N)}),
-    "m4 AS (SELECT t0.ticker, t0.datetime, adx, dmp, dmn FROM t0 LEFT JOIN m3 USING (ticker, datetime) "
-    "LEFT JOIN s2 USING (ticker, datetime))",
-)
+def adx_ctes(n: int) -> tuple[str, ...]:
+    """`m4` with ADX and both directional lines of length `n` over `t0`."""
+    return (
+        f"m AS (SELECT *, high - {lag('high')} AS up, {lag('low')} - low AS dn FROM t0)",
+        "m1 AS (SELECT *, CASE WHEN up > dn AND up > 0 THEN up WHEN up IS NOT NULL THEN 0 END AS pdm, "
+        "CASE WHEN dn > up AND dn > 0 THEN dn WHEN dn IS NOT NULL THEN 0 END AS mdm FROM m)",
+        wilder("m1", "s1", {"s_tr": ("trange", n), "s_p": ("pdm", n), "s_m": ("mdm", n)}),
+        "m2 AS (SELECT ticker, datetime, 100 * s_p / nullif(s_tr, 0) AS dmp, 100 * s_m / nullif(s_tr, 0) AS dmn FROM s1)",
+        "m3 AS (SELECT *, CASE WHEN dmp IS NOT NULL THEN coalesce(100 * abs(dmp - dmn) / nullif(dmp + dmn, 0), 0) END AS dx "
+        "FROM m2)",
+        wilder("m3", "s2", {"adx": ("dx", n)}),
+        "m4 AS (SELECT t0.ticker, t0.datetime, adx, dmp, dmn FROM t0 LEFT JOIN m3 USING (ticker, datetime) "
+        "LEFT JOIN s2 USING (ticker, datetime))",
+    )
+
+
+ADX_SQL = adx_ctes(N)
 
 
 @query("i17_adx", with_tables("bars", BASE_SQL, *ADX_SQL, recursive=True, body=f"""
@@ -186,7 +180,44 @@ def adx(spark, sf_dir):
     return out.select(*KEY, *rounded("adx", "adxr", "dmp", "dmn", "di_spread", digits=4))
 
 
-@query("i27_hurst")
+@query("i24_exploratory_block", with_tables("bars calendar", BASE_SQL, *adx_ctes(12), wilder("t0", "a", {"atr": ("trange", 12)}), """
+hits AS (SELECT date_trunc('hour', date) AS datetime, arg_max(actual = forecast, importance * 1000000000000 - event_id) AS hit FROM calendar
+  WHERE importance IS NOT NULL AND actual IS NOT NULL AND forecast IS NOT NULL GROUP BY 1)""",
+    f"x0 AS (SELECT *, {roll('stddev_pop', 'close', 12)} AS std12 FROM t0 LEFT JOIN a USING (ticker, datetime) LEFT JOIN m4 USING (ticker, datetime) LEFT JOIN hits USING (datetime))",
+    recursive=True, body=f"""
+SELECT ticker, datetime, {rd('std12', 4)} AS std, {rd(roll('avg', 'std12', 12), 4)} AS std_mean,
+  CAST(coalesce(std12 > ({roll('avg', 'std12', 12)}), false) AS INT) AS std_cls, {rd('adx', 4)} AS adx, {rd(f"volume / {lag('volume')} - 1", 4)} AS volume_diff,
+  CAST(coalesce(trange > atr, false) AS INT) AS is_high_range, CAST(coalesce(hit, false) AS INT) AS is_true_forecast,
+  {rd('trange / 0.00001::DOUBLE', 4)} AS readable_range FROM x0"""))
+def exploratory_block(spark, sf_dir):
+    """Spread, trend strength and volume of bars, and whether the hour's first event of greatest importance met its forecast."""
+    def build(df, w):
+        df = base_columns(df, w).withColumn("std12", w.roll(F.stddev_pop, "close", 12))
+        df = ind.with_adx(ind.with_atr(df, w, atr=12), w, 12)
+        mean = w.roll(F.avg, "std12", 12)
+        return df.select("*", mean.alias("std_mean"), labels.sure(col("std12") > mean).cast("int").alias("std_cls"),
+                         (F.try_divide(col("volume"), w.lag("volume")) - 1).alias("volume_diff"),
+                         labels.sure(col("trange") > col("atr")).cast("int").alias("is_high_range"), (col("trange") / 0.00001).alias("readable_range"))
+
+    out = over_bars(inputs.bars(spark, sf_dir), build, back=25, chunk_rows=safe_chunk(25, 0, 12))
+    known = inputs.calendar(spark, sf_dir).dropna(subset=["importance", "actual", "forecast"])
+    first = F.max_by(col("actual") == col("forecast"), col("importance").cast("long") * 1_000_000_000_000 - col("event_id"))
+    hits = known.groupBy(F.date_trunc("hour", "date").alias("datetime")).agg(first.alias("hit"))
+    joined = out.withColumnRenamed("std12", "std").join(hits, "datetime", "left").withColumn("is_true_forecast", F.coalesce(col("hit"), F.lit(False)).cast("int"))
+    return joined.select(*KEY, *rounded("std", "std_mean", "adx", "volume_diff", "readable_range", digits=4), "std_cls", "is_high_range", "is_true_forecast")
+
+
+@query("i27_hurst", with_tables("bars", """
+v AS (SELECT ticker, datetime, list(close) OVER (PARTITION BY ticker ORDER BY datetime ROWS 99 PRECEDING) AS v FROM bars)""", """
+d AS (SELECT ticker, datetime, list_transform(range(1, 100), lambda i: ln(v[i + 1]) - ln(v[i])) AS d FROM v WHERE len(v) = 100 AND list_min(v) > 0)""", f"""
+e AS (SELECT ticker, datetime, size, (i - 1) // size AS b, i, d[i] AS x FROM d, (SELECT unnest({list(ind.HURST_SIZES)}) AS size), range(1, 100) r(i)
+  WHERE i <= 99 // size * size)""", """
+m AS (SELECT *, avg(x) OVER (PARTITION BY ticker, datetime, size, b) AS mean FROM e)""", """
+w AS (SELECT *, sum(x - mean) OVER (PARTITION BY ticker, datetime, size, b ORDER BY i) AS walk FROM m)""", """
+s AS (SELECT ticker, datetime, size, max(walk) - min(walk) AS span, stddev_pop(x) AS sd FROM w GROUP BY ticker, datetime, size, b)""", """
+p AS (SELECT ticker, datetime, ln(size) AS x, ln(avg(span / sd)) AS y FROM s WHERE sd > 0 GROUP BY ticker, datetime, size)""", f"""
+h AS (SELECT ticker, datetime, {rd('regr_slope(y, x)')} AS hurst FROM p GROUP BY 1, 2 HAVING count(*) >= 2)""", body="""
+SELECT ticker, datetime, hurst FROM bars LEFT JOIN h USING (ticker, datetime)"""))
 def hurst(spark, sf_dir):
     def build(df, w):
         values = w.frame(F.collect_list, "close", -99, 0)

@@ -60,15 +60,12 @@ def daily_onto_hourly(spark, sf_dir):
 
 # ---- the whole feature frame ------------------------------------------------------------------------
 _short, _long = max(3, N // 3), N * 3
-_sma = roll("avg", "close", 240)
 FEATURE_SQL = {
     "atr_normalized": "atr / nullif(close, 0)", "kaufman_efficiency_ratio": er_sql(N),
     "custom_efficiency_ratio": f"({roll('sum', 'trange', N)}) / nullif({range_sql(N)}, 0)",
     "wick_ratio": "body / nullif(trange, 0) + 1e-9", "relative_range": z_sql("trange", 5 * N),
     "zscore_atr": z_sql("atr", N, ""), "fast_vs_slow_atr": "atr / nullif(slow, 0)",
     "normalized_bb_width": f"6 * ({roll('stddev_pop', 'close', N)}) / nullif(atr, 0)",
-    "distance_from_sma": f"CASE WHEN coalesce(close > ({_sma}), false) THEN high - ({_sma}) ELSE ({_sma}) - low END "
-                         "/ nullif(sma_atr, 0)",
     "tr_over_atr": "trange / (atr + 1e-9)",
     "realized_vol_short": roll("stddev_samp", "lr", _short), "realized_vol_long": roll("stddev_samp", "lr", _long),
     "realized_vol_ratio": f"({roll('stddev_samp', 'lr', _short)}) / (({roll('stddev_samp', 'lr', _long)}) + 1e-9)",
@@ -85,14 +82,21 @@ SESSION_SQL = """CAST(CASE WHEN month(datetime) BETWEEN 3 AND 10 THEN hour(datet
     ELSE hour(datetime) BETWEEN 8 AND 16 END AS INTEGER) AS is_europe,
   CAST(CASE WHEN month(datetime) BETWEEN 3 AND 10 THEN hour(datetime) BETWEEN 13 AND 21
     ELSE hour(datetime) BETWEEN 14 AND 22 END AS INTEGER) AS is_usa, CAST(hour(datetime) < 9 AS INTEGER) AS is_asia"""
-FEATURE_CTES = (
-    *DAYBLOCK_SQL, FILLED_SQL, BASE_SQL.replace("FROM bars", "FROM b1"), *ADX_SQL,
-    wilder("t0", "a", {"atr": ("trange", N), "slow": ("trange", 100), "sma_atr": ("trange", 240),
-                       "s": ("trange", N // 2), "l": ("trange", 2 * N)}),
-    f"f0 AS (SELECT t0.*, a.* EXCLUDE (ticker, datetime), m4.* EXCLUDE (ticker, datetime), dmp - dmn AS di_spread "
-    "FROM t0 LEFT JOIN a USING (ticker, datetime) LEFT JOIN m4 USING (ticker, datetime))",
-    f"f1 AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in FEATURE_SQL.items())}, "
-    f"(adx + {lag('adx', 2)}) / 2 AS adxr FROM f0)")
+def feature_ctes(source: str, slow: int, sma: int) -> tuple[str, ...]:
+    """The feature frame `f1` over a table of bars."""
+    mean = roll("avg", "close", sma)
+    gap = f"CASE WHEN coalesce(close > ({mean}), false) THEN high - ({mean}) ELSE ({mean}) - low END / nullif(sma_atr, 0)"
+    return (
+        BASE_SQL.replace("FROM bars", f"FROM {source}"), *ADX_SQL,
+        wilder("t0", "a", {"atr": ("trange", N), "slow": ("trange", slow), "sma_atr": ("trange", sma),
+                           "s": ("trange", N // 2), "l": ("trange", 2 * N)}),
+        f"f0 AS (SELECT t0.*, a.* EXCLUDE (ticker, datetime), m4.* EXCLUDE (ticker, datetime), dmp - dmn AS di_spread "
+        "FROM t0 LEFT JOIN a USING (ticker, datetime) LEFT JOIN m4 USING (ticker, datetime))",
+        f"f1 AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in (FEATURE_SQL | {'distance_from_sma': gap}).items())}, "
+        f"(adx + {lag('adx', 2)}) / 2 AS adxr FROM f0)")
+
+
+FEATURE_CTES = (*DAYBLOCK_SQL, FILLED_SQL, *feature_ctes("b1", 100, 240))
 _plain = [c for c in plan.PLAIN] + plan.LAGGED + plan.DAY_COLUMNS
 _ints = ["week", "month", "quarter", "dayofweek", "day", "hour", "is_europe", "is_usa", "is_asia"]
 
@@ -106,15 +110,15 @@ def add_features(spark, sf_dir):
     return out.select(*KEY, *rounded(*_plain, *_lags, "sin_hour", digits=4), *_ints)
 
 
-@query("i23_daily_features", with_tables("dbars", BASE_SQL.replace("FROM bars", "FROM dbars"),
-                                         wilder("t0", "a", {"atr": ("trange", N), "slow": ("trange", 2 * N)}),
-                                         recursive=True, body=f"""
-SELECT ticker, datetime, {rd('atr', 4)} AS atr, {rd('atr / nullif(slow, 0)', 5)} AS fast_vs_slow_atr,
-  {rd(er_sql(N), 5)} AS kaufman_efficiency_ratio, {TIME_SQL} FROM t0 LEFT JOIN a USING (ticker, datetime)"""))
+_daily = [c for c in (*plan.PLAIN, *plan.LAGGED) if c != "trange"]
+
+
+@query("i23_daily_features", with_tables("dbars", *feature_ctes("dbars", 2 * N, N), recursive=True, body=f"""
+SELECT ticker, datetime, {rd('trange', 8)} AS trange, {rds(*_daily, digits=4)}, {', '.join(f'{rd(e, 4)} AS {n}' for n, e in _lags.items())}, {TIME_SQL} FROM f1"""))
 def daily_features(spark, sf_dir):
     out = plan.add_features(inputs.daily_bars(spark, sf_dir), N, "daily")
-    return out.select(*KEY, r("atr", 4).alias("atr"), *rounded("fast_vs_slow_atr", "kaufman_efficiency_ratio", digits=5),
-                      *_ints[:6])
+    # Prices are quotients of cents by quantities up to 50: fewer than eight digits would round exact halves.
+    return out.select(*KEY, r("trange", 8).alias("trange"), *rounded(*_daily, *_lags, digits=4), *_ints[:6])
 
 
 # ---- labels -----------------------------------------------------------------------------------------

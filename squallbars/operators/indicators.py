@@ -164,29 +164,39 @@ def before_after(w: Frames, name: str, k: int) -> dict[str, Column]:
             f"{name}_{k}_ratio": F.try_divide(before.cast("double"), after)}
 
 
+HURST_SIZES = (8, 12, 16, 24, 32, 48)
+
+
 @F.pandas_udf(T.DoubleType())
 def hurst_exponent(windows: pd.Series) -> pd.Series:
-    """Rescaled-range slope of log increments over sub-windows of each array; null below 50 values."""
-    return windows.map(_rescaled_range)
-
-
-def _rescaled_range(values) -> float | None:
-    if values is None or len(values) < 50:
-        return None
-    prices = np.asarray(values, dtype=float)
-    if (prices <= 0).any():
-        return None
-    steps = np.diff(np.log(prices))
-    sizes = [s for s in (8, 12, 16, 24, 32, 48) if s <= len(steps) // 2]
-    points = []
-    for size in sizes:
-        blocks = steps[: len(steps) // size * size].reshape(-1, size)
-        spread = blocks.std(axis=1)
-        walk = np.cumsum(blocks - blocks.mean(axis=1, keepdims=True), axis=1)
-        rs = (walk.max(axis=1) - walk.min(axis=1))[spread > 0] / spread[spread > 0]
-        if len(rs):
-            points.append((np.log(size), np.log(rs.mean())))
-    if len(points) < 2:
-        return None
-    x, y = np.array(points).T
-    return float(np.polyfit(x, y, 1)[0])
+    """Rescaled-range slope of log increments over sub-windows of full windows, all of one length; null for others."""
+    out = pd.Series(np.nan, index=windows.index, dtype=float)
+    full = windows[windows.notna()]
+    if len(full):
+        out[full.index] = rescaled_range(np.array(full.tolist(), dtype=float))
+    return out.astype(object).where(out.notna(), None)
+
+
+def rescaled_range(prices: np.ndarray) -> np.ndarray:
+    """Slopes for a matrix with a window in each row; NaN where a price isn't positive or fewer than two sizes count.
+
+    A size counts where one of its blocks varies at least. Slopes are least squares of log mean ranges on log sizes.
+    """
+    with np.errstate(all="ignore"):
+        steps = np.diff(np.log(np.where(prices > 0, prices, np.nan)), axis=1)
+        sizes = [s for s in HURST_SIZES if s <= steps.shape[1] // 2]
+        logs = []
+        for size in sizes:
+            blocks = steps[:, :steps.shape[1] // size * size].reshape(len(steps), -1, size)
+            walk = np.cumsum(blocks - blocks.mean(axis=2, keepdims=True), axis=2)
+            spread = blocks.std(axis=2)
+            ratio = np.where(spread > 0, (walk.max(axis=2) - walk.min(axis=2)) / spread, np.nan)
+            varied = (spread > 0).sum(axis=1)
+            logs.append(np.log(np.where(varied > 0, np.nansum(ratio, axis=1) / varied, np.nan)))
+        y = np.array(logs).T
+        x = np.where(np.isnan(y), np.nan, np.log(np.array(sizes, dtype=float)))
+        counted = (~np.isnan(y)).sum(axis=1)
+        x0, y0 = (np.nansum(v, axis=1) / counted for v in (x, y))
+        dx = x - x0[:, None]
+        slope = np.nansum(dx * (y - y0[:, None]), axis=1) / np.nansum(dx * dx, axis=1)
+    return np.where((counted >= 2) & ~np.isnan(steps).any(axis=1), slope, np.nan)

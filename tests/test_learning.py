@@ -78,3 +78,29 @@ def test_quantile_forest_with_few_values(spark):
     df = spark.createDataFrame(pdf)
     out = learners.fit_quantiles(["x"], "y", numTrees=4, maxDepth=3, featureSubsetStrategy="all")(df)(df).toPandas()
     assert set(out.pred_q5) <= {0.0, 10.0, 20.0} and (out.pred_q5 == out.y).all()
+
+
+def test_rescaled_range_of_many_windows():
+    """The matrix against one window at a time: plain, flat in part, flat, and with a price of 0."""
+    from squallbars.operators.indicators import HURST_SIZES, rescaled_range
+
+    rng = np.random.default_rng(6)
+    windows = np.exp(rng.normal(size=(40, 100)).cumsum(axis=1) / 50)
+    windows[1, 20:60] = windows[1, 20]
+    windows[2] = 3.0
+    windows[3, 50] = 0.0
+    got = rescaled_range(windows)
+    for k, prices in enumerate(windows):
+        points = []
+        steps = np.diff(np.log(prices)) if (prices > 0).all() else []
+        for size in HURST_SIZES:
+            found = []
+            for i in range(len(steps) // size):
+                block = steps[i * size:(i + 1) * size]
+                walk = np.cumsum(block - block.mean())
+                if block.std() > 0:
+                    found.append((walk.max() - walk.min()) / block.std())
+            if found:
+                points.append((np.log(size), np.log(np.mean(found))))
+        want = np.polyfit(*np.array(points).T, 1)[0] if len(points) > 1 else np.nan
+        np.testing.assert_allclose(got[k], want, rtol=1e-9)
