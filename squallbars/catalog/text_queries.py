@@ -8,6 +8,7 @@ from squallbars.catalog.registry import query, r
 from squallbars.catalog.sql import rd, with_tables
 from squallbars.functions import texts, times, vocab
 from squallbars.operators import events as ev
+from squallbars.session import shared
 from squallbars.sources import inputs
 
 col = F.col
@@ -155,6 +156,20 @@ def one_hot(spark, sf_dir):
     return ev.encode(feats, ev.fit_vocabulary(feats)).select("event_id", *[n for n, _ in FLAG_SQL])
 
 
+_pairs = " UNION ALL ".join(f"SELECT event_id, '{c}' AS c, coalesce({c}, 'None') AS v FROM feats" for c in VOCAB)
+
+
+@query("x11_sparse_codes", with_tables("calendar", FEATURE_SQL, f"p AS ({_pairs})", """
+k AS (SELECT * FROM p WHERE NOT regexp_matches(lower(c || '_' || v), '(other|none)$')), """ """
+ids AS (SELECT c, v, row_number() OVER (ORDER BY c, v) - 1 AS id FROM (SELECT DISTINCT c, v FROM k))""", body="""
+SELECT event_id, coalesce(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY id), '') AS ids FROM feats LEFT JOIN k USING (event_id) LEFT JOIN ids USING (c, v) GROUP BY 1"""))
+def sparse_codes(spark, sf_dir):
+    """The encoding of category values as ids, for any number of values."""
+    feats = shared(ev.event_features(inputs.calendar(spark, sf_dir)).select("event_id", *ev.CATEGORICAL))
+    coded = ev.encode_sparse(feats, ev.category_ids(feats), "event_id")
+    return coded.select("event_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
+
+
 @query("x12_event_features", with_tables("calendar", FEATURE_SQL, body=f"""
 SELECT event_id, {', '.join(f'event_{n}' for n in vocab.EVENT_CLASSES)}, is_calendar, is_president, mie, source,
   stage_release, calc_period FROM feats"""))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from squallbars.functions import texts, times, vocab
-from squallbars.operators.layout import fill_forward, number_rows, over_series
+from squallbars.operators.layout import attach_small, fill_forward, number_rows, over_series
 
 col = F.col
 CATEGORICAL = ["category", "currency", "country", "source", "stage_release", "calc_period", "scale", "mie"]
@@ -30,21 +30,58 @@ def event_features(events: DataFrame) -> DataFrame:
     return out.withColumn("mie", col("most_important_event"))
 
 
+WIDEST = 5_000
+
+
+def category_pairs(features: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct (column, value), from the distinct combinations of the columns; nulls read None."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), as_category(col(c)).alias("value")) for c in columns]))
+    return features.select(*columns).distinct().select(pairs.alias("p")).select("p.*").distinct()
+
+
 def fit_vocabulary(features: DataFrame, columns: Sequence[str] = CATEGORICAL) -> dict[str, list[str]]:
-    """Sorted category values per column. Each becomes a column of the encoded frame, so their number is a schema's, not the
-    data's; for values without such a bound, `category_sums` counts them in long form.
+    """Sorted category values per column, each of which becomes a column of the encoded frame.
+
+    A schema holds `WIDEST` of them at most: more are an error, and `category_ids` with `encode_sparse`, or `category_sums`, take
+    any number without gathering them.
+    """
+    rows = category_pairs(features, columns).limit(WIDEST + 1).collect()
+    if len(rows) > WIDEST:
+        raise ValueError(f"more than {WIDEST} category values: use category_ids and encode_sparse")
+    return {c: sorted(r["value"] for r in rows if r["column"] == c) for c in columns}
+
+
+def _catch_all(column: Column, value: Column) -> Column:
+    return F.lower(F.concat_ws("_", column, value)).rlike("(other|none)$")
+
+
+def category_ids(features: DataFrame, columns: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """(column, value, id) of every category value but catch-alls: ids count from 0 in the order of column and value.
+
+    Values are ranked by dealt ranges and stay distributed, however many there are.
+    """
+    kept = category_pairs(features, columns).filter(~_catch_all(col("column"), col("value")))
+    return number_rows(kept, [], "column", ["value"], out="id")
+
+
+def encode_sparse(features: DataFrame, ids: DataFrame, key: str, columns: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """(key, ids): the ascending ids of a row's category values, the places of its ones in a vector as wide as ``ids``.
+
+    Unknown values have no id. Ids are looked up for each distinct combination of values, not for each row.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), as_category(col(c)).alias("v")) for c in columns]))
-    rows = features.select(pairs.alias("p")).select("p.*").distinct().collect()
-    return {c: sorted(r["v"] for r in rows if r["c"] == c) for c in columns}
+    rows = features.select(key, *[as_category(col(c)).alias(c) for c in columns])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in columns]))
+    combos = rows.select(*columns).distinct()
+    coded = (combos.select("*", pairs.alias("p")).select(*columns, "p.*").join(ids, ["column", "value"])
+             .groupBy(*columns).agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    return attach_small(rows, coded, columns).select(key, F.coalesce("ids", F.array().cast("array<long>")).alias("ids"))
 
 
 def category_sums(features: DataFrame, bucket: str, columns: Sequence[str] = CATEGORICAL) -> DataFrame:
     """Counts per (bucket, column, value) in long form, for any number of values; catch-all values dropped."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), as_category(col(c)).alias("value")) for c in columns]))
     rows = features.groupBy(bucket, *columns).agg(F.count(F.lit(1)).alias("_n")).select(bucket, "_n", pairs.alias("p"))
-    kept = ~F.lower(F.concat_ws("_", "p.column", "p.value")).rlike("(other|none)$")
-    return rows.filter(kept).groupBy(bucket, col("p.column").alias("column"), col("p.value").alias("value")).agg(F.sum("_n").alias("n"))
+    return rows.filter(~_catch_all(col("p.column"), col("p.value"))).groupBy(bucket, col("p.column").alias("column"), col("p.value").alias("value")).agg(F.sum("_n").alias("n"))
 
 
 def as_category(c: Column) -> Column:

@@ -104,3 +104,31 @@ def test_rescaled_range_of_many_windows():
                 points.append((np.log(size), np.log(np.mean(found))))
         want = np.polyfit(*np.array(points).T, 1)[0] if len(points) > 1 else np.nan
         np.testing.assert_allclose(got[k], want, rtol=1e-9)
+
+
+def test_a_hundred_thousand_category_values(spark):
+    """Ids without a collect; the wide form says that it can't."""
+    from squallbars.operators import events
+
+    n = 100_000
+    rows = spark.range(n).select("id", F.concat(F.lit("v"), "id").alias("currency"), F.when(F.col("id") % 2 == 0, "x").alias("scale"))
+    ids = events.category_ids(rows, ["currency", "scale"])
+    got = ids.agg(F.count("*"), F.min("id"), F.max("id"), F.count_distinct("id")).first()
+    assert tuple(got) == (n + 1, 0, n, n + 1)
+    ends = {r["value"]: r["id"] for r in ids.filter("value IN ('v0', 'v99999', 'x')").collect()}
+    assert ends == {"v0": 0, "v99999": n - 1, "x": n}
+    coded = events.encode_sparse(rows, ids, "id", ["currency", "scale"])
+    assert tuple(coded.agg(F.count("*"), F.sum(F.size("ids"))).first()) == (n, n + n // 2)
+    assert coded.filter("id = 0").first()["ids"] == [0, n] and len(coded.filter("id = 99999").first()["ids"]) == 1
+    with pytest.raises(ValueError, match="encode_sparse"):
+        events.fit_vocabulary(rows, ["currency", "scale"])
+
+
+def test_unknown_values_have_no_id(spark):
+    from squallbars.operators import events
+
+    schema = "id int, currency string, scale string"
+    ids = events.category_ids(spark.createDataFrame([(1, "USD", "K"), (2, "EUR", None), (3, "Other", "M")], schema), ["currency", "scale"])
+    assert [(r["column"], r["value"]) for r in ids.orderBy("id").collect()] == [("currency", "EUR"), ("currency", "USD"), ("scale", "K"), ("scale", "M")]
+    new = spark.createDataFrame([(7, "USD", "M"), (8, "GBP", None), (9, None, "K")], schema)
+    assert {r["id"]: r["ids"] for r in events.encode_sparse(new, ids, "id", ["currency", "scale"]).collect()} == {7: [1, 3], 8: [], 9: [2]}
