@@ -102,18 +102,31 @@ def digest_groups(settings: DataFrame) -> DataFrame:
                            F.concat_ws(",", F.transform(user_importance(settings), lambda i: i.cast("string"))).alias("levels"))
 
 
+MOST_DIGESTS = 10_000
+
+
 def digests(groups: DataFrame, events: DataFrame, day_of, page: int = 500) -> DataFrame:
     """Ordered lines per (offset, importance set, local day, page).
 
     Users outnumber the distinct (offset, set) pairs, which are few by construction (27 hours in half
-    steps, seven sets): each digest is built once and users refer to it, instead of users times events.
+    steps, seven sets; more than ``MOST_DIGESTS`` are an error): each digest is built once and users refer to it, instead of
+    users times events. The pairs are one small value beside each event, so no row is dealt by its level, and an event's line is
+    written once for each offset, before it goes to the sets that want it.
     A digest of more than ``page`` lines has several rows; ``n_events`` counts the whole digest on each.
     """
-    wanted = groups.select("offset", "levels").distinct().select(
-        "offset", "levels", F.explode(F.split("levels", ",")).alias("level")).filter("level <> ''")
-    rows = (events.withColumn("level", col("importance").cast("string")).join(wanted, "level")
-            .withColumn("day", day_of(col("date"), col("offset"))).filter(col("day").isNotNull())
-            .withColumn("line", event_line(col("title"), col("date"), col("offset"), col("importance"))))
+    sets = groups.filter("levels <> ''").groupBy("offset").agg(F.collect_set("levels").alias("sets"))
+    few = F.coalesce(F.sum(F.size("sets")), F.lit(0)) <= MOST_DIGESTS
+    offers = sets.agg(F.when(few, F.collect_list(F.struct("offset", "sets"))).otherwise(F.raise_error(F.lit("too many offsets and importance sets")))).scalar()
+
+    def wants(levels: Column) -> Column:
+        return F.array_contains(F.split(levels, ","), col("level"))
+
+    placed = events.withColumns({"level": col("importance").cast("string"), "_offers": offers})
+    own = F.filter("_offers", lambda o: F.exists(o["sets"], wants))
+    lines = (placed.select(*events.columns, "level", F.explode(own).alias("_o")).withColumn("offset", col("_o.offset"))
+             .withColumn("day", day_of(col("date"), col("offset"))).filter(col("day").isNotNull())
+             .withColumn("line", event_line(col("title"), col("date"), col("offset"), col("importance"))))
+    rows = lines.select("offset", "day", "date", "event_id", "line", F.explode(F.filter(col("_o.sets"), wants)).alias("levels"))
     from squallbars.operators.layout import number_rows
 
     keys = ["offset", "levels", "day"]

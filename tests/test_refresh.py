@@ -41,6 +41,27 @@ def test_every_page_has_the_digest_total(spark):
     assert [(r.page, r.n_events, r.body.count("\n") + 1) for r in sorted(out, key=lambda r: r.page)] == [(0, 23, 10), (1, 23, 10), (2, 23, 3)]
 
 
+def test_digests_of_every_offset_and_set(spark):
+    """All sets of levels at several offsets against plain lists; no join deals events by their level."""
+    groups = spark.createDataFrame([(u, o, s) for u, (o, s) in enumerate((o, s) for o in (-3.5, 0.0, 5.5) for s in ("-1", "0,1", "-1,0,1", "1", ""))] + [(99, 0.0, "1")],
+                                   "user_id int, offset double, levels string")
+    rows = spark.range(60).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 37 % 60 * 60).alias("date"),
+                                  F.concat(F.lit("t"), "id").alias("title"), (F.col("id") % 4 - 1).cast("int").alias("importance"))
+    out = alerts.digests(groups, rows, lambda date, offset: F.to_date(date), page=7)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Join" in line and "level#" in line]
+    events = sorted((r.date, r.event_id, r.title, r.importance) for r in rows.collect())
+    got = {}
+    for r in out.orderBy("page").collect():
+        got.setdefault((r.offset, r.levels), []).append(r)
+    assert set(got) == {(o, s) for o in (-3.5, 0.0, 5.5) for s in ("-1", "0,1", "-1,0,1", "1")}
+    for (offset, levels), pages in got.items():
+        titles = [t for _, _, t, i in events if str(i) in levels.split(",")]
+        lines = [line for p in pages for line in p.body.split("\n")]
+        assert [line.split("<b>")[1].split("</b>")[0] for line in lines] == titles and all(p.n_events == len(titles) for p in pages)
+        assert all(len(p.body.split("\n")) == 7 for p in pages[:-1])
+
+
 def test_rows_with_missing_features_are_scored(spark):
     rows = spark.createDataFrame([(i, None if i % 5 == 0 else float(i % 3), float("nan") if i % 7 == 0 else float(i), i % 2, 1.0) for i in range(60)],
                                  "id int, a double, b double, y int, weight double")
