@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from squallbars.operators.layout import attach, exact_quantiles, running_totals
+from squallbars.operators.layout import attach, attach_small, exact_quantiles, running_totals
 
 col = F.col
 
@@ -99,7 +99,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         r = running_totals(pairs, [], c, {"n": F.sum("_n")})
         return r.select(c, (col("cum_n") - (col("n") - 1) / 2).alias(out))
 
-    both = attach(attach(pairs, ranks(x, "_rx"), [x]), ranks(y, "_ry"), [y])
+    both = attach_small(attach_small(pairs, ranks(x, "_rx"), [x]), ranks(y, "_ry"), [y])  # a label of few values is a hot key
     n, a, b = F.sum("_n"), col("_rx"), col("_ry")
 
     def mean(c: Column) -> Column:
