@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from squallbars.catalog.bar_queries import BASE_SQL, KEY, N
 from squallbars.catalog.registry import query, r, rounded
-from squallbars.catalog.sql import BY, frame, lag, rd, rds, roll, wilder, with_tables
+from squallbars.catalog.sql import BY, frame, lag, lead, rd, rds, roll, wilder, with_tables
 from squallbars.catalog.text_queries import FEATURE_SQL, FLAG_SQL, LOCAL_SQL, NOW, map_sql, quoted, rules_sql, slot_sql
 from squallbars.functions import vocab
 from squallbars.operators import aggregates as agg
@@ -373,6 +373,39 @@ def lagged_target_stats(spark, sf_dir):
                                                      for n in ("mean", "min", "max")], *[f"prev_range_{h}h" for h in HZ]))
 
 
+KNOWN_STATS = history.known_columns()
+_KNOWN_BY = "PARTITION BY ticker, main_event, horizon ORDER BY known"
+KNOWN_SQL = (*RANGES_SQL, "ahead AS (SELECT ticker, datetime, " + ", ".join(f"{lead('datetime', h)} AS known_{h}h" for h in HZ) + " FROM bars)",
+             "known_long AS (" + " UNION ALL ".join(
+                 f"SELECT ticker, main_event, {h} AS horizon, future_range_{h}h AS prev, known_{h}h AS known FROM ranges "
+                 f"JOIN ahead USING (ticker, datetime) WHERE known_{h}h IS NOT NULL" for h in HZ) + ")",
+             "known_stats AS (SELECT *, " + ", ".join(
+                 f"{frame(a, 'prev', 1 - w, 0, full=False, by=_KNOWN_BY)} AS {n}_{w}"
+                 for w in (5, 20) for a, n in (("min", "min"), ("avg", "mean"), ("max", "max"))) + " FROM known_long)")
+_known_cols = ", ".join(f"{rd(f's{h}.prev')} AS prev_range_{h}h" for h in HZ) + ", " + ", ".join(
+    f"{rd(f's{h}.{n}_{w}')} AS {n}_range_{h}h_{w}" for w in (5, 20) for h in HZ for n in ("min", "mean", "max"))
+_known_joins = " ".join(f"ASOF LEFT JOIN (SELECT * FROM known_stats WHERE horizon = {h}) s{h} ON q.ticker = s{h}.ticker "
+                        f"AND q.main_event = s{h}.main_event AND q.datetime >= s{h}.known" for h in HZ)
+
+
+def known_sql(columns: str) -> str:
+    """Rows of ``q`` with the statistics known at their time."""
+    return f"SELECT {columns}, {_known_cols} FROM q {_known_joins}"
+
+
+@query("w07_known_range_history", with_tables("bars calendar", *KNOWN_SQL, CHECK_SQL, """
+q AS (SELECT ticker, datetime, rounded_time, main_event FROM chk JOIN bars ON datetime = time_to_check)""", body=known_sql(
+    "q.ticker, q.datetime, q.rounded_time, q.main_event")))
+def known_range_history(spark, sf_dir):
+    """Each due event with the statistics of the earlier ranges of its kind that were complete by then."""
+    from squallbars.plans.refresh import event_ranges
+
+    bars = shared(inputs.bars(spark, sf_dir))
+    rows = joins.events_with_bars(_due(spark, sf_dir), bars, "inner").select(*KEY, "rounded_time", "main_event")
+    out = history.with_known_stats(rows, event_ranges(bars, inputs.calendar(spark, sf_dir), known=True))
+    return out.select(*KEY, "rounded_time", "main_event", *rounded(*KNOWN_STATS))
+
+
 TYBY = "PARTITION BY dominant_event_type, ticker ORDER BY datetime"
 TYPED_SQL = (*RICH_SQL[:1], RICH_SQL[1], *RICH_SQL[2:], BASE_SQL,
              """tr AS (SELECT ticker, datetime, dominant_event_type, trange / nullif(close, 0) AS norm FROM t0

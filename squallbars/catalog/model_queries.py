@@ -6,13 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from squallbars.catalog.event_queries import BUCKETS_SQL, CHECK_SQL, _due
+from squallbars.catalog.bar_queries import N
+from squallbars.catalog.event_queries import BUCKETS_SQL, CHECK_SQL, KNOWN_SQL, KNOWN_STATS, _due, known_sql
 from squallbars.catalog.registry import query, r, rounded
 from squallbars.catalog.sql import rd, with_tables
-from squallbars.catalog.text_queries import LO, _html
+from squallbars.catalog.text_queries import LO, NOW, _html
 from squallbars.functions import vocab
 from squallbars.operators import alerts, folds, learners, metrics
-from squallbars.plans import dataset
+from squallbars.plans import dataset, features, forecast
+from squallbars.plans.refresh import event_ranges
 from squallbars.session import shared, shared_dir
 from squallbars.sources import inputs
 from squallbars.sources.merge_store import MergeStore, by_day, by_hash, by_ticker_and_month
@@ -106,6 +108,38 @@ def sigmoid_calibration(spark, sf_dir):
     return apply(rows.select("score").distinct()).select("score", r("calibrated").alias("calibrated"))
 
 
+# ---- the next event -----------------------------------------------------------------------------------
+@query("l06_live_rows", with_tables("bars calendar", *KNOWN_SQL, CHECK_SQL, f"""
+q AS (SELECT l.ticker, l.datetime, l.close, n.rounded_time, n.main_event, n.news_count, n.high_impact_count, n.key_event_count
+  FROM (SELECT ticker, max(datetime) AS datetime, arg_max(close, datetime) AS close FROM bars WHERE datetime <= TIMESTAMP '{NOW}' GROUP BY 1) l,
+  (SELECT * FROM chk WHERE rounded_time > TIMESTAMP '{NOW}' ORDER BY rounded_time LIMIT 1) n)""", body=known_sql(
+    "q.ticker, q.datetime, q.close, q.rounded_time, q.main_event, q.news_count, q.high_impact_count, q.key_event_count, "
+    "CAST(hour(q.datetime) AS INT) AS hour, CAST(isodow(q.datetime) - 1 AS INT) AS weekday")))
+def live_rows(spark, sf_dir):
+    """What is known of each ticker before the next event: its last bar, the event's bucket, and earlier ranges of its kind."""
+    now = F.lit(NOW).cast("timestamp")
+    past = shared(forecast.as_of(inputs.bars(spark, sf_dir), now))
+    ranges = event_ranges(past, inputs.calendar(spark, sf_dir), known=True)
+    out = forecast.live_rows(features.label_inputs(past, N), _due(spark, sf_dir), ranges, now)
+    return out.select("ticker", "datetime", "close", "rounded_time", "main_event", *forecast.EVENT, "hour", "weekday", *rounded(*KNOWN_STATS))
+
+
+@query("l09_next_event_forecast")
+def next_event_forecast(spark, sf_dir):
+    """For the next event and every ticker: probabilities, regimes, ranges and swings, and the alerts of each risk profile.
+
+    All models are fitted on what was known before the event.
+    """
+    found = shared(forecast.next_event_forecast(inputs.bars(spark, sf_dir), inputs.calendar(spark, sf_dir), shared(_due(spark, sf_dir)),
+                                                F.lit(NOW).cast("timestamp"), N))
+    rows = alerts.alerts(forecast.states(found)).groupBy("ticker").agg(*[
+        F.array_join(F.array_sort(F.collect_set(F.when(col("profile") == p, col("category")))), ",").alias(p.lower()) for p in vocab.RISK_THRESHOLDS])
+    out = found.join(rows, "ticker", "left").fillna("", [p.lower() for p in vocab.RISK_THRESHOLDS])
+    return out.select("ticker", "datetime", "rounded_time", "main_event", *[r(col(m)).alias(_slug(m)) for m in forecast.NOISE],
+                      *forecast.REGIMES, *[r(f"{n}.{q}").alias(f"{n}_{q}") for n in forecast.RANGES for q in ("p10", "p50", "p90")],
+                      r("direction_changes").alias("direction_changes"), *[p.lower() for p in vocab.RISK_THRESHOLDS])
+
+
 # ---- forecasts to alerts ----------------------------------------------------------------------------
 MODELS = alerts.NOISE_MODELS
 PRED_SQL = f"""preds AS (SELECT event_type || '-' || event_id AS ticker, value,
@@ -125,8 +159,8 @@ def _predictions(spark, sf_dir):
         F.round(v / 7, 2).alias("direction_changes"))
 
 
-def _slug(m: str, p: str) -> str:
-    return f"{m.replace(' ', '_').lower()}_{p.lower()}"
+def _slug(*names: str) -> str:
+    return "_".join(names).replace(" ", "_").lower()
 
 
 @query("l06_risk_flags", with_tables("", PRED_SQL, body="SELECT ticker, " + ", ".join(

@@ -52,3 +52,46 @@ def lagged_target_stats(ranges: DataFrame, keys: Sequence[str], order: str = "da
         return df.select("*", *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in cols.items()])
 
     return over_series(ranges, build, keys, order, back=max(windows), unit="year")
+
+
+def known_stats(ranges: DataFrame, windows: Sequence[int] = WINDOWS, horizons: Sequence[int] = HORIZONS) -> DataFrame:
+    """Latest value and min, mean, max of the last rows per (ticker, main event, horizon), from the time ``known`` on.
+
+    ``ranges`` has ``future_range_<h>h`` and ``known_<h>h``; a range that is still open has no row.
+    """
+    from squallbars.operators.layout import over_series
+
+    long = ranges.select("ticker", "main_event", F.explode(F.array(*[
+        F.struct(F.lit(h).alias("horizon"), F.col(f"future_range_{h}h").alias("prev"), F.col(f"known_{h}h").alias("known"))
+        for h in horizons])).alias("r")).select("ticker", "main_event", "r.*").filter("prev IS NOT NULL AND known IS NOT NULL")
+
+    def build(df, w):
+        stats = {f"{name}_{n}": w.frame(agg, "prev", 1 - n, 0, full=False)
+                 for n in windows for name, agg in (("min", F.min), ("mean", F.avg), ("max", F.max))}
+        return df.select("*", *[c.alias(n) for n, c in stats.items()])
+
+    return over_series(long, build, ["ticker", "main_event", "horizon"], "known", back=max(windows), unit="year")
+
+
+def with_known_stats(rows: DataFrame, ranges: DataFrame, time: str = "datetime", windows: Sequence[int] = WINDOWS,
+                     horizons: Sequence[int] = HORIZONS) -> DataFrame:
+    """Add to each row the statistics of its (ticker, main event) that are known at its time; null where none is.
+
+    (ticker, ``time``) identifies a row. Training rows and live rows get the same columns by the same rule, so no row looks ahead.
+    All horizons go through one as-of join in long form.
+    """
+    from squallbars.operators.layout import asof_join
+
+    values = ["prev", *[f"{s}_{n}" for n in windows for s in ("min", "mean", "max")]]
+    asked = rows.select("ticker", "main_event", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon"),
+                        F.col(time).alias("known"), F.lit(True).alias("asked"))
+    found = asof_join(asked, known_stats(ranges, windows, horizons), ["ticker", "main_event", "horizon"], "known", values)
+    names = {(h, v): f"{v.split('_')[0]}_range_{h}h" + (f"_{v.split('_')[1]}" if "_" in v else "") for h in horizons for v in values}
+    wide = found.groupBy("ticker", F.col("known").alias(time)).agg(*[
+        F.max(F.when(F.col("horizon") == h, F.col(v))).alias(n) for (h, v), n in names.items()])
+    return rows.join(wide, ["ticker", time], "left")
+
+
+def known_columns(windows: Sequence[int] = WINDOWS, horizons: Sequence[int] = HORIZONS) -> list[str]:
+    """Names of the columns that `with_known_stats` adds."""
+    return [f"prev_range_{h}h" for h in horizons] + [f"{s}_range_{h}h_{n}" for n in windows for h in horizons for s in ("min", "mean", "max")]

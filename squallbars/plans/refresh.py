@@ -20,15 +20,20 @@ KEYS = ["main_event", "datetime", "ticker"]
 RANGES = [f"future_range_{h}h" for h in HORIZONS]
 
 
-def event_ranges(bars: DataFrame, events: DataFrame) -> DataFrame:
-    """Forward ranges of every ticker at each hour with events, labelled by the hour's main event."""
+def event_ranges(bars: DataFrame, events: DataFrame, known: bool = False) -> DataFrame:
+    """Forward ranges of every ticker at each hour with events, labelled by the hour's main event.
+
+    With ``known``, ``known_1h`` and so on are the times of the bars that complete the ranges: before them nobody knows a range.
+    """
     main = (texts.folded(events, "title")
             .select(F.date_trunc("hour", "date").alias("datetime"), "date", "event_id",
                     texts.main_event(col("_up")).alias("most_important_event"))
             .groupBy("datetime").agg(ev.main_event_of().alias("main_event")))
+    times = [f"known_{h}h" for h in HORIZONS] if known else []
     measured = over_bars(bars, lambda df, w: df.select("*", *[
-        labels.future_range(w, h).alias(f"future_range_{h}h") for h in HORIZONS]), back=1, ahead=max(HORIZONS))
-    return measured.join(main, "datetime").select("ticker", "datetime", "main_event", *RANGES)
+        labels.future_range(w, h).alias(f"future_range_{h}h") for h in HORIZONS], *[
+        w.lead("datetime", h).alias(n) for h, n in zip(HORIZONS, times)]), back=1, ahead=max(HORIZONS))
+    return measured.join(main, "datetime").select("ticker", "datetime", "main_event", *RANGES, *times)
 
 
 def new_ranges(stored: DataFrame, bars: DataFrame, events: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ SAMPLE = [
     "m11_isotonic_calibration", "m12_calibration_curve", "s01_comma_bars", "s08_upsert_prices", "s11_newer_than_stored",
     "l09_alerts", "l12_daily_digests", "l14_settings_upsert_toggle", "s10_upsert_ranges", "v02_last_quarters",
     "v06_expanding_quarters", "v07_sequential_splits", "m13_fold_report", "x11_sparse_codes", "i24_exploratory_block", "i27_hurst",
-    "i23_daily_features", "st1_streamed_bars", "st2_streamed_events", "st3_streamed_alerts",
+    "i23_daily_features", "w07_known_range_history", "l06_live_rows",
+    "st1_streamed_bars", "st2_streamed_events", "st3_streamed_alerts",
 ]
 NAMES = sorted(CHECKS) if os.environ.get("SQUALL_ALL") else SAMPLE
 
