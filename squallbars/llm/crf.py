@@ -10,14 +10,16 @@ labels through a token can gain over O proves most tokens O, and Viterbi runs on
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
-_PART = re.compile(_TOKEN.pattern + r"|\s+")
 _MARK = re.compile(r"<(\w+)>(.*?)</\1>", re.S)
 _KEPT = {"at", "dot", "ext", "tel", "phone", "call", "mobile", "fax", "order", "no", "version", "page", "invoice", "mail", "email", "ip", "host", "card", "visa", "com", "org", "net", "id", "isbn"}
 
+_LONGEST_KEPT = max(map(len, _KEPT))  # a word and its letters in one number: 7 at most
+
 
 def tokens(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
     return [m.span() for m in _TOKEN.finditer(text, start, len(text) if end is None else end)]
@@ -182,16 +184,41 @@ class ChainField:
         return TextDecoder(self)
 
 
+_BLANK, _LETTER, _DIGIT, _SINGLE = range(4)
+
+
+def _character_tables() -> dict[str, np.ndarray]:
+    """What `_TOKEN` and `shape` ask of a character, for every character of the basic plane."""
+    plane = [chr(i) for i in range(1 << 16)]
+    kind = [_BLANK if c.isspace() else _DIGIT if c in "0123456789" else _LETTER if c.isalnum() and not c.isdecimal() else _SINGLE for c in plane]
+    ascii_low = np.full(1 << 16, 255, np.int64)
+    for c in range(26):
+        ascii_low[[65 + c, 97 + c]] = 97 + c
+    return {"kind": np.array(kind, np.int8), "alpha": np.array([c.isalpha() for c in plane]), "upper": np.array([c.isupper() for c in plane]),
+            "lower": np.array([c.islower() or unicodedata.category(c) == "Lt" for c in plane]), "ascii": ascii_low}
+
+
 class TextDecoder:
-    """Labels of whole texts. Shapes that no feature names share one code, so the tables stay small."""
+    """Labels of whole texts. Shapes that no feature names share one code, so the tables stay small.
+
+    Texts are cut and shapes are told by tables over characters, a whole text at a time; a text with characters beyond the
+    basic plane is cut token by token, with the same result.
+    """
 
     def __init__(self, field: ChainField):
         self.field = field
+        self.tables = _character_tables()
         known = {n[1:] for n in field.names if n[0] == "0" and " " not in n}
         shapes = ["<", ">", *(f"d{k}" for k in range(1, 21)), *sorted(known | _KEPT | {"x", "X", "Xx"}), "\0"]
         self.shapes = {s: i for i, s in reversed(list(enumerate(shapes)))}
         self.other = len(shapes) - 1
-        self.codes: dict[str, int] = {}
+        self.single = np.full(1 << 16, self.other)
+        for mark, code in self.shapes.items():
+            if len(mark) == 1 and ord(mark) < 1 << 16:
+                self.single[ord(mark)] = code
+        self.runs = np.array([self.shapes[f"d{k}"] for k in range(1, 21)])
+        words = sorted((sum(ord(c) << 8 * i for i, c in enumerate(w)), self.shapes[w]) for w in _KEPT)
+        self.words, self.word_codes = np.array([w for w, _ in words]), np.array([c for _, c in words])
         zero = np.zeros(field.weights.shape[1])
         w = lambda n: field.weights[field.names[n]] if n in field.names else zero
         z = lambda s: w("z" + ("n" + str(int(s[1:]) // 3) if s[0] == "d" and s[1:].isdigit() else "a"))
@@ -203,11 +230,44 @@ class TextDecoder:
         self.into = np.maximum(moves[:size].max(0) - moves[0, 0], moves[size] - moves[size, 0])[1:]
         self.out = max(0.0, (moves[1:size, 0] - moves[0, 0]).max())
 
-    def _code(self, part: str) -> int:
-        if len(self.codes) > 100_000:
-            self.codes.clear()
-        code = self.codes[part] = -1 if part[0].isspace() else self.shapes.get(shape(part), self.other)
-        return code
+    def _cut(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, end and shape code of each token."""
+        point = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        if not len(point) or point.max() >= 1 << 16:
+            spans = tokens(text)
+            edges = np.array(spans, np.int64).reshape(-1, 2)
+            return edges[:, 0], edges[:, 1], np.array([self.shapes.get(shape(text[a:b]), self.other) for a, b in spans], np.int64)
+        kind = self.tables["kind"][point]
+        new = np.ones(len(kind) + 1, bool)
+        new[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _SINGLE)
+        edges = np.flatnonzero(new)
+        real = np.flatnonzero(kind[edges[:-1]] != _BLANK)
+        first, end = edges[real], edges[real + 1]
+        of = kind[first]
+        codes = self.single[point[first]]
+        digits = of == _DIGIT
+        codes[digits] = self.runs[np.minimum((end - first)[digits], 20) - 1]
+        at = np.flatnonzero(of == _LETTER)
+        codes[at] = self._letters(point, first[at], end[at])
+        return first, end, codes
+
+    def _letters(self, point: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Codes of runs of letters: known words by their letters as one number, all others by case."""
+        small, great = (np.concatenate([[0], np.cumsum(self.tables[t][point], dtype=np.int32)]) for t in ("lower", "upper"))
+        begun = self.tables["upper"][point[first]]
+        shouted = (small[first] == small[end]) & (great[first] < great[end])
+        codes = np.where(shouted, self.shapes["X"], np.where(begun, self.shapes["Xx"], self.shapes["x"]))
+        codes[~self.tables["alpha"][point[first]]] = self.other
+        brief = np.flatnonzero(end - first <= _LONGEST_KEPT)
+        start, size = first[brief], (end - first)[brief]
+        word = np.zeros(len(brief), np.int64)
+        for i in range(_LONGEST_KEPT):
+            more = np.flatnonzero(size > i)
+            word[more] |= self.tables["ascii"][point[start[more] + i]] << 8 * i
+        place = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+        known = self.words[place] == word
+        codes[brief[known]] = self.word_codes[place[known]]
+        return codes
 
     def _scores(self, codes: np.ndarray, tied: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Scores of some tokens of a text; codes have two marks on either side."""
@@ -220,17 +280,13 @@ class TextDecoder:
         size = self.field.weights.shape[1]
         runs, scores, starts, ends = [], [], [], []
         for i, text in enumerate(texts):
-            parts = _PART.findall(text)
-            get, code = self.codes.get, self._code
-            all_codes = np.array([code(p) if (k := get(p)) is None else k for p in parts], np.int64)
-            stops = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-            real = np.flatnonzero(all_codes >= 0)
-            n = len(real)
+            first, end, codes = self._cut(text)
+            n = len(first)
             if not n:
                 continue
-            codes = np.concatenate([[0, 0], all_codes[real], [1, 1]])
+            codes = np.concatenate([[0, 0], codes, [1, 1]])
             tied = np.zeros(n + 1, np.int64)
-            tied[1:n] = np.diff(real) == 1
+            tied[1:n] = first[1:] == end[:-1]
             gain = np.empty(n)
             for a in range(0, n, 16_384):
                 s = self._scores(codes, tied, np.arange(a, min(n, a + 16_384)))
@@ -242,8 +298,7 @@ class TextDecoder:
             if not len(live):
                 continue
             breaks = np.flatnonzero(np.diff(live) > 1) + 1
-            at = real[live]
-            spans = list(zip(np.where(at > 0, stops[at - 1], 0).tolist(), stops[at].tolist(), strict=True))
+            spans = list(zip(first[live].tolist(), end[live].tolist(), strict=True))
             score = self._scores(codes, tied, live)
             for a, b in zip([0, *breaks.tolist()], [*breaks.tolist(), len(live)], strict=True):
                 runs.append((i, spans[a:b]))

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-from squallbars.llm.crf import ChainField, features, tokens
+from squallbars.llm.crf import ChainField, features, shape, tokens
 from squallbars.llm.private_data import LABELLED, added_spans, find_private, redact, trained
 from squallbars.llm.private_patterns import KINDS, base_spans, luhn
 
@@ -122,3 +122,17 @@ def test_texts_decode_like_their_features():
         spans = tokens(text)
         labels = {s: y for own, found in runs for s, y in zip(own, found.tolist(), strict=True)}
         assert [labels.get(s, 0) for s in spans] == field.decode([features(text, spans)])[0].tolist()
+
+
+def test_character_tables_cut_and_shape_as_the_token_rules():
+    """Letters of all cases, numbers that are no digits, white space of all kinds, and characters beyond the basic plane."""
+    decoder = trained().text_decoder()
+    rng = random.Random(4)
+    signs = [*"aZ1 0.@_-\n\t\x1c\u00a0\u3000", "\u00b2", "\u01c5", "\u00aa", "\u2177", "\uff11", "\u0663", "\u212a", "\u0130", "\u00df", "at", "DOT", "Tel", "11", "invoice", "invoices", "<", ">"]
+    texts = ["", " ", "\n", "x" * 50, "7" * 50, *("".join(rng.choices(signs, k=rng.randint(1, 30))) for _ in range(3_000))]
+    texts += [t + "\U0001f600 at 12" for t in texts[:50]] + [chr(c) + "a" + chr(c) for c in range(1, 0xd800)]
+    for text in texts:
+        first, end, codes = decoder._cut(text)
+        spans = tokens(text)
+        assert list(zip(first.tolist(), end.tolist())) == spans, repr(text)
+        assert codes.tolist() == [decoder.shapes.get(shape(text[a:b]), decoder.other) for a, b in spans], repr(text)
