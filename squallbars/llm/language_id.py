@@ -80,6 +80,7 @@ def train(rows: DataFrame, pieces: list[str], fit_rows: int = 1500, rounds: int
     lattice = spark.sparkContext.broadcast(pieces)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(_LATTICES)
         for batch in batches:
             seen = Counter((lang, w) for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True)
                            for w in words(text) if len(w) <= LONGEST_FITTED)
@@ -94,6 +95,7 @@ def train(rows: DataFrame, pieces: list[str], fit_rows: int = 1500, rounds: int
         state = spark.sparkContext.broadcast(probability)
 
         def expect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            release(_LATTICES)
             walk = _lattice(lattice.value)
             total = np.zeros((walk.size + 1, len(languages)))
             for frame in frames:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from squallbars.llm.common import release
 from squallbars.llm.crf import ChainField, TextDecoder
 from squallbars.llm.private_patterns import KINDS, base_spans, is_ip
 
@@ -152,6 +153,7 @@ def redact(docs: DataFrame, text: str = "text", field: ChainField | None = None)
         return "".join([*out, value[at:]])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         decoder = model.value.text_decoder()
         for batch in batches:
             at = batch.schema.get_field_index(text)
