@@ -1,11 +1,12 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, with DataFrame functions alone.
 
 A text is the set of digests of its paragraphs: lines, cut from their start into blocks of at most `BLOCK` characters. A
-sketch has three tables of `w` cells; each digest goes to one cell of each, and a cell keeps the count of its digests, their
-exclusive or and that of their check digests. The sketches of two versions are subtracted cell by cell, which cancels what
-both hold; then peeling takes digests out of cells that hold one, until nothing is left. If it gets stuck, both sketches
-are built anew four times as large. The number of differing digests gives the likeness (size of the intersection over that
-of the union).
+sketch has three tables of `w` cells, `w` a power of two by the text's own number of digests; each digest goes to one cell
+of each, and a cell keeps the count of its digests, their exclusive or and that of their check digests. The sketches of two
+versions are subtracted cell by cell, the larger folded to the size of the smaller, which cancels what both hold; then
+peeling takes digests out of cells that hold one, until nothing is left. If it gets stuck, both sketches are built anew four
+times as large. What is peeled are the paragraph digests of either side alone, and their number gives the likeness (size of
+the intersection over that of the union).
 
 Cells are kept sparse, as arrays of (cell, count, digests, checks), so that building and peeling cost in proportion to the
 number of digests; no text or paragraph is shuffled for them, and all of a pair happens in its row.
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 from squallbars.llm.common import ranked, written
 
 BLOCK = 128
-FIRST_CELLS = 8
+LEAST_CELLS = 8
 TABLES = 3
-SIZES = 13
+SIZES = 10
 ROUNDS = 60
+FOUND = "array<struct<k:bigint,n:bigint>>"
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -46,6 +48,11 @@ def paragraphs(text: Column) -> Column:
     return F.array_distinct(F.transform(blocks, lambda x: F.xxhash64(x)))
 
 
+def own_cells(digests: Column) -> Column:
+    """Cells of each table of a set's own sketch: the least power of two that is not below the number of its digests."""
+    return F.pow(F.lit(2.0), F.length(F.bin(F.greatest(F.size(digests), F.lit(LEAST_CELLS)).cast("long") - 1))).cast("long")
+
+
 def entry(digest: Column, table: int, w: Column, sign: Column) -> Column:
     return F.struct((long(table) * w + F.pmod(F.xxhash64(digest, F.lit(table)), w)).alias("c"), sign.alias("n"), digest.alias("k"), F.xxhash64(digest, F.lit("check")).alias("h"))
 
@@ -69,13 +76,19 @@ def combined(parts: Column) -> Column:
             F.transform(s, lambda a, j: F.aggregate(F.slice(ordered, a + 1, F.coalesce(F.get(s, j + 1), F.size(ordered)) - a), zero, added)),
             lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0)))
 
-    return F.when(F.size(parts) == 0, parts).otherwise(bound(F.array_sort(parts), cells))
+    return F.when(F.size(parts) == 0, parts).otherwise(bound(F.sort_array(parts), cells))
 
 
 def sketch(digests: Column, w: Column) -> Column:
     return combined(entries(digests, w, 1))
 
 
+def folded(cells: Column, w: Column, to: Column) -> Column:
+    """A sketch with `w` cells a table as the one with `to` cells, both powers of two: cells of equal remainders added up."""
+    moved = F.transform(cells, lambda c: F.struct((F.floor(c["c"] / w) * to + c["c"] % w % to).cast("long").alias("c"), c["n"].alias("n"), c["k"].alias("k"), c["h"].alias("h")))
+    return F.when(w == to, cells).otherwise(combined(moved))
+
+
 def difference(one: Column, other: Column) -> Column:
     """One sketch less another of the same size."""
     negative = F.transform(other, lambda c: F.struct(c["c"].alias("c"), (-c["n"]).alias("n"), c["k"].alias("k"), c["h"].alias("h")))
@@ -83,7 +96,7 @@ def difference(one: Column, other: Column) -> Column:
 
 
 def peeled(cells: Column, w: Column) -> Column:
-    """The number of digests in a difference; -1 where peeling gets stuck."""
+    """The digests (k, and n: 1 of the one set, -1 of the other) in a difference; null where peeling gets stuck."""
 
     def step(state: Column, _: Column) -> Column:
         pure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["h"] == F.xxhash64(c["k"], F.lit("check"))))
@@ -91,63 +104,98 @@ def peeled(cells: Column, w: Column) -> Column:
 
         def taken(found: Column) -> Column:
             out = F.flatten(F.transform(found, lambda p: F.array(*(entry(p["k"], t, w, -p["n"]) for t in range(TABLES)))))
-            return F.when(F.size(found) == 0, F.struct(state["cells"].alias("cells"), state["n"].alias("n"), F.lit(False).alias("on"))).otherwise(
-                F.struct(combined(F.concat(state["cells"], out)).alias("cells"), (state["n"] + F.size(found)).alias("n"), F.lit(True).alias("on")))
+            return F.when(F.size(found) == 0, F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("on"))).otherwise(
+                F.struct(combined(F.concat(state["cells"], out)).alias("cells"), F.concat(state["found"], found).alias("found"), F.lit(True).alias("on")))
 
         return F.when(state["on"], bound(alone, taken)).otherwise(state)
 
-    start = F.struct(cells.alias("cells"), long(0).alias("n"), F.lit(True).alias("on"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.size(s["cells"]) == 0, s["n"]).otherwise(long(-1)))
+    start = F.struct(cells.alias("cells"), F.array().cast(FOUND).alias("found"), F.lit(True).alias("on"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.size(s["cells"]) == 0, s["found"]))
 
 
-def differing(one: Column, other: Column, first: Column) -> Column:
-    """How many digests differ between two sets; `first` is the difference of their stored sketches."""
+def differing(one: Column, other: Column, first: Column, w: Column) -> Column:
+    """(w, found): the digests in which two sets differ and the size of the sketches that gave them.
+
+    `first` is the difference of the sets' own sketches with `w` cells a table. Where it gets stuck, both are built anew four
+    times as large, up to 4^(SIZES - 1) times; two sets that no size parts are compared themselves.
+    """
 
     def attempt(state: Column, k: Column) -> Column:
-        w = (long(FIRST_CELLS) * F.pow(F.lit(4.0), k)).cast("long")
-        cells = F.when(k == 0, first).otherwise(combined(F.concat(entries(one, w, 1), entries(other, w, -1))))
-        return F.when(state >= 0, state).otherwise(peeled(cells, w))
+        larger = (w * F.pow(F.lit(4.0), k)).cast("long")
+        cells = F.when(k == 0, first).otherwise(combined(F.concat(entries(one, larger, 1), entries(other, larger, -1))))
+        return F.when(state["found"].isNotNull(), state).otherwise(F.struct(larger.alias("w"), peeled(cells, larger).alias("found")))
+
+    def side(mine: Column, theirs: Column, sign: int) -> Column:
+        return F.transform(F.array_except(mine, theirs), lambda x: F.struct(x.alias("k"), long(sign).alias("n")))
+
+    def whole(s: Column) -> Column:
+        return F.struct(s["w"].alias("w"), F.when(s["found"].isNotNull(), s["found"]).otherwise(F.concat(side(one, other, 1), side(other, one, -1))).alias("found"))
+
+    start = F.struct(long(0).alias("w"), F.lit(None).cast(FOUND).alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(SIZES - 1)), start, attempt, whole)
+
+
+def compared(one: str, other: str) -> Column:
+    """(w, found) of two sets from their columns (w, n, cells), the larger sketch folded to the size of the smaller."""
+    a, b = F.col(f"{one}_print"), F.col(f"{other}_print")
+    return bound(F.least(a["w"], b["w"]), lambda w: differing(
+        F.col(one), F.col(other), difference(folded(a["cells"], a["w"], w), folded(b["cells"], b["w"], w)), w))
+
+
+def likeness(one: Column, other: Column, found: Column) -> Column:
+    """Size of the intersection over that of the union, by the numbers of digests of two fingerprints and of those that differ."""
+    total = one["n"] + other["n"]
+    return F.when(total == 0, F.lit(1.0)).otherwise((total - F.size(found)) / (total + F.size(found)))
+
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(SIZES - 1)), long(-1), attempt)
+def fingerprint(digests: Column) -> Column:
+    """(w, n, cells): a set's own sketch, its cells a table and its number of digests."""
+    return bound(own_cells(digests), lambda w: F.struct(w.alias("w"), F.size(digests).alias("n"), sketch(digests, w).alias("cells")))
 
 
-def likeness(one: Column, other: Column, one_cells: Column, other_cells: Column) -> Column:
-    total = F.size(one) + F.size(other)
-    return bound(differing(one, other, difference(one_cells, other_cells)),
-                 lambda d: F.when(total == 0, F.lit(1.0)).otherwise((total - d) / (total + d)))
+def shown(printed: Column) -> Column:
+    """A fingerprint as text: cells a table, number of digests, and for each cell its number, count, digests and checks."""
+    cells = F.transform(printed["cells"], lambda c: F.concat_ws(":", F.hex(c["c"]), c["n"].cast("string"), F.hex(c["k"]), F.hex(c["h"])))
+    return F.concat_ws(";", printed["w"].cast("string"), printed["n"].cast("string"), F.array_join(cells, ","))
 
 
-def shown(cells: Column) -> Column:
-    """A sketch as text: for each cell its number, count, digests and checks."""
-    return F.array_join(F.transform(cells, lambda c: F.concat_ws(":", F.hex(c["c"]), c["n"].cast("string"), F.hex(c["k"]), F.hex(c["h"]))), ",")
+def digests_of(found: Column, sign: int) -> Column:
+    return F.transform(F.filter(found, lambda x: x["n"] == sign), lambda x: x["k"])
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """(provider, consumer, consumer_n): for each row key the one before it in descending order of ids, cyclically."""
-    order = written(ranked(rows.select("row", "id", "n_chars").distinct(), F.col("id").desc_nulls_last(), F.col("row")).select("row", "n_chars", "position"), "order")
+    """(provider, provider_id, consumer, consumer_id, consumer_n): for each row the one before it in descending order of ids, cyclically."""
+    order = written(ranked(rows.select("row", "id", "n_chars").distinct(), F.col("id").desc_nulls_last(), F.col("row")), "order")
     count = order.count()
-    before = order.select(F.col("row").alias("consumer"), F.col("n_chars").alias("consumer_n"), F.pmod(F.col("position") + 1, F.lit(max(1, count))).alias("_at"))
-    return order.join(before, F.col("position") == F.col("_at")).select(F.col("row").alias("provider"), "consumer", "consumer_n")
+    before = order.select(F.col("row").alias("consumer"), F.col("id").alias("consumer_id"), F.col("n_chars").alias("consumer_n"),
+                          F.pmod(F.col("position") + 1, F.lit(max(1, count))).alias("_at"))
+    return order.join(before, F.col("position") == F.col("_at")).select(F.col("row").alias("provider"), F.col("id").alias("provider_id"), "consumer", "consumer_id", "consumer_n")
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
+    """(id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next, ...) of every row.
 
-    The edited text has the last half of the code points replaced by the first as many of the next document.
+    The edited text has the last half of the code points replaced by the first as many of the next document. Peeling's
+    results follow: `cells` and `next_cells` are the sizes that gave them, `removed` and `added` the digests that only the text
+    or only the edited text holds, `own_only` and `next_only` those of the text and the next document.
     """
     value = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(id).alias("id"), value.alias("text"), F.xxhash64(F.col(id), value).alias("row"), F.char_length(value).cast("long").alias("n_chars"))
+    # Rows are known by id and a digest of the text: rows of one id are few.
+    rows = docs.select(F.col(id).alias("id"), value.alias("text"), F.xxhash64(value).alias("row"), F.char_length(value).cast("long").alias("n_chars"))
     links = written(neighbours(rows), "neighbours")
-    first = long(FIRST_CELLS)
     half = lambda n: F.floor(n / 2).cast("int")
     texts = rows.select("row", "id", "text")
-    given = (texts.join(links, F.col("row") == F.col("provider")).dropDuplicates(["row"])
-             .select("consumer", F.col("id").alias("next_id"), F.substring("text", F.lit(1), half(F.col("consumer_n"))).alias("tail"), paragraphs(F.col("text")).alias("next_set")))
-    pairs = (texts.join(given, F.col("row") == F.col("consumer")).withColumn("n_chars", F.char_length("text").cast("long"))
+    given = (texts.join(links, (F.col("row") == F.col("provider")) & F.col("id").eqNullSafe(F.col("provider_id"))).dropDuplicates(["id", "row"])
+             .select("consumer", "consumer_id", F.col("id").alias("next_id"), F.substring("text", F.lit(1), half(F.col("consumer_n"))).alias("tail"), paragraphs(F.col("text")).alias("following")))
+    pairs = (texts.join(given, (F.col("row") == F.col("consumer")) & F.col("id").eqNullSafe(F.col("consumer_id"))).withColumn("n_chars", F.char_length("text").cast("long"))
              .withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half(F.col("n_chars"))).cast("int")), "tail")))
-    sets = pairs.select("id", "next_id", "n_chars", "edited", paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("changed"), "next_set")
-    cells = sets.select("*", sketch(F.col("own"), first).alias("own_cells"), sketch(F.col("changed"), first).alias("changed_cells"), sketch(F.col("next_set"), first).alias("next_cells"))
-    return cells.select(
-        F.col("id").alias(id), "n_chars", "edited", shown(F.col("own_cells")).alias("fingerprint"), shown(F.col("changed_cells")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed"), F.col("own_cells"), F.col("changed_cells")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next_set"), F.col("own_cells"), F.col("next_cells")).alias("near_next"), "next_id")
+    sets = pairs.select("id", "next_id", "n_chars", "edited", paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("changed"), "following")
+    prints = sets.select("*", *(fingerprint(F.col(c)).alias(f"{c}_print") for c in ("own", "changed", "following")))
+    own, changed, following = (F.col(f"{c}_print") for c in ("own", "changed", "following"))
+    found = prints.select("id", "n_chars", "edited", "next_id", "own_print", "changed_print", "following_print",
+                          compared("own", "changed").alias("edit"), compared("own", "following").alias("next"))
+    return found.select(
+        F.col("id").alias(id), "n_chars", "edited", shown(own).alias("fingerprint"), shown(changed).alias("edited_fingerprint"),
+        likeness(own, changed, F.col("edit.found")).alias("near_edited"), likeness(own, following, F.col("next.found")).alias("near_next"), "next_id",
+        F.col("edit.w").alias("cells"), digests_of(F.col("edit.found"), 1).alias("removed"), digests_of(F.col("edit.found"), -1).alias("added"),
+        F.col("next.w").alias("next_cells"), digests_of(F.col("next.found"), 1).alias("own_only"), digests_of(F.col("next.found"), -1).alias("next_only"))

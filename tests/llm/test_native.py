@@ -2,11 +2,13 @@
 
 import hashlib
 import re
+import struct
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from squallbars.llm.fingerprints import BLOCK, combined, difference, differing, entries, fingerprints, long, sketch
+from squallbars.llm.fingerprints import BLOCK, combined, difference, differing, entries, fingerprints, folded, long, sketch
 from squallbars.llm.mixing import WORD, mix, source_targets
 
 PYTHON = re.compile("Python|Pandas|Arrow", re.I)
@@ -61,10 +63,50 @@ def test_sketches_recover_differences(spark):
     w = long(8)
     cells = lambda c: sketch(F.transform(c, lambda x: F.xxhash64(x)), w)
     one, other = (F.transform(c, lambda x: F.xxhash64(x)) for c in ("a", "b"))
-    got = df.select("a", "b", differing(one, other, difference(cells("a"), cells("b"))).alias("d"), F.size(difference(cells("a"), cells("a"))).alias("none")).collect()
-    assert all(r.d == len(set(r.a) ^ set(r.b)) and r.none == 0 for r in got)
+    got = df.select("a", "b", one.alias("one"), other.alias("other"), differing(one, other, difference(cells("a"), cells("b")), w).alias("d"), F.size(difference(cells("a"), cells("a"))).alias("none")).collect()
+    for r in got:
+        assert {x["k"] for x in r.d["found"] if x["n"] == 1} == set(r.one) - set(r.other) and r.none == 0
+        assert {x["k"] for x in r.d["found"] if x["n"] == -1} == set(r.other) - set(r.one) and len(r.d["found"]) == len(set(r.a) ^ set(r.b))
     sums = df.select(F.aggregate(combined(entries(one, w, 1)), long(0), lambda n, c: n + c["n"]).alias("n"), F.size("a").alias("m")).collect()
     assert all(r.n == 3 * r.m for r in sums)
+    folds = df.select(folded(sketch(one, long(64)), long(64), w).alias("folded"), cells("a").alias("built")).collect()
+    assert all(r.folded == r.built for r in folds)
+
+
+def spark_hash(value, *more):
+    """The 64-bit digest of a long and what follows, as the DataFrame function has it."""
+    h = xxhash.xxh64_intdigest(struct.pack("<q", value), seed=42)
+    for m in more:
+        h = xxhash.xxh64_intdigest(m.encode() if isinstance(m, str) else struct.pack("<i", m), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def cells_of(text):
+    w, n, cells = text.split(";")
+    signed = lambda x: int(x, 16) - (1 << 64) if int(x, 16) >> 63 else int(x, 16)
+    split = [c.split(":") for c in cells.split(",") if c]
+    return int(w), int(n), {int(c, 16): (int(m), signed(k), signed(h)) for c, m, k, h in split}
+
+
+def test_two_returned_fingerprints_alone_peel_to_the_differing_digests(spark, sf_dir):
+    peeled = 0
+    for r in fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")).limit(400).collect():
+        (w, n, one), (v, m, other) = cells_of(r.fingerprint), cells_of(r.edited_fingerprint)
+        if w != v or r.cells != w:
+            continue
+        left = {c: tuple(f(a, b) for f, a, b in zip((int.__sub__, int.__xor__, int.__xor__), one.get(c, (0, 0, 0)), other.get(c, (0, 0, 0)), strict=True)) for c in {*one, *other}}
+        found = {}
+        while pure := [c for c in left.values() if abs(c[0]) == 1 and spark_hash(c[1], "check") == c[2]]:
+            sign, k, h = pure[0]
+            found[k] = sign
+            for t in range(3):
+                c = t * w + spark_hash(k, t) % w
+                left[c] = (left[c][0] - sign, left[c][1] ^ k, left[c][2] ^ h)
+        assert not any(any(c) for c in left.values())
+        assert ({k for k, s in found.items() if s == 1}, {k for k, s in found.items() if s == -1}) == (set(r.removed), set(r.added))
+        assert r.near_edited == pytest.approx((n + m - len(found)) / (n + m + len(found)) if n + m else 1.0)
+        peeled += 1
+    assert peeled >= 100
 
 
 def levels(sizes, weights=(5, 2, 1), most=3):
