@@ -30,7 +30,7 @@ LEAST_CELLS = 8
 TABLES = 3
 SIZES = 10
 ROUNDS = 60
-FOUND = "array<struct<k:bigint,n:bigint>>"
+FOUND = "struct<one:array<bigint>,other:array<bigint>>"
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -70,11 +70,15 @@ def combined(parts: Column) -> Column:
         return F.struct(e["c"].alias("c"), (acc["n"] + e["n"]).alias("n"), acc["k"].bitwiseXOR(e["k"]).alias("k"), acc["h"].bitwiseXOR(e["h"]).alias("h"))
 
     def cells(ordered: Column) -> Column:
+        # Runs are read by position: slicing would copy the whole array for each.
         at = F.sequence(F.lit(0), F.size(ordered) - 1)
         starts = F.filter(at, lambda i: (i == 0) | (F.get(ordered, i)["c"] != F.get(ordered, i - 1)["c"]))
-        return bound(starts, lambda s: F.filter(
-            F.transform(s, lambda a, j: F.aggregate(F.slice(ordered, a + 1, F.coalesce(F.get(s, j + 1), F.size(ordered)) - a), zero, added)),
-            lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0)))
+
+        def run(starts: Column, first: Column, j: Column) -> Column:
+            last = F.coalesce(F.get(starts, j + 1), F.size(ordered)) - 1
+            return F.when(last == first, F.get(ordered, first)).otherwise(F.aggregate(F.sequence(first, last), zero, lambda acc, i: added(acc, F.get(ordered, i))))
+
+        return bound(starts, lambda s: F.filter(F.transform(s, lambda a, j: run(s, a, j)), lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0)))
 
     return F.when(F.size(parts) == 0, parts).otherwise(bound(F.sort_array(parts), cells))
 
@@ -96,25 +100,30 @@ def difference(one: Column, other: Column) -> Column:
 
 
 def peeled(cells: Column, w: Column) -> Column:
-    """The digests (k, and n: 1 of the one set, -1 of the other) in a difference; null where peeling gets stuck."""
+    """(one, other): the digests of either side in a difference; null where peeling gets stuck."""
 
     def step(state: Column, _: Column) -> Column:
         pure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["h"] == F.xxhash64(c["k"], F.lit("check"))))
-        alone = F.array_distinct(F.transform(pure, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"))))
+
+        def digests(found: Column, sign: int) -> Column:
+            return F.array_distinct(F.transform(F.filter(found, lambda c: c["n"] == sign), lambda c: c["k"]))
 
         def taken(found: Column) -> Column:
-            out = F.flatten(F.transform(found, lambda p: F.array(*(entry(p["k"], t, w, -p["n"]) for t in range(TABLES)))))
-            return F.when(F.size(found) == 0, F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("on"))).otherwise(
-                F.struct(combined(F.concat(state["cells"], out)).alias("cells"), F.concat(state["found"], found).alias("found"), F.lit(True).alias("on")))
+            left = combined(F.concat(state["cells"], entries(found["one"], w, -1), entries(found["other"], w, 1)))
+            return F.struct(left.alias("cells"), F.concat(state["one"], found["one"]).alias("one"), F.concat(state["other"], found["other"]).alias("other"), F.lit(True).alias("on"))
 
-        return F.when(state["on"], bound(alone, taken)).otherwise(state)
+        stuck = F.struct(state["cells"].alias("cells"), state["one"].alias("one"), state["other"].alias("other"), F.lit(False).alias("on"))
+        next_ = bound(pure, lambda p: F.when(F.size(p) == 0, stuck).otherwise(bound(F.struct(digests(p, 1).alias("one"), digests(p, -1).alias("other")), taken)))
+        return F.when(state["on"], next_).otherwise(state)
 
-    start = F.struct(cells.alias("cells"), F.array().cast(FOUND).alias("found"), F.lit(True).alias("on"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.size(s["cells"]) == 0, s["found"]))
+    none = F.array().cast("array<bigint>")
+    start = F.struct(cells.alias("cells"), none.alias("one"), none.alias("other"), F.lit(True).alias("on"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step,
+                       lambda s: F.when(F.size(s["cells"]) == 0, F.struct(s["one"].alias("one"), s["other"].alias("other"))))
 
 
 def differing(one: Column, other: Column, first: Column, w: Column) -> Column:
-    """(w, found): the digests in which two sets differ and the size of the sketches that gave them.
+    """(w, found): the digests that one of two sets holds alone, by side, and the size of the sketches that gave them.
 
     `first` is the difference of the sets' own sketches with `w` cells a table. Where it gets stuck, both are built anew four
     times as large, up to 4^(SIZES - 1) times; two sets that no size parts are compared themselves.
@@ -125,11 +134,9 @@ def differing(one: Column, other: Column, first: Column, w: Column) -> Column:
         cells = F.when(k == 0, first).otherwise(combined(F.concat(entries(one, larger, 1), entries(other, larger, -1))))
         return F.when(state["found"].isNotNull(), state).otherwise(F.struct(larger.alias("w"), peeled(cells, larger).alias("found")))
 
-    def side(mine: Column, theirs: Column, sign: int) -> Column:
-        return F.transform(F.array_except(mine, theirs), lambda x: F.struct(x.alias("k"), long(sign).alias("n")))
-
     def whole(s: Column) -> Column:
-        return F.struct(s["w"].alias("w"), F.when(s["found"].isNotNull(), s["found"]).otherwise(F.concat(side(one, other, 1), side(other, one, -1))).alias("found"))
+        exact = F.struct(F.array_except(one, other).alias("one"), F.array_except(other, one).alias("other"))
+        return F.struct(s["w"].alias("w"), F.coalesce(s["found"], exact).alias("found"))
 
     start = F.struct(long(0).alias("w"), F.lit(None).cast(FOUND).alias("found"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(SIZES - 1)), start, attempt, whole)
@@ -144,8 +151,8 @@ def compared(one: str, other: str) -> Column:
 
 def likeness(one: Column, other: Column, found: Column) -> Column:
     """Size of the intersection over that of the union, by the numbers of digests of two fingerprints and of those that differ."""
-    total = one["n"] + other["n"]
-    return F.when(total == 0, F.lit(1.0)).otherwise((total - F.size(found)) / (total + F.size(found)))
+    total, differ = one["n"] + other["n"], F.size(found["one"]) + F.size(found["other"])
+    return F.when(total == 0, F.lit(1.0)).otherwise((total - differ) / (total + differ))
 
 
 def fingerprint(digests: Column) -> Column:
@@ -159,10 +166,6 @@ def shown(printed: Column) -> Column:
     return F.concat_ws(";", printed["w"].cast("string"), printed["n"].cast("string"), F.array_join(cells, ","))
 
 
-def digests_of(found: Column, sign: int) -> Column:
-    return F.transform(F.filter(found, lambda x: x["n"] == sign), lambda x: x["k"])
-
-
 def neighbours(rows: DataFrame) -> DataFrame:
     """(provider, provider_id, consumer, consumer_id, consumer_n): for each row the one before it in descending order of ids, cyclically."""
     order = written(ranked(rows.select("row", "id", "n_chars").distinct(), F.col("id").desc_nulls_last(), F.col("row")), "order")
@@ -197,5 +200,5 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     return found.select(
         F.col("id").alias(id), "n_chars", "edited", shown(own).alias("fingerprint"), shown(changed).alias("edited_fingerprint"),
         likeness(own, changed, F.col("edit.found")).alias("near_edited"), likeness(own, following, F.col("next.found")).alias("near_next"), "next_id",
-        F.col("edit.w").alias("cells"), digests_of(F.col("edit.found"), 1).alias("removed"), digests_of(F.col("edit.found"), -1).alias("added"),
-        F.col("next.w").alias("next_cells"), digests_of(F.col("next.found"), 1).alias("own_only"), digests_of(F.col("next.found"), -1).alias("next_only"))
+        F.col("edit.w").alias("cells"), F.col("edit.found.one").alias("removed"), F.col("edit.found.other").alias("added"),
+        F.col("next.w").alias("next_cells"), F.col("next.found.one").alias("own_only"), F.col("next.found.other").alias("next_only"))

@@ -65,8 +65,8 @@ def test_sketches_recover_differences(spark):
     one, other = (F.transform(c, lambda x: F.xxhash64(x)) for c in ("a", "b"))
     got = df.select("a", "b", one.alias("one"), other.alias("other"), differing(one, other, difference(cells("a"), cells("b")), w).alias("d"), F.size(difference(cells("a"), cells("a"))).alias("none")).collect()
     for r in got:
-        assert {x["k"] for x in r.d["found"] if x["n"] == 1} == set(r.one) - set(r.other) and r.none == 0
-        assert {x["k"] for x in r.d["found"] if x["n"] == -1} == set(r.other) - set(r.one) and len(r.d["found"]) == len(set(r.a) ^ set(r.b))
+        assert r.none == 0 and set(r.d.found.one) == set(r.one) - set(r.other) and set(r.d.found.other) == set(r.other) - set(r.one)
+        assert len(r.d.found.one) + len(r.d.found.other) == len(set(r.a) ^ set(r.b))
     sums = df.select(F.aggregate(combined(entries(one, w, 1)), long(0), lambda n, c: n + c["n"]).alias("n"), F.size("a").alias("m")).collect()
     assert all(r.n == 3 * r.m for r in sums)
     folds = df.select(folded(sketch(one, long(64)), long(64), w).alias("folded"), cells("a").alias("built")).collect()
