@@ -17,12 +17,13 @@ from tokenizers import Tokenizer
 from squallbars.llm.common import CACHES, release
 
 LONGEST_CACHED = 64
+LONGEST_MERGED = 512
 CACHED_PIECES = 600_000
-CACHED_PARTS = 400_000
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _LOADED: dict[int, "PieceEncoder"] = {}
 CACHES.append(_LOADED)
+_MARKS = frozenset("\0\x01\x02")
 _AMBIGUOUS = re.compile(r"\s (?:\s|\Z)")
 _ASCII_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^ \t\n\v\f\ra-z0-9]+")
 
@@ -73,6 +74,11 @@ class PieceEncoder:
         """Ids of each text (null: empty) and the end id, as bytes."""
         return [self.whole(t or "") + end for t in texts]
 
+    def encode_flat(self, texts: list[str | None], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
+        ids = self.encode_texts(texts, end)
+        return np.frombuffer(b"".join(ids), "<u4"), np.array([len(i) // 4 for i in ids], np.int64)
+
 
 def shown_bytes() -> dict[str, int]:
     """The characters by which byte-level vocabularies write bytes (fixed values of that format)."""
@@ -141,15 +147,15 @@ class _Pieces(dict):
 class BlankDropped(PieceEncoder):
     """Lower-casing vocabularies that drop white space: pieces between blanks, made of words, digits and marks.
 
-    Such a vocabulary marks the end of a word on its last token. Where ids are the ranks of merges, ASCII parts are merged by
-    tiktoken with the zero byte as that mark: many parts, each with its mark, in one call; the marked ids end the parts.
+    Such a vocabulary marks the end of a word on its last token. Where ids are the ranks of merges, ASCII pieces of many texts
+    are merged by tiktoken in one call, with the zero byte as that mark behind every part; nothing is cached for them. Two
+    control characters stand between texts and in place of the other pieces, whose ids come from the library and a cache.
     """
 
     def __init__(self, spec: bytes, parts: dict):
         super().__init__(spec, parts)
         self.ids: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.fast = self.ends = None
+        self.fast = None
         model, byte = parts["model"], shown_bytes()
         suffix = model.get("end_of_word_suffix")
         if suffix:
@@ -161,42 +167,75 @@ class BlankDropped(PieceEncoder):
                     ranks[marked] = i
             if merged_in_order(model, 512) and all(bytes([b, 0]) in ranks for b in range(1, 256)):
                 self.fast = tiktoken.Encoding("marked", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
-                self.ends = np.zeros(1 + max(ranks.values()), bool)
-                self.ends[[i for r, i in ranks.items() if r[-1:] == b"\0" and len(r) > 1]] = True
-
-    def _together(self, texts: list[str]) -> list[bytes]:
-        """Ids of many short strings by one call."""
-        if self.fast and all(t.isascii() and "\0" not in t for t in texts):
-            ids = np.array(self.fast.encode_ordinary("\0".join([*texts, ""])), "<u4")
-            ends = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
-        else:
-            got = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+                self.odd, self.between = ranks[b"\x01\0"], ranks[b"\x02\0"]
+
+    def _merged(self, pieces: str) -> np.ndarray:
+        """Ids of ASCII pieces between blanks."""
+        parts = _ASCII_PARTS.findall(pieces.lower())
+        return np.array(self.fast.encode_ordinary("\0".join([*parts, ""])), "<u4")
+
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece by the library, through the cache."""
+        if len(self.ids) > CACHED_PIECES:
+            self.ids = {}
+        missing = sorted(set(pieces).difference(self.ids))
+        fresh: dict[str, bytes] = {}
+        for at in range(0, len(missing), 8192):
+            some = missing[at:at + 8192]
+            got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             ids = np.asarray(got.ids, "<u4")
-            ends = np.searchsorted(np.asarray([-1 if w is None else w for w in got.word_ids]), np.arange(len(texts) + 1)).tolist()
-        return [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-    def _fill(self, cut: list[list[str]]) -> None:
-        """Put all pieces of some texts into the cache."""
-        missing = set().union(*cut).difference(self.ids)
-        split = {p: _ASCII_PARTS.findall(p.lower()) if p.isascii() else [p] for p in missing}
-        parts = set().union(*split.values()).difference(self.parts)
-        plain = sorted(p for p in parts if p.isascii() and "\0" not in p)
-        for kind in (plain, sorted(parts.difference(plain))):
-            for at in range(0, len(kind), 8192):
-                self.parts.update(zip(kind[at:at + 8192], self._together(kind[at:at + 8192]), strict=True))
-        for p, of in split.items():
-            self.ids[p] = b"".join(map(self.parts.__getitem__, of))
+            ends = np.searchsorted(np.asarray([-1 if w is None else w for w in got.word_ids]), np.arange(len(some) + 1)).tolist()
+            fresh.update((p, ids[a:b].tobytes()) for p, a, b in zip(some, ends[:-1], ends[1:], strict=True))
+        self.ids.update((p, i) for p, i in fresh.items() if len(p) <= LONGEST_CACHED)
+        return [fresh[p] if p in fresh else self.ids[p] for p in pieces]
 
-    def encode_texts(self, texts: list[str | None], end: bytes = b"") -> list[bytes]:
-        out = []
+    def encode_flat(self, texts: list[str | None], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        flat, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for some in grouped(texts):
-            if len(self.ids) > CACHED_PIECES:
-                self.ids = {}
-            if len(self.parts) > CACHED_PARTS:
-                self.parts = {}
-            cut = [[] if any(s in t for s in self.specials) else t.replace("\n", " ").split(" ") for t in some]
-            self._fill(cut)
-            out.extend((b"".join(map(self.ids.__getitem__, c)) if c else self.whole(t)) + end for c, t in zip(cut, some, strict=True))
-            for p in {p for c in cut for p in c if len(p) > LONGEST_CACHED}:
-                del self.ids[p]
-        return out
+            ids, n = self._encode_group(some, end)
+            flat.append(ids), counts.append(n)
+        return np.concatenate(flat), np.concatenate(counts)
+
+    def _encode_group(self, texts: list[str], end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """All texts in one string; what stands for odd pieces and ends of texts is replaced by their ids."""
+        given, odd = [], []
+        for t in texts:
+            if any(s in t for s in self.specials):
+                odd.append(self.whole(t))
+                given.append("\x01")
+                continue
+            pieces = t.replace("\n", " ").split(" ")
+            if self.fast and "\0" not in t and "\x01" not in t and "\x02" not in t and max(map(len, pieces)) <= LONGEST_MERGED:
+                at = () if t.isascii() else [k for k, p in enumerate(pieces) if not p.isascii()]
+            else:
+                at = [k for k, p in enumerate(pieces) if not self.fast or not p.isascii() or len(p) > LONGEST_MERGED or not _MARKS.isdisjoint(p)]
+            for k in at:
+                odd.append(pieces[k])
+                pieces[k] = "\x01"
+            given.append(" ".join(pieces))
+        wanted = [p for p in odd if isinstance(p, str)]
+        found = iter(self._look_up(wanted)) if wanted else iter(())
+        spliced = [p if isinstance(p, bytes) else next(found) for p in odd]
+        if self.fast:
+            ids = self._merged(" \x02 ".join([*given, ""]))
+            is_odd, is_end = ids == self.odd, ids == self.between
+        else:  # every piece is odd
+            codes = np.frombuffer(" \x02 ".join([*given, ""]).replace(" ", "").encode(), np.uint8)
+            ids, is_odd, is_end = codes.astype("<u4"), codes == 1, codes == 2
+        wide = np.ones(len(ids), np.int64)
+        wide[is_odd] = np.fromiter((len(p) // 4 for p in spliced), np.int64, len(spliced))
+        wide[is_end] = len(end) // 4
+        place = np.cumsum(wide) - wide
+        out = np.zeros(int(wide.sum()), "<u4")
+        usual = ~(is_odd | is_end)
+        out[place[usual]] = ids[usual]
+        for mask, values in ((is_odd, b"".join(spliced)), (is_end, end * int(is_end.sum()))):
+            sizes = wide[mask]
+            out[np.repeat(place[mask] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))] = np.frombuffer(values, "<u4")
+        ends = (place + wide)[is_end]
+        return out, np.diff(ends, prepend=0)
+
+    def encode_texts(self, texts: list[str | None], end: bytes = b"") -> list[bytes]:
+        flat, counts = self.encode_flat(texts, end)
+        ends = np.cumsum(counts)
+        return [flat[b - n:b].tobytes() for b, n in zip(ends.tolist(), counts.tolist(), strict=True)]

@@ -47,10 +47,9 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2,
         for batch in batches:
             keys, at = batch.column("id"), 0
             for some in grouped(batch.column("text").to_pylist()):
-                ids = rules.encode_texts(some, end)
-                n = np.array([len(i) // 4 for i in ids], np.int64)
+                ids, n = rules.encode_flat(some, end)
                 ends = np.concatenate([[0], np.cumsum(n)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4"), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(at, len(some)), pa.array(np.full(len(some), part), pa.int32()), pa.array(start + ends[:-1], pa.int64()), pa.array(n, pa.int64()), lists],
                     ["id", "part", "local_start", "n_tokens", "ids"])

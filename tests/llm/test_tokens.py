@@ -1,6 +1,7 @@
 """Encoding, counts, files and packing against the tokenizers library."""
 
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -29,11 +30,14 @@ def test_pieces_give_the_library_ids(path):
     rng = random.Random(3)
     marks = [" ", " ", "\n", "\t", "a", "B", "É", "ß", "1", "2", ".", ",", "'s", "<|endoftext|>", "\x1c", "中", "́", "😀", "  ", "½", " ", "_", "Σ", "'S", "re", "　", "İ"]
     texts = ["".join(rng.choice(marks if rng.random() < 0.7 else marks[:13]) for _ in range(rng.randint(0, 14))) for _ in range(5_000)]
-    texts += ["x" * 300 + " " + "y" * 90, None, " ", "\n \n", "a  b   c", "end ", "\n ", "<|startoftext|> x"]
+    texts += ["x" * 300 + " " + "y" * 90, None, " ", "\n \n", "a  b   c", "end ", "\n ", "<|startoftext|> x", "a\x00b \x01 \x02é \x02", "q" * 700 + "é z", "Z" * 600 + " z"]
     known = Tokenizer.from_file(path)
     want = [np.array(e.ids, "<u4").tobytes() for e in known.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert own.encode_texts(texts) == want
     assert own.encode_texts(texts) == want  # from the cache
+    flat, counts = own.encode_flat(texts, b"\2\0\0\0")
+    assert flat.tobytes() == b"".join(w + b"\2\0\0\0" for w in want) and counts.tolist() == [len(w) // 4 + 1 for w in want]
+    assert [len(x) for x in own.encode_flat([])] == [0, 0]
 
 
 def test_counts_of_pieces_with_many_tokens(spark):
@@ -51,7 +55,7 @@ def test_counts(edges, empty):
 
 
 def test_files_round_trip(spark, edges, empty):
-    folder = f"{shared_dir(spark)}/round-trip"
+    folder = f"{shared_dir(spark)}/round-trip-{uuid.uuid4().hex}"
     write_tokens(edges, folder, WORDS)
     rows = read_tokens(spark, folder).orderBy("start").collect()
     order = sorted(edges.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
@@ -72,7 +76,7 @@ def test_files_have_dictionaries_and_page_indexes(spark, edges):
 
     import pyarrow.parquet as pq
 
-    folder = f"{shared_dir(spark)}/layout"
+    folder = f"{shared_dir(spark)}/layout-{uuid.uuid4().hex}"
     write_tokens(edges, folder, WORDS)
     file = pq.ParquetFile(max(glob.glob(folder.removeprefix("file://") + "/*.parquet")))
     columns = {file.metadata.row_group(0).column(i).path_in_schema: file.metadata.row_group(0).column(i) for i in range(file.metadata.num_columns)}
