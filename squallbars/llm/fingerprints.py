@@ -34,8 +34,8 @@ FOUND = "struct<one:array<bigint>,other:array<bigint>>"
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+    """`body` of a value that is computed once, by an aggregate of nothing, which unlike a transform copies no results."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
 
 
 def long(x: int) -> Column:
@@ -53,13 +53,13 @@ def own_cells(digests: Column) -> Column:
     return F.pow(F.lit(2.0), F.length(F.bin(F.greatest(F.size(digests), F.lit(LEAST_CELLS)).cast("long") - 1))).cast("long")
 
 
-def entry(digest: Column, table: int, w: Column, sign: Column) -> Column:
-    return F.struct((long(table) * w + F.pmod(F.xxhash64(digest, F.lit(table)), w)).alias("c"), sign.alias("n"), digest.alias("k"), F.xxhash64(digest, F.lit("check")).alias("h"))
-
-
 def entries(digests: Column, w: Column, sign: int) -> Column:
     """What each digest adds to its cell of every table."""
-    return F.flatten(F.transform(digests, lambda x: F.array(*(entry(x, t, w, long(sign)) for t in range(TABLES)))))
+
+    def cell(digest: Column, table: int, check: Column) -> Column:
+        return F.struct((long(table) * w + F.pmod(F.xxhash64(digest, F.lit(table)), w)).alias("c"), long(sign).alias("n"), digest.alias("k"), check.alias("h"))
+
+    return F.flatten(F.transform(digests, lambda x: bound(F.xxhash64(x, F.lit("check")), lambda h: F.array(*(cell(x, t, h) for t in range(TABLES))))))
 
 
 def combined(parts: Column) -> Column:
@@ -80,7 +80,7 @@ def combined(parts: Column) -> Column:
 
         return bound(starts, lambda s: F.filter(F.transform(s, lambda a, j: run(s, a, j)), lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0)))
 
-    return F.when(F.size(parts) == 0, parts).otherwise(bound(F.sort_array(parts), cells))
+    return bound(parts, lambda p: F.when(F.size(p) == 0, p).otherwise(bound(F.sort_array(p), cells)))
 
 
 def sketch(digests: Column, w: Column) -> Column:
