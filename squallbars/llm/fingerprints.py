@@ -167,12 +167,11 @@ def shown(printed: Column) -> Column:
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """(provider, provider_id, consumer, consumer_id, consumer_n): for each row the one before it in descending order of ids, cyclically."""
-    order = written(ranked(rows.select("row", "id", "n_chars").distinct(), F.col("id").desc_nulls_last(), F.col("row")), "order")
+    """(provider, consumer, consumer_n): for each row key the one before it in descending order of ids, cyclically."""
+    order = written(ranked(rows.select("row", "id", "n_chars").distinct(), F.col("id").desc_nulls_last(), F.col("row")).select("row", "n_chars", "position"), "order")
     count = order.count()
-    before = order.select(F.col("row").alias("consumer"), F.col("id").alias("consumer_id"), F.col("n_chars").alias("consumer_n"),
-                          F.pmod(F.col("position") + 1, F.lit(max(1, count))).alias("_at"))
-    return order.join(before, F.col("position") == F.col("_at")).select(F.col("row").alias("provider"), F.col("id").alias("provider_id"), "consumer", "consumer_id", "consumer_n")
+    before = order.select(F.col("row").alias("consumer"), F.col("n_chars").alias("consumer_n"), F.pmod(F.col("position") + 1, F.lit(max(1, count))).alias("_at"))
+    return order.join(before, F.col("position") == F.col("_at")).select(F.col("row").alias("provider"), "consumer", "consumer_n")
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,14 +182,15 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     or only the edited text holds, `own_only` and `next_only` those of the text and the next document.
     """
     value = F.coalesce(F.col(text), F.lit(""))
-    # Rows are known by id and a digest of the text: rows of one id are few.
-    rows = docs.select(F.col(id).alias("id"), value.alias("text"), F.xxhash64(value).alias("row"), F.char_length(value).cast("long").alias("n_chars"))
+    # Rows are known by 128 bits of their id and text, in one column, so that one dealing serves the join and what follows.
+    row = F.concat(F.hex(F.xxhash64(F.col(id), value)), F.lit("-"), F.hex(F.xxhash64(value, F.col(id), F.lit("row"))))
+    rows = docs.select(F.col(id).alias("id"), value.alias("text"), row.alias("row"), F.char_length(value).cast("long").alias("n_chars"))
     links = written(neighbours(rows), "neighbours")
     half = lambda n: F.floor(n / 2).cast("int")
     texts = rows.select("row", "id", "text")
-    given = (texts.join(links, (F.col("row") == F.col("provider")) & F.col("id").eqNullSafe(F.col("provider_id"))).dropDuplicates(["id", "row"])
-             .select("consumer", "consumer_id", F.col("id").alias("next_id"), F.substring("text", F.lit(1), half(F.col("consumer_n"))).alias("tail"), paragraphs(F.col("text")).alias("following")))
-    pairs = (texts.join(given, (F.col("row") == F.col("consumer")) & F.col("id").eqNullSafe(F.col("consumer_id"))).withColumn("n_chars", F.char_length("text").cast("long"))
+    given = (texts.join(links, F.col("row") == F.col("provider")).dropDuplicates(["row"])
+             .select("consumer", F.col("id").alias("next_id"), F.substring("text", F.lit(1), half(F.col("consumer_n"))).alias("tail"), paragraphs(F.col("text")).alias("following")))
+    pairs = (texts.join(given, F.col("row") == F.col("consumer")).withColumn("n_chars", F.char_length("text").cast("long"))
              .withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half(F.col("n_chars"))).cast("int")), "tail")))
     sets = pairs.select("id", "next_id", "n_chars", "edited", paragraphs(F.col("text")).alias("own"), paragraphs(F.col("edited")).alias("changed"), "following")
     prints = sets.select("*", *(fingerprint(F.col(c)).alias(f"{c}_print") for c in ("own", "changed", "following")))
