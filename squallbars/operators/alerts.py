@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from squallbars.functions import texts, times, vocab
+from squallbars.session import shared
 
 col = F.col
 NOISE_MODELS = ["SFP", "Extremum Breakout", "Big Spike", "Chaos"]
@@ -83,7 +84,38 @@ def alert_summary(alert_rows: DataFrame, states: DataFrame) -> DataFrame:
 def subscriber_digests(settings: DataFrame, events: DataFrame, day: Column, gmt: int) -> DataFrame:
     """The daily digest of each subscriber whose offset is due; users without events have no row."""
     groups = digest_groups(settings.join(daily_subscribers(settings, gmt), "user_id", "left_semi"))
-    return groups.join(daily_digests(groups, events, day), ["offset", "levels"])
+    return addressed(groups, daily_digests(groups, events, day))
+
+
+TILE_USERS, TILE_PAGES = 2048, 4
+MOST_TASKS = 20_000
+
+
+def addressed(groups: DataFrame, pages: DataFrame, users: int = TILE_USERS, most: int = TILE_PAGES) -> DataFrame:
+    """Every page of a digest beside each of its users.
+
+    The rows are users times pages, and few digests have all users. So a digest is dealt in tiles of about ``users`` users and
+    ``most`` pages: a page is copied once per block of users, a user once per block of pages, and there are as many tasks as tiles.
+    """
+    from squallbars.operators.layout import attach_small
+
+    keys, tile = ["offset", "levels"], ["_digest", "_users", "_pages"]
+    groups, pages = shared(groups), shared(pages)
+    sizes = (groups.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / users).alias("_u"))
+             .join(pages.groupBy(*keys).agg((F.floor(F.max("page") / most) + 1).alias("_p")), keys))
+    sizes = shared(sizes.withColumn("_digest", F.monotonically_increasing_id()))  # a number, as joins deal decimals anew
+    tasks = min(max(sizes.agg(F.sum(col("_u") * col("_p"))).first()[0] or 1, 1), MOST_TASKS)
+
+    def blocks(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), col(count) - 1))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return attach_small(df, sizes, keys).filter(col("_u").isNotNull())
+
+    readers = placed(groups).withColumn("_users", F.pmod(F.xxhash64("user_id"), "_u")).withColumn("_pages", blocks("_p"))
+    copies = placed(pages).withColumn("_pages", F.floor(col("page") / most)).withColumn("_users", blocks("_u")).drop(*keys)
+    left, right = (df.drop("_u", "_p").repartition(tasks, *tile) for df in (readers, copies))
+    return left.join(right.hint("merge"), tile).select(*groups.columns, *[c for c in pages.columns if c not in keys])
 
 
 def user_importance(settings: DataFrame) -> Column:

@@ -62,6 +62,16 @@ def test_digests_of_every_offset_and_set(spark):
         assert all(len(p.body.split("\n")) == 7 for p in pages[:-1])
 
 
+def test_readers_of_one_digest_are_spread(spark):
+    """One digest of many pages and users: every user has every page once, and no task has more than a few tiles of them."""
+    settings = spark.range(6000).select(F.col("id").alias("user_id"), F.lit(3.5).cast("decimal(3,1)").alias("user_timezone"), F.lit(True).alias("daily_alerts"),
+                                        F.lit(False).alias("show_low_importance"), F.lit(True).alias("show_medium_importance"), F.lit(False).alias("show_high_importance"))
+    rows = spark.range(4200).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("date"), F.lit("t").alias("title"), F.lit(0).alias("importance"))
+    out = alerts.subscriber_digests(settings, rows, F.to_timestamp(F.lit("2024-01-01")), 3).select("user_id", "page", "n_events", F.spark_partition_id().alias("task")).toPandas()
+    assert len(out) == 6000 * 9 and len(out[["user_id", "page"]].drop_duplicates()) == len(out) and set(out.page) == set(range(9)) and set(out.n_events) == {4200}
+    assert out.groupby("task").size().max() <= 32_768
+
+
 def test_rows_with_missing_features_are_scored(spark):
     rows = spark.createDataFrame([(i, None if i % 5 == 0 else float(i % 3), float("nan") if i % 7 == 0 else float(i), i % 2, 1.0) for i in range(60)],
                                  "id int, a double, b double, y int, weight double")
