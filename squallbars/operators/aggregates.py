@@ -8,7 +8,8 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from squallbars.operators.layout import attach, exact_quantiles, number_rows
+from squallbars.operators.layout import attach, attach_small, exact_quantiles, number_rows
+from squallbars.session import shared
 
 col = F.col
 
@@ -138,6 +139,31 @@ def missing_business_days(bars: DataFrame, ts: str = "datetime", keys: Sequence[
     return days.join(bars.select(*keys, F.to_date(ts).alias("day")).distinct(), [*keys, "day"], "left_anti")
 
 
+def _with_documents(listed: DataFrame, doc: str) -> DataFrame:
+    """Per term of the lists ``g``, how often it occurs and in how many documents (a missing id is none).
+
+    A list is sorted and its runs counted inside the row, so terms go to their sums without the document. Rows of documents that
+    have several are summed by document first.
+    """
+    runs = listed.select(doc, F.sort_array("g").alias("g")).select(doc, "g", F.array_compact(
+        F.transform("g", lambda x, i: F.when(F.coalesce(F.get("g", i - 1) != x, F.lit(True)), i))).alias("at"))
+    once = F.transform("at", lambda a, k: F.struct(F.get("g", a).alias("word"), (F.coalesce(F.get("at", k + 1), F.size("g")) - a).cast("long").alias("c")))
+    again = shared(listed.filter(col(doc).isNotNull()).groupBy(doc).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select(doc, F.lit(True).alias("_again")))
+
+    def terms(rows: DataFrame) -> DataFrame:
+        # Exploded as computed: of a column, Spark would test the size first, and compute the lists anew for each term.
+        return rows.select(doc, F.explode(once).alias("t")).select(doc, "t.word", "t.c")
+
+    repeated = not again.isEmpty()
+    marked = attach_small(runs, again, [doc]) if repeated else runs
+    alone = terms(marked.filter(col("_again").isNull()) if repeated else marked)
+    parts = alone.select("word", "c", F.when(col(doc).isNotNull(), 1).otherwise(0).alias("d"))
+    if repeated:
+        by_document = terms(marked.filter("_again")).groupBy("word", doc).agg(F.sum("c").alias("c"))
+        parts = parts.unionByName(by_document.select("word", "c", F.lit(1).alias("d")))
+    return parts.groupBy("word").agg(F.sum("c").alias("count"), F.sum("d").alias("documents"))
+
+
 def ngram_counts(df: DataFrame, text: str, doc: str, sizes: tuple[int, int] = (1, 2), min_df: int = 1,
                  max_features: int | None = None, stop_words: Sequence[str] | None = None) -> DataFrame:
     """Total count per word or phrase; terms in fewer than ``min_df`` documents are left out.
@@ -158,11 +184,9 @@ def ngram_counts(df: DataFrame, text: str, doc: str, sizes: tuple[int, int] = (1
                                                 lambda a, b: F.concat(a, F.lit(" "), b)))
         if n >= sizes[0]:
             grams.append(phrase)
-    terms = tokens.select(doc, F.explode(F.concat(*grams)).alias("word"))
+    listed = tokens.select(doc, F.concat(*grams).alias("g"))
     if min_df <= 1:
-        out = terms.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+        out = listed.select(F.explode("g").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
     else:
-        per_doc = terms.groupBy("word", doc).agg(F.count(F.lit(1)).alias("c"))
-        out = (per_doc.groupBy("word").agg(F.sum("c").alias("count"), F.count(F.lit(1)).alias("documents"))
-               .filter(col("documents") >= min_df).drop("documents"))
+        out = _with_documents(listed, doc).filter(col("documents") >= min_df).drop("documents")
     return out.orderBy(col("count").desc(), "word").limit(max_features) if max_features else out

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from squallbars.operators import alerts, events, learners
+from squallbars.operators import aggregates, alerts, events, learners
 from squallbars.plans.refresh import RANGES, update_ranges
 
 
@@ -83,3 +83,22 @@ def test_any_number_of_category_values(spark):
     rows = spark.range(6000).select(F.concat(F.lit("v"), F.col("id") % 5500).alias("currency"), F.lit(0).alias("bucket"))
     out = events.category_sums(rows, "bucket", ["currency"])
     assert out.count() == 5500 and out.agg(F.sum("n")).first()[0] == 6000
+
+
+def test_ngrams_count_in_their_row(spark):
+    """Counts and document numbers with repeated ids, a null id and empty texts; a document's terms are not dealt one by one."""
+    texts = [(1, "aa bb aa bb cc"), (2, "bb aa"), (2, "aa bb cc cc"), (3, ""), (4, None), (None, "aa bb dd"), (None, "dd"), (5, "cc cc cc")]
+    rows = spark.createDataFrame(texts, "doc long, text string")
+    for kept in (texts, texts[:2] + texts[3:]):
+        count, seen = {}, {}
+        for d, t in kept:
+            w = (t or "").split()
+            for g in w + [f"{a} {b}" for a, b in zip(w, w[1:])]:
+                count[g] = count.get(g, 0) + 1
+                seen.setdefault(g, set()).update({d} - {None})
+        for least in (1, 2, 3):
+            some = rows if kept is texts else rows.filter("not (doc <=> 2 and text like '%cc%')")
+            out = aggregates.ngram_counts(some, "text", "doc", (1, 2), min_df=least, stop_words=[])
+            assert {r.word: r["count"] for r in out.collect()} == {g: n for g, n in count.items() if least == 1 or len(seen[g]) >= least}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Exchange hashpartitioning(word" in line and "doc#" in line.split("ENSURE")[0]]
