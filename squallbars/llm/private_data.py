@@ -12,7 +12,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from squallbars.llm.common import release
 from squallbars.llm.crf import ChainField, TextDecoder
 from squallbars.llm.private_patterns import KINDS, base_spans, is_ip
 
+TOGETHER = 2_000_000  # bytes of text decoded at once
 LONGEST_EMAIL = 254  # RFC 5321; a longer run of the field's is no address
 
 # The labelled table (fixed values): one text a row, spans between tags.
@@ -118,6 +121,17 @@ def added_spans(texts: list[str], base: list[dict[str, list[tuple[int, int]]]],
     return out
 
 
+def bounded(batches: Iterator[pa.RecordBatch], text: str, most: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of text (one row at least): decoding holds some twenty times its texts."""
+    for batch in batches:
+        sizes = np.cumsum(np.nan_to_num(np.asarray(pc.binary_length(batch.column(batch.schema.get_field_index(text))).to_numpy(zero_copy_only=False), float)))
+        at = 0
+        while at < len(sizes):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def find_private(docs: DataFrame, id: str = "doc_id", text: str = "text", field: ChainField | None = None) -> DataFrame:
     """(id, base, added) of every row: spans as arrays of (kind, start, end), by kind and then by start."""
     model = docs.sparkSession.sparkContext.broadcast(field or trained())
@@ -127,7 +141,7 @@ def find_private(docs: DataFrame, id: str = "doc_id", text: str = "text", field:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = model.value.text_decoder()
-        for batch in batches:
+        for batch in bounded(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             base = [base_spans(t) for t in texts]
             added = added_spans(texts, base, model.value, decoder)
@@ -155,7 +169,7 @@ def redact(docs: DataFrame, text: str = "text", field: ChainField | None = None)
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         decoder = model.value.text_decoder()
-        for batch in batches:
+        for batch in bounded(batches, text):
             at = batch.schema.get_field_index(text)
             values = batch.column(at).to_pylist()
             texts = [t or "" for t in values]

@@ -5,9 +5,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from squallbars.llm.crf import ChainField, features, shape, tokens
-from squallbars.llm.private_data import LABELLED, added_spans, find_private, redact, trained
+from squallbars.llm.private_data import LABELLED, added_spans, bounded, find_private, redact, trained
 from squallbars.llm.private_patterns import KINDS, base_spans, luhn
 
 PLAIN = {
@@ -136,3 +137,13 @@ def test_character_tables_cut_and_shape_as_the_token_rules():
         spans = tokens(text)
         assert list(zip(first.tolist(), end.tolist())) == spans, repr(text)
         assert codes.tolist() == [decoder.shapes.get(shape(text[a:b]), decoder.other) for a, b in spans], repr(text)
+
+
+def test_batches_are_decoded_in_bounded_parts():
+    """A long batch is never decoded whole, nulls and rows beyond the bound included, and keeps its rows in order."""
+    texts = ["x" * 30, None, "", "y" * 250, "é" * 20, *["z" * 40] * 7, None]
+    batch = pa.RecordBatch.from_pydict({"n": list(range(len(texts))), "text": texts})
+    parts = list(bounded(iter([batch, batch.slice(0, 0)]), "text", 100))
+    assert [r for p in parts for r in p.to_pylist()] == batch.to_pylist()
+    sizes = [[len((t or "").encode()) for t in p.column("text").to_pylist()] for p in parts]
+    assert all(sum(s) <= 100 or len(s) == 1 for s in sizes) and len(parts) == 6
