@@ -85,3 +85,31 @@ def test_merging_runs():
         out = list(merge_runs([encode_run([s for s, _ in sorted(p)], [i for _, i in sorted(p)]) for p in parts]))
         assert [s for s, _, _ in out] == sorted(strings) and sorted(i for *_, i in out) == list(range(len(strings)))
         assert all(b[1] == shared(a[0], b[0]) for a, b in zip(out[:-1], out[1:], strict=True))
+
+
+def test_groups_of_texts_give_each_texts_own_anchors():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 100, n).astype(np.uint8) for n in (300, 90, 5, 0, 700, 89, 91)]
+    ends, raw = np.cumsum([len(t) for t in texts]), np.concatenate(texts)
+    want = [(int(p + at), int(a + at), int(b + at)) for t, at in zip(texts, ends - [len(t) for t in texts], strict=True) for p, a, b in zip(*anchors(t, 90, Sums(t, 0))[:3], strict=True)]
+    assert list(zip(*(x.tolist() for x in anchors(raw, 90, Sums(raw, 0), ends)[:3]), strict=True)) == want
+
+
+def test_classes_inside_a_range_are_settled_there():
+    """Each row against all others: offsets from `least` to `most` that another row shares on both sides."""
+    rng, length, rows = random.Random(6), 90, 60
+    sides = [sorted((bytes(rng.choice(b"ab") for _ in range(3)) + b"x" * rng.choice([0, 20, 40, 84]) + bytes(rng.choice(b"ab") for _ in range(9)), i) for i in range(rows)) for _ in range(2)]
+    share = [{}, {}]
+    lists = []
+    for side, strings in enumerate(sides):
+        leaf, nodes = suffix_dedup.class_tree(0, [], [0, *(shared(a[0], b[0]) + 1 for a, b in zip(strings[:-1], strings[1:], strict=True))], [])
+        chains = {i: suffix_dedup._chain(nodes, x, 1) for (_, i), x in zip(strings, leaf, strict=True)}
+        assert all(len(d) == k for d, _, k in chains.values())
+        lists.append(tuple(np.array(v, np.int64) for v in ([x for i in range(rows) for x in chains[i][0]], [x for i in range(rows) for x in chains[i][1]], np.cumsum([0, *(len(chains[i][0]) for i in range(rows))]))))
+        share[side] = {(i, j): shared(a, b) for a, i in strings for b, j in strings if i != j}
+    least, most, inside = np.full(rows, 3), np.full(rows, 70), np.diff(lists[0][2])
+    got = [set() for _ in range(rows)]
+    for row, a, b in zip(*suffix_dedup.settled_offsets(lists[0], lists[1], least, most, inside, length), strict=True):
+        got[row].update(range(a, b + 1))
+    want = [{o for j in range(rows) if j != i for o in range(max(3, length - share[0][i, j]), min(70, share[1][i, j]) + 1)} for i in range(rows)]
+    assert got == want and any(want)
