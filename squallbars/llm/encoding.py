@@ -25,7 +25,9 @@ _LOADED: dict[int, "PieceEncoder"] = {}
 CACHES.append(_LOADED)
 _MARKS = frozenset("\0\x01\x02")
 _AMBIGUOUS = re.compile(r"\s (?:\s|\Z)")
-_ASCII_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^ \t\n\v\f\ra-z0-9]+")
+_LETTERS = "\xdf-\xf6\xf8-\xff"  # Latin-1's small letters; its capitals fold to them, and composing changes none
+_PLAIN_PARTS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[a-z{_LETTERS}]+|[0-9]|[^ \t\n\v\f\ra-z0-9{_LETTERS}]+")
+_ODD = re.compile(rf"[^\x00-\x7f\xc0-\xd6\xd8-\xde{_LETTERS}]")
 
 
 def encoder(spec: bytes) -> "PieceEncoder":
@@ -147,9 +149,10 @@ class _Pieces(dict):
 class BlankDropped(PieceEncoder):
     """Lower-casing vocabularies that drop white space: pieces between blanks, made of words, digits and marks.
 
-    Such a vocabulary marks the end of a word on its last token. Where ids are the ranks of merges, ASCII pieces of many texts
-    are merged by tiktoken in one call, with the zero byte as that mark behind every part; nothing is cached for them. Two
-    control characters stand between texts and in place of the other pieces, whose ids come from the library and a cache.
+    Such a vocabulary marks the end of a word on its last token. Where ids are the ranks of merges, pieces of ASCII and
+    Latin-1's letters of many texts are merged by tiktoken in one call, with the zero byte as that mark behind every part;
+    nothing is cached for them. Two control characters stand between texts and in place of the other pieces, whose ids come
+    from the library and a cache.
     """
 
     def __init__(self, spec: bytes, parts: dict):
@@ -170,8 +173,8 @@ class BlankDropped(PieceEncoder):
                 self.odd, self.between = ranks[b"\x01\0"], ranks[b"\x02\0"]
 
     def _merged(self, pieces: str) -> np.ndarray:
-        """Ids of ASCII pieces between blanks."""
-        parts = _ASCII_PARTS.findall(pieces.lower())
+        """Ids of plain pieces in lower case between blanks."""
+        parts = _PLAIN_PARTS.findall(pieces)
         return np.array(self.fast.encode_ordinary("\0".join([*parts, ""])), "<u4")
 
     def _look_up(self, pieces: list[str]) -> list[bytes]:
@@ -206,13 +209,13 @@ class BlankDropped(PieceEncoder):
                 continue
             pieces = t.replace("\n", " ").split(" ")
             if self.fast and "\0" not in t and "\x01" not in t and "\x02" not in t and max(map(len, pieces)) <= LONGEST_MERGED:
-                at = () if t.isascii() else [k for k, p in enumerate(pieces) if not p.isascii()]
+                at = () if t.isascii() or not _ODD.search(t) else [k for k, p in enumerate(pieces) if not p.isascii() and _ODD.search(p)]
             else:
-                at = [k for k, p in enumerate(pieces) if not self.fast or not p.isascii() or len(p) > LONGEST_MERGED or not _MARKS.isdisjoint(p)]
+                at = [k for k, p in enumerate(pieces) if not self.fast or _ODD.search(p) or len(p) > LONGEST_MERGED or not _MARKS.isdisjoint(p)]
             for k in at:
                 odd.append(pieces[k])
                 pieces[k] = "\x01"
-            given.append(" ".join(pieces))
+            given.append(" ".join(pieces).lower())
         wanted = [p for p in odd if isinstance(p, str)]
         found = iter(self._look_up(wanted)) if wanted else iter(())
         spliced = [p if isinstance(p, bytes) else next(found) for p in odd]
