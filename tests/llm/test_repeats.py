@@ -113,3 +113,27 @@ def test_classes_inside_a_range_are_settled_there():
         got[row].update(range(a, b + 1))
     want = [{o for j in range(rows) if j != i for o in range(max(3, length - share[0][i, j]), min(70, share[1][i, j]) + 1)} for i in range(rows)]
     assert got == want and any(want)
+
+
+def test_class_chains_are_never_broadcast(spark, monkeypatch):
+    """The planner guesses the size of what Python returns: however small it looks, it is dealt."""
+    length, plans, write = 90, {}, suffix_dedup.written
+
+    def planned(df, name, **options):
+        if name == "class-pairs":
+            df.collect()  # adaptive execution has its last word
+            plans[name] = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+        return write(df, name, **options)
+
+    monkeypatch.setattr(suffix_dedup, "written", planned)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts_with_repeats(1, length))], "doc_id long, text string")
+    assert remove_repeats(docs, length).count() == docs.count()
+    depth, sent = lambda line: len(line) - len(line.lstrip(" :|+-*")), None
+    chains = []
+    for line in plans["class-pairs"]:
+        sent = None if sent is not None and depth(line) <= sent else sent
+        if "BroadcastExchange" in line and sent is None:
+            sent = depth(line)
+        if "MapInArrow" in line and "chains(" in line:
+            chains.append(sent)
+    assert chains == [None, None]
