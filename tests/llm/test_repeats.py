@@ -137,3 +137,26 @@ def test_class_chains_are_never_broadcast(spark, monkeypatch):
         if "MapInArrow" in line and "chains(" in line:
             chains.append(sent)
     assert chains == [None, None]
+
+
+def test_a_frequent_passage_is_dealt_to_many_ranges(spark, monkeypatch):
+    """Places of one passage in many texts are cut like any other strings, not kept in one range."""
+    length, orders, write = 90, [], suffix_dedup.written
+
+    def kept(df, name, **options):
+        out = write(df, name, **options)
+        orders.extend([out] * (name == "order"))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", kept)
+    monkeypatch.setattr(suffix_dedup, "PER_RANGE", 200)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 8)
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = make(120)
+    texts = [make(rng.randint(30, 150)) + passage + make(rng.randint(30, 150)) for _ in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in remove_repeats(docs, length).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, length)
+    sizes = [r["size"] for r in orders[0].select("size").collect()]
+    assert sum(sizes) > 1000 and max(sizes) <= 600
