@@ -159,4 +159,16 @@ def test_a_frequent_passage_is_dealt_to_many_ranges(spark, monkeypatch):
     got = {r.doc_id: (r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in remove_repeats(docs, length).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, length)
     sizes = [r["size"] for r in orders[0].select("size").collect()]
-    assert sum(sizes) > 1000 and max(sizes) <= 600
+    assert sum(sizes) > 1000 and max(sizes) <= 800
+
+
+def test_cuts_keep_right_classes_whole_unless_they_outgrow_a_range():
+    rng = random.Random(8)
+    make = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    small, large = make(80), make(80)
+    strings = sorted({(b"R" + (small if i < 50 else large if i < 500 else make(90)) + make(20), i) for i in range(1000)} | {(b"L" + make(40), i) for i in range(1000)} | {(b"L" + large, i) for i in range(300)})
+    found = suffix_dedup.cuts(strings, 20)
+    sizes = np.diff([0, *(next(i for i, s in enumerate(strings) if s >= c) for c in found), len(strings)])
+    assert found == sorted(found) and max(sizes) <= 3 * len(strings) / 20 + 1
+    assert not any(c[0].startswith(b"R" + small[:64]) for c in found) and any(c[0].startswith(b"R" + large[:64]) for c in found)
+    assert sum(c[0] == b"L" + large for c in found) >= 2 and suffix_dedup.cuts([], 3) == [] == suffix_dedup.cuts(strings[:1], 3)
